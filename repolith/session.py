@@ -39,3 +39,11 @@ def cut(df: DataFrame) -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """Partitions for work that is heavy per byte: a few for each core."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over enough partitions for Python work: shuffled by keys only where its input has fewer splits than there are cores."""
+    spark = df.sparkSession
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= spark.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(parallelism(spark), *keys)
