@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repolith.llm import syntax
+from repolith.llm import bpe, syntax
 from repolith.session import load
 
 QUERIES, SQL = {}, {}
@@ -31,3 +31,9 @@ def p4_errors(spark: SparkSession, d: str) -> DataFrame:
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
     """Rates of files that do not parse per repository and language."""
     return syntax.syntax_report(load(spark, d, "scan_records"), load(spark, d, "graph_nodes"))
+
+
+@query
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of every document."""
+    return bpe.encode(load(spark, d, "documents"))
