@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repolith.llm import bpe, syntax
+from repolith.llm import bpe, packing, splitting, syntax
 from repolith.session import load
 
 QUERIES, SQL = {}, {}
@@ -15,6 +15,18 @@ def query(f):  # noqa: ANN001, ANN201
     return f
 
 
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks that are too large and come out in pieces."""
+    return splitting.split_chunks(load(spark, d, "knowledge_chunks")).select("csc_id", "chunk_id").distinct()
+
+
+@query
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of every chunk that is too large."""
+    return splitting.split_chunks(load(spark, d, "knowledge_chunks"))
+
+
 @query
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Scanned files whose text does not parse."""
@@ -33,7 +45,35 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return syntax.syntax_report(load(spark, d, "scan_records"), load(spark, d, "graph_nodes"))
 
 
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_units(load(spark, d, "corpus_units"), load(spark, d, "scan_records"))
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Units that no container holds whole."""
+    return _packed(spark, d).filter("parts > 1").select("csc_id", "source_path", "line_start").distinct()
+
+
+@query
+def p5_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every part of every unit with its container."""
+    return _packed(spark, d)
+
+
+@query
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    """Containers and filled share per repository."""
+    return packing.packing_report(_packed(spark, d))
+
+
 @query
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """The ids of every document."""
     return bpe.encode(load(spark, d, "documents"))
+
+
+_TOKENS = "len(regexp_extract_all({0}, '[A-Za-z0-9_]+'))"
+SQL["p3_found"] = f"SELECT DISTINCT csc_id, chunk_id FROM knowledge_chunks WHERE {_TOKENS.format('text')} > 400"
+SQL["p5_found"] = f"""SELECT u.csc_id, u.source_path, u.line_start FROM corpus_units u LEFT JOIN scan_records s ON s.csc_id = u.csc_id AND s.path = u.source_path
+GROUP BY ALL HAVING coalesce(max(u.token_count), max({_TOKENS.format('s.text')}), 0) > 1024"""
