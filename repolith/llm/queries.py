@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repolith.llm import bpe, packing, splitting, syntax
+from repolith.llm import bpe, generated, packing, splitting, syntax
 from repolith.session import load
 
 QUERIES, SQL = {}, {}
@@ -15,6 +15,30 @@ def query(f):  # noqa: ANN001, ANN201
     return f
 
 
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Source files that were not written by hand for their repository."""
+    return generated.not_hand_written(load(spark, d, "scan_records")).select("csc_id", "path")
+
+
+@query
+def p1_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """The same files with what they are."""
+    return generated.not_hand_written(load(spark, d, "scan_records"))
+
+
+@query
+def p1_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Files contained in a file of another repository."""
+    return generated.copies_across_repositories(load(spark, d, "scan_records"))
+
+
+@query
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds of files per repository and language."""
+    return generated.kind_report(load(spark, d, "scan_records"))
+
+
 @query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Chunks that are too large and come out in pieces."""

@@ -52,7 +52,8 @@ _CLOSERS = {")": "(", "]": "[", "}": "{"}
 
 #: Declarations at the start of a line, by the language that they show.
 _SHOWN = {
-    "html": r"^\s*<(?:!DOCTYPE|/?(?:html|head|body|p|h[1-6]|div|ul|li|table|title)\b)",
+    "html": r"^\s*<(?:!DOCTYPE|/?(?:html|head|body|p|h[1-6]|div|ul|li|table|title)\b)|\A\s*#+ [A-Z][^\n]*\n\s*\n\s*[A-Z]",
+    "markup": r"^\s*<(?:!DOCTYPE|html\b)|\A\s*#+ [A-Z][^\n]*\n\s*\n\s*[A-Z]",
     "python": r"^[ \t]*(?:(?:def|class)\s+\w+[^\n;{]*:|(?:if|for|while|elif|with)\b[^\n;{}?]*[^\n;{}?:]:|(?:else|try|finally|except\b[^\n;{]*):)[ \t]*$|^from\s+[\w.]+\s+import\b|^[ \t]*import\s+\w+(?:\.\w+)*(?:\s+as\s+\w+)?[ \t]*$",
     "go": r"^package\s+\w+[ \t]*$|^func\s*(?:\([^)\n]*\)\s*)?\w+\s*\(|^import\s+(?:\w+\s+)?(?:\x01|\()\s*$|^type\s+\w+\s+(?:struct|interface)\s*\{|^[ \t]*\w+(?:,\s*\w+)*\s*:=",
     "rust": r"^[ \t]*(?:pub(?:\([^)\n]*\))?\s+)?(?:fn\s+\w+\s*[(<]|(?:struct|enum|trait|mod)\s+\w+[^;=\n]*\{[ \t]*$|impl\b[^;\n]*\{)|^[ \t]*let\s+mut\b|^(?:pub\s+)?use\s+\w+(?:::[\w{}*, ]+)+;",
@@ -72,7 +73,7 @@ _FOREIGN = {
     "c": ("html", "python", "go", "rust", "java", "csharp", "javascript", "typescript", "cpp_only"), "cpp": ("html", "python", "go", "rust", "java", "csharp", "javascript"),
     "java": ("html", "python", "go", "rust", "include", "prototype", "function", "constant"), "csharp": ("html", "python", "go", "rust", "prototype", "function", "constant"),
     "go": ("html", "python", "rust", "java", "csharp", "cpp", "function"), "rust": ("html", "python", "go", "java", "csharp", "cpp", "function"),
-    "javascript": ("html", "python", "go", "rust", "java", "csharp", "cpp", "typescript"), "typescript": ("python", "go", "rust", "java", "csharp", "cpp"),
+    "javascript": ("html", "python", "go", "rust", "java", "csharp", "cpp", "typescript"), "typescript": ("markup", "python", "go", "rust", "java", "csharp", "cpp"),
     "python": ("html", "go", "rust", "java", "csharp", "javascript"),
 }
 _EXTRA = {"csharp": r"^package\s+[\w.]+\s*;|^import\s+[\w.]+\s*;|^[ \t]*#\s*(?:include|define\s+\w+\s+\S)|^[ \t]*static\s+inline\b",
