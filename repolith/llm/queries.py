@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repolith.llm import bpe, generated, packing, splitting, syntax
+from repolith.llm import bpe, generated, leakage, packing, splitting, syntax
 from repolith.session import load
 
 QUERIES, SQL = {}, {}
@@ -97,6 +97,29 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(load(spark, d, "documents"))
 
 
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(load(spark, d, "documents"), load(spark, d, "eval_items"))
+
+
+@query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the evaluation items whose prompts they contain."""
+    return _leaks(spark, d).filter("exact").select("doc_id", "item_id").distinct()
+
+
+@query
+def p8_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Exact leaks and near copies with their aligned regions."""
+    return _leaks(spark, d)
+
+
+@query
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked items with the number of documents per source."""
+    return leakage.leaked_items(load(spark, d, "documents"), load(spark, d, "eval_items"))
+
+
 _TOKENS = "len(regexp_extract_all({0}, '[A-Za-z0-9_]+'))"
 SQL["p3_found"] = f"SELECT DISTINCT csc_id, chunk_id FROM knowledge_chunks WHERE {_TOKENS.format('text')} > 400"
 SQL["p5_found"] = f"""SELECT u.csc_id, u.source_path, u.line_start FROM corpus_units u LEFT JOIN scan_records s ON s.csc_id = u.csc_id AND s.path = u.source_path
