@@ -179,6 +179,7 @@ class GramIndex:
         if len(rows):  # of a pair the band with most grams stands for it
             rows = rows[np.lexsort((rows[:, 2], -rows[:, 3], rows[:, 1], rows[:, 0]))]
             rows = rows[np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]]
+        rows = rows[np.argsort(rows[:, 5] - rows[:, 4], kind="stable")]  # rows of like height are aligned together
         out = pd.DataFrame(rows, columns=["text", "item", "diagonal", "grams", "first", "last"])
         parts = [self.aligned(texts, rows[a : a + 500]) for a in range(0, len(rows), 500)]
         out = pd.concat([out, pd.concat(parts, ignore_index=True) if parts else self.aligned(texts, rows)], axis=1)
