@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repolith.llm import bpe, generated, leakage, packing, splitting, syntax
+from repolith.llm import bpe, generated, leakage, packing, splitting, syntax, truncation
 from repolith.session import load
 
 QUERIES, SQL = {}, {}
@@ -120,6 +120,25 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(load(spark, d, "documents"), load(spark, d, "eval_items"))
 
 
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose text was cut."""
+    return truncation.scored(load(spark, d, "documents")).filter(f"score >= {truncation.CUT}").select("doc_id").distinct()
+
+
+@query
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The score of every document with text."""
+    return truncation.scored(load(spark, d, "documents"))
+
+
+@query
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    """Share of cut texts per source."""
+    return truncation.cut_share(load(spark, d, "documents"))
+
+
 _TOKENS = "len(regexp_extract_all({0}, '[A-Za-z0-9_]+'))"
 SQL["p3_found"] = f"SELECT DISTINCT csc_id, chunk_id FROM knowledge_chunks WHERE {_TOKENS.format('text')} > 400"
 SQL["p5_found"] = f"""SELECT u.csc_id, u.source_path, u.line_start FROM corpus_units u LEFT JOIN scan_records s ON s.csc_id = u.csc_id AND s.path = u.source_path
