@@ -343,22 +343,22 @@ def ref_u05_compose(spark: SparkSession, d: str) -> DataFrame:
     return nodes.groupBy("csc_id", "node_id").agg(F.min_by("node_type", "src").alias("node_type"), F.min("src").alias("src"))
 
 
-@query(f"WITH {_TWO}, a AS (SELECT DISTINCT csc_id, split_part(path, '/', 1) AS area FROM new), b AS (SELECT DISTINCT csc_id, split_part(path, '/', 1) AS area FROM old) SELECT * FROM a EXCEPT SELECT * FROM b")
+@query(f"WITH {_TWO}, a AS (SELECT DISTINCT csc_id, regexp_extract(path, '^[^/]*/[^/]*') AS area FROM new), b AS (SELECT DISTINCT s.workspace_id AS csc_id, regexp_extract(substr(fragment_id, 7), '^[^/]*/[^/]*') AS area FROM standing s WHERE ord = 1 AND fragment_id LIKE 'file::%') SELECT * FROM a EXCEPT SELECT * FROM b")
 def ref_u08_new_areas(spark: SparkSession, d: str) -> DataFrame:
-    """Top directories of the last snapshot that the one before did not have."""
+    """Directories of the top two levels in the last snapshot that the first did not have."""
     spans = validity_intervals(load(spark, d, "history_checkpoints"), load(spark, d, "graph_fingerprints"))
     last = spans.groupBy("workspace_id").agg(F.max("end_ord").alias("m"))
-    at = spans.join(last, "workspace_id").filter(F.col("fragment_id").startswith("file::")).select(F.col("workspace_id").alias("csc_id"), F.split_part(F.substring("fragment_id", 7, 9999), F.lit("/"), F.lit(1)).alias("area"), "start_ord", "end_ord", "m")
-    return at.filter("end_ord = m").select("csc_id", "area").distinct().join(at.filter("start_ord <= m - 1 AND end_ord >= m - 1").select("csc_id", "area").distinct(), ["csc_id", "area"], "left_anti")
+    at = spans.join(last, "workspace_id").filter(F.col("fragment_id").startswith("file::")).select(F.col("workspace_id").alias("csc_id"), F.regexp_extract(F.substring("fragment_id", 7, 9999), "^[^/]*/[^/]*", 0).alias("area"), "start_ord", "end_ord", "m")
+    return at.filter("end_ord = m").select("csc_id", "area").distinct().join(at.filter("start_ord = 1").select("csc_id", "area").distinct(), ["csc_id", "area"], "left_anti")
 
 
-@query(f"""WITH {_NODES}, seed AS (SELECT DISTINCT csc_id, 'file::' || source_path AS node_id FROM knowledge_chunks WHERE source_type = 'file_summary'),
+@query(f"""WITH {_NODES}, seed AS (SELECT DISTINCT csc_id, 'file::' || target_path AS node_id FROM dependency_records WHERE target_path IS NOT NULL),
   up AS (SELECT s.csc_id, s.node_id AS seed, l.source_id AS parent FROM seed s JOIN link l ON l.csc_id = s.csc_id AND l.target_id = s.node_id)
   SELECT csc_id, seed, node_id, how FROM (SELECT csc_id, seed, parent AS node_id, 'parent' AS how FROM up UNION ALL SELECT u.csc_id, u.seed, l.target_id, 'sibling' FROM up u JOIN link l ON l.csc_id = u.csc_id AND l.source_id = u.parent AND l.target_id <> u.seed) ANTI JOIN seed USING (csc_id, node_id)""")
 def ref_u03_hierarchy_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """Parents and siblings of summarised files that are not summarised themselves."""
+    """Parents and siblings of imported files that are not imported themselves."""
     _, links = P.structure(_scan(spark, d))
-    seed = load(spark, d, "knowledge_chunks").filter("source_type = 'file_summary'").select("csc_id", F.concat(F.lit("file::"), "source_path").alias("node_id")).distinct()
+    seed = load(spark, d, "dependency_records").filter("target_path IS NOT NULL").select("csc_id", F.concat(F.lit("file::"), "target_path").alias("node_id")).distinct()
     up = seed.join(links.select("csc_id", F.col("target_id").alias("node_id"), F.col("source_id").alias("parent")), ["csc_id", "node_id"]).select("csc_id", F.col("node_id").alias("seed"), "parent")
     siblings = up.join(links.select("csc_id", F.col("source_id").alias("parent"), "target_id"), ["csc_id", "parent"]).filter("target_id <> seed").select("csc_id", "seed", F.col("target_id").alias("node_id"), F.lit("sibling").alias("how"))
     every = up.select("csc_id", "seed", F.col("parent").alias("node_id"), F.lit("parent").alias("how")).unionByName(siblings)
