@@ -29,6 +29,15 @@ def snapshot_order(checkpoints: DataFrame, rows: DataFrame) -> DataFrame:
         "tree_sha", F.lag("tree_sha").over(w).alias("prev_tree_sha"))
 
 
+def standing_rows(checkpoints: DataFrame, rows: DataFrame) -> DataFrame:
+    """(workspace_id, fragment_id, ord, checkpoint_id, next_checkpoint_id, digest): the standing row of each fragment in each snapshot, spread by (workspace_id, fragment_id)."""
+    keys = ["workspace_id", "fragment_id"]
+    numbered = rows.select("workspace_id", "checkpoint_id", "fragment_id", "digest", "delivered_at").join(
+        snapshot_order(checkpoints, rows).drop("tree_sha", "prev_tree_sha"), ["workspace_id", "checkpoint_id"])
+    return numbered.select(*keys, "ord", "checkpoint_id", "next_checkpoint_id", F.struct("delivered_at", normal_digest(F.col("digest")).alias("digest")).alias("said")) \
+        .repartition(*keys).groupBy(*keys, "ord", "checkpoint_id", "next_checkpoint_id").agg(F.max("said").getField("digest").alias("digest"))
+
+
 def validity_intervals(checkpoints: DataFrame, rows: DataFrame) -> DataFrame:
     """Maximal runs of consecutive snapshots in which a fragment has one digest.
 
@@ -46,10 +55,7 @@ def validity_intervals(checkpoints: DataFrame, rows: DataFrame) -> DataFrame:
     workspace of any size spreads over all tasks.
     """
     keys = ["workspace_id", "fragment_id"]
-    numbered = rows.select("workspace_id", "checkpoint_id", "fragment_id", "digest", "delivered_at").join(
-        snapshot_order(checkpoints, rows).drop("tree_sha", "prev_tree_sha"), ["workspace_id", "checkpoint_id"])
-    standing = numbered.select(*keys, "ord", "checkpoint_id", "next_checkpoint_id", F.struct("delivered_at", normal_digest(F.col("digest")).alias("digest")).alias("said")) \
-        .repartition(*keys).groupBy(*keys, "ord", "checkpoint_id", "next_checkpoint_id").agg(F.max("said").getField("digest").alias("digest"))
+    standing = standing_rows(checkpoints, rows)
     w = Window.partitionBy(*keys).orderBy("ord")
     goes_on = (F.lag("ord").over(w) == F.col("ord") - 1) & F.lag("digest").over(w).eqNullSafe(F.col("digest"))
     marked = standing.withColumn("starts", F.when(goes_on, 0).otherwise(1))
