@@ -215,7 +215,7 @@ def ref_d02_mock_answers(spark: SparkSession, d: str) -> DataFrame:
     return generation.generate(requests, "summary").select("csc_id", "user", "answer", "status")
 
 
-@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(DISTINCT event_id) AS events FROM events GROUP BY ALL HAVING date_trunc('hour', ts) + INTERVAL 3 HOUR <= (SELECT max(ts) FROM events)")
+@query("SELECT * FROM (SELECT date_trunc('hour', ts) AS window_start, event_type, count(DISTINCT event_id) AS events FROM events GROUP BY 1, 2) WHERE window_start + INTERVAL 3 HOUR <= (SELECT max(ts) FROM events)")
 def ref_st01_windowed_counts(spark: SparkSession, d: str) -> DataFrame:
     """Hourly counts of the events read as a stream, of the hours that the watermark has passed when the data end; state lies in the shared folder."""
     folder, name = checkpoint_dir(spark), f"counts_{uuid4().hex}"
