@@ -29,12 +29,14 @@ _TEMPLATE = rf"`(?:[^`\\$]|\\[\s\S]|\$(?!\{{)|{_HOLE})*`"
 _JS_REGEX = r"/(?![*/])(?:(?<=[=(,:\[!&|?{};+\-*%~^<>\n]/)|(?<=[=(,:\[!&|?{};+\-*%~^<>] /)|(?<=return /)|(?<=typeof /)|(?<=case /)|(?<=\n  /)|(?<=\n    /))(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[a-z]*"
 _CS_STRING = r'"""+[\s\S]*?"""+|(?:\$+@|@\$+|@)"(?:[^"]|"")*"|\$"(?:[^"\\\n{}]|\\[^\n]|\{\{|\}\}|\{(?:[^{}"\n]|"[^"\n]*")*\})*"|' + _DOUBLE
 
+#: Directives whose rest of line is free text.
+_WORDS = r"#[ \t]*(?:region|endregion|error|warning|pragma)\b[^\n]*"
 #: By lexer: comments, literals, and the marks that only an unterminated unit leaves behind. Each alternative
 #: begins with a fixed character, so that text between units is skipped; prefixes of literals stay in the code.
 _UNITS = {
-    "c": (rf"{_BLOCK}|//(?:[^\n\\]|\\[\s\S])*", r'"(?<=R")(?P<d>[^()\\\s]{0,16})\([\s\S]*?\)(?P=d)"|' + _DOUBLE + "|'(?<![0-9A-Fa-f]')" + _SINGLE[1:], r"/\*|\"|'(?<![0-9A-Fa-f]')"),
+    "c": (rf"{_BLOCK}|//(?:[^\n\\]|\\[\s\S])*|{_WORDS}", r'"(?<=R")(?P<d>[^()\\\s]{0,16})\([\s\S]*?\)(?P=d)"|' + _DOUBLE + "|'(?<![0-9A-Fa-f]')" + _SINGLE[1:], r"/\*|\"|'(?<![0-9A-Fa-f]')"),
     "java": (f"{_BLOCK}|{_LINE}", r'"""[\s\S]*?(?<!\\)"""|' + f"{_DOUBLE}|{_SINGLE}", r"/\*|\"|'"),
-    "csharp": (f"{_BLOCK}|{_LINE}", f"{_CS_STRING}|{_SINGLE}", r"/\*|\"|'"),
+    "csharp": (f"{_BLOCK}|{_LINE}|{_WORDS}", f"{_CS_STRING}|{_SINGLE}", r"/\*|\"|'"),
     "go": (f"{_BLOCK}|{_LINE}", f"`[^`]*`|{_DOUBLE}|{_SINGLE}", r"/\*|\"|'|`"),
     "rust": (f"{_NESTED}|{_LINE}", r'#(?<=r#)(?P<h>#*)"[\s\S]*?"#(?P=h)|"(?<=r")[^"]*"|"(?:[^"\\]|\\[\s\S])*"' + r"|'(?:[^'\\\n]|\\(?:u\{[0-9A-Fa-f_]+\}|x[0-9A-Fa-f]{2}|[^\n]))'|'[A-Za-z_]\w*(?!')", r"/\*|\"|'"),
     "javascript": (f"{_BLOCK}|{_LINE}|#!(?<=\\A#!)[^\\n]*", f"{_TEMPLATE}|{_DOUBLE}|{_SINGLE}|{_JS_REGEX}", r"/\*|\"|'|`"),
@@ -97,6 +99,8 @@ _PAIRS["typescript"], _PAIRS["cpp"] = _PAIRS["javascript"], re.compile(r"(?:[=*/
 #: A statement that begins on the next line although the one before has not ended.
 _UNENDED = re.compile(r"[\w)\]\x01][ \t]*\n\s*(?:return|if|for|while|int|let|var|static|public|private|internal|pub|fn|use|using|import|package|class|break|continue|trace|log|Log)\b(?!\s*!?=)")
 _HEADER_END = re.compile(r"(?:\b(?:if|for|while|switch|else|do|match|loop|catch|foreach|unsafe|try|finally)\b[^\n]*|^[ \t]*(?:#|@|\[)[^\n]*|->[^\n]*|\bwhere\b[^\n]*|\b(?:class|struct|enum|namespace|interface)\b[^\n]*|[^\n;=]*\))\Z", re.M)
+#: A line that is a call; where there are no macros, a statement needs its end behind it.
+_CALL = re.compile(r"\s*(?!(?:if|for|while|switch|else|catch|synchronized|try|do|using|lock|fixed|foreach|when|where|case|default|return)\b)[A-Za-z_][\w.]*\(")
 
 
 def _without_branches(text: str) -> str:
@@ -133,10 +137,10 @@ def _mask(m: re.Match) -> str:
     return " " if m["comment"] is not None else _LITERAL if m["literal"] is not None else _OPEN
 
 
-def _unended(code: str) -> bool:
+def _unended(code: str, lexer: str) -> bool:
     for m in _UNENDED.finditer(code):
-        start = code.rfind("\n", 0, m.start() + 1) + 1
-        if not _HEADER_END.search(code[start: m.start() + 1]):
+        line = code[code.rfind("\n", 0, m.start() + 1) + 1 : m.start() + 1]
+        if not _HEADER_END.search(line) or lexer in ("java", "csharp") and _CALL.match(line) and line.count("(") == line.count(")"):
             return True
     return False
 
@@ -162,7 +166,7 @@ def lex_error(text: str, lexer: str) -> str | None:
         return "premature_end"
     if _PAIRS[lexer].search(code):
         return "misplaced_token"
-    if lexer in _SEMICOLON and _unended(code):
+    if lexer in _SEMICOLON and _unended(code, lexer):
         return "unended_statement"
     return None
 

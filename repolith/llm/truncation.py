@@ -188,7 +188,7 @@ def model(documents: DataFrame, sample: int = SAMPLE, seed: int = 11) -> tuple[n
     """
     known = known_words(documents)
     top = {r["source"]: (r["max_chars"], r["max_bytes"]) for r in limits(documents).toLocalIterator()}
-    chosen = documents.filter("text IS NOT NULL AND trim(text) <> ''").select("text", "source", "doc_type", F.xxhash64("text", F.lit(seed)).alias("h")).orderBy("h", "source").limit(sample).collect()
+    chosen = documents.filter(F.col("text").rlike(r"\S")).select("text", "source", "doc_type", F.xxhash64("text", F.lit(seed)).alias("h")).orderBy("h", "source").limit(sample).collect()
     rng, examples, label = np.random.default_rng(seed), [], []
     for r in chosen:
         c, b = top.get(r["source"], (None, None))
@@ -209,8 +209,8 @@ def model(documents: DataFrame, sample: int = SAMPLE, seed: int = 11) -> tuple[n
     doubtful = (y == 0) & (w[rows].sum(axis=1) + w[-1] > DOUBT)
     w = fit(rows[~test & ~doubtful], y[~test & ~doubtful])
     test &= ~doubtful
-    right = ((w[rows[test]].sum(axis=1) + w[-1] > 0) == (y[test] > 0)).mean()
-    return w, known, top, float(right)
+    right = float(((w[rows[test]].sum(axis=1) + w[-1] > 0) == (y[test] > 0)).mean()) if test.any() else 1.0
+    return w, known, top, right
 
 
 def below(text: str, chars: int | None, nbytes: int | None) -> tuple[int, int]:
@@ -239,7 +239,7 @@ def scored(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
             z = w[_rows(out)].sum(axis=1) + w[-1] if out else np.empty(0)
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("int64"), "source": b["source"], "copy": b["copy"], "score": [1 / (1 + exp(-max(-30.0, min(30.0, x)))) for x in z]})
 
-    texts = documents.filter("text IS NOT NULL AND trim(text) <> ''").select("doc_id", "text", "source", "doc_type", F.md5("text").alias("copy"))
+    texts = documents.filter(F.col("text").rlike(r"\S")).select("doc_id", "text", "source", "doc_type", F.md5("text").alias("copy"))
     each = spread(texts, "doc_id").mapInPandas(run, "doc_id long, source string, copy string, score double")
     best = each.groupBy("copy").agg(F.max("score").alias("score"), F.collect_set(F.struct("doc_id", "source")).alias("of"))
     return best.select(F.explode("of").alias("x"), "score").select("x.doc_id", "x.source", F.round("score", 6).alias("score"))
