@@ -18,7 +18,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolith.session import spread
 
 LIMIT, LEAST, MOST = 400, 20, 60
 TOKEN = "[A-Za-z0-9_]+"
@@ -153,5 +152,5 @@ def split_chunks(chunks: DataFrame, limit: int = LIMIT, least: int = LEAST, most
     Needs least <= most < limit / 2. Texts are cut whole, independently of each
     other.
     """
-    return spread(oversized(chunks, limit), "csc_id", "chunk_id").mapInPandas(
+    return oversized(chunks, limit).mapInPandas(
         _split(limit, least, most), "csc_id string, chunk_id string, piece int, text string, char_start long, char_end long, overlap_tokens int, line_start int, line_end int")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolith.session import spread
+from repolith.session import cut, spread
 
 #: Texts at most that the regression is fitted on, and words at most that count as known.
 SAMPLE, VOCABULARY = 20_000, 200_000
@@ -222,7 +222,9 @@ def scored(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, source, score): the probability that a text was cut, of every document with text other than blanks.
 
     Equal texts have the highest score that one of them gets, so a copy under
-    another source is judged with its original; only hashes and scores meet.
+    another source is judged with its original; only hashes and scores meet, and
+    a text of which there are many copies is reduced before they do. Scores are
+    made once and kept in the shared checkpoint folder.
     Null, empty and blank texts have no row; null source and doc_type are values
     like others. A table without texts, or only of texts too short to cut, gives
     score 0.5 to each. Weights and known words are broadcast; they are bounded by
@@ -240,9 +242,9 @@ def scored(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("int64"), "source": b["source"], "copy": b["copy"], "score": [1 / (1 + exp(-max(-30.0, min(30.0, x)))) for x in z]})
 
     texts = documents.filter(F.col("text").rlike(r"\S")).select("doc_id", "text", "source", "doc_type", F.md5("text").alias("copy"))
-    each = spread(texts, "doc_id").mapInPandas(run, "doc_id long, source string, copy string, score double")
-    best = each.groupBy("copy").agg(F.max("score").alias("score"), F.collect_set(F.struct("doc_id", "source")).alias("of"))
-    return best.select(F.explode("of").alias("x"), "score").select("x.doc_id", "x.source", F.round("score", 6).alias("score"))
+    each = cut(spread(texts, "doc_id").mapInPandas(run, "doc_id long, source string, copy string, score double"))
+    best = each.groupBy("copy").agg(F.max("score").alias("score"))
+    return each.select("doc_id", "source", "copy").join(best, "copy").select("doc_id", "source", F.round("score", 6).alias("score")).distinct()
 
 
 def cut_share(documents: DataFrame, least: float = CUT) -> DataFrame:
