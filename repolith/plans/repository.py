@@ -171,12 +171,13 @@ def ref_a16_degrees(spark: SparkSession, d: str) -> DataFrame:
     return P.degrees(load(spark, d, "graph_edges"))
 
 
-@query(f"WITH {_FILES} SELECT csc_id, {_SUB} AS subsystem_id, sha256(string_agg(path || ':' || h, chr(10) ORDER BY path, h)) AS fingerprint FROM (SELECT DISTINCT csc_id, path, sha256(coalesce(text, '')) AS h FROM scan_records WHERE path IS NOT NULL) GROUP BY ALL")
+@query("SELECT DISTINCT csc_id, 'file::' || path AS fragment_id, sha256(path || chr(10) || coalesce(language, '') || chr(10) || array_to_string(list_concat(coalesce(functions, []), coalesce(classes, []), coalesce(imports, [])), chr(10)) || chr(10) || sha256(coalesce(text, ''))) AS fingerprint FROM scan_records WHERE path IS NOT NULL")
 def ref_a31_fragment_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    """One digest over the paths and digests of a subsystem's files; a subsystem gathers 64 signs and a path for each file."""
-    h = _scan(spark, d).filter("path IS NOT NULL").select("csc_id", "path", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h")).distinct()
-    grouped = h.groupBy("csc_id", P.subsystem(F.col("path")).alias("subsystem_id")).agg(F.array_sort(F.collect_list(F.struct("path", "h"))).alias("l"))
-    return grouped.select("csc_id", "subsystem_id", F.sha2(F.array_join(F.transform("l", lambda x: F.concat(x["path"], F.lit(":"), x["h"])), "\n"), 256).alias("fingerprint"))
+    """One digest over what each file's fragment of the graph is built from."""
+    empty = F.array().cast("array<string>")
+    named = F.array_join(F.concat(*(F.coalesce(c, empty) for c in ("functions", "classes", "imports"))), "\n")
+    whole = F.concat_ws("\n", "path", F.coalesce("language", F.lit("")), named, F.sha2(F.coalesce("text", F.lit("")), 256))
+    return _scan(spark, d).filter("path IS NOT NULL").select("csc_id", F.concat(F.lit("file::"), "path").alias("fragment_id"), F.sha2(whole, 256).alias("fingerprint")).distinct()
 
 
 _NODES = f"""{_FILES}, dirs AS (SELECT DISTINCT csc_id, unnest({_UP.format('path')}) AS path FROM file),
