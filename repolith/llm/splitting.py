@@ -18,13 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
 LIMIT, LEAST, MOST = 400, 20, 60
 TOKEN = "[A-Za-z0-9_]+"
 
 _TOKEN = re.compile(TOKEN)
 #: Line ends as the project counts lines.
-_LINE_END = re.compile("\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]")
+_LINE_END = re.compile("\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]")
 _SENTENCE_END = re.compile("[.!?…][\"'”’»)\\]]*\\s+|[。！？]\\s*|;\\s*\\}|[;{}]\\s+")
 #: Ranks of boundaries: token, sentence, line.
 _WORD, _SENTENCE, _LINE = 0, 1, 2

@@ -49,13 +49,14 @@ _LEXERS = {k: re.compile(f"(?P<comment>{c})|(?P<literal>{s})|(?P<open>{o})") for
 _LITERAL, _OPEN = "\x01", "\x00"
 
 _CONFLICT = re.compile(r"\n(?:<{7}|>{7}|\|{7}|={7})(?![<>|=])")
+_PACKAGE = re.compile(r"\s*package\s+\w")
 _NOT_DELIMITERS = re.compile(r"[^()\[\]{}]+")
 _CLOSERS = {")": "(", "]": "[", "}": "{"}
 
 #: Declarations at the start of a line, by the language that they show.
 _SHOWN = {
-    "html": r"^\s*<(?:!DOCTYPE|/?(?:html|head|body|p|h[1-6]|div|ul|li|table|title)\b)|\A\s*#+ [A-Z][^\n]*\n\s*\n\s*[A-Z]",
-    "markup": r"^\s*<(?:!DOCTYPE|html\b)|\A\s*#+ [A-Z][^\n]*\n\s*\n\s*[A-Z]",
+    "html": r"^\s*<(?:!DOCTYPE|/?(?:html|head|body|p|h[1-6]|div|ul|li|table|title)\b)|\A\s*#+ [A-Z][^\n]*\n\s*\n\s*[A-Z]|\A\s*\{\s*\x01\s*:",
+    "markup": r"^\s*<(?:!DOCTYPE|html\b)|\A\s*#+ [A-Z][^\n]*\n\s*\n\s*[A-Z]|\A\s*\{\s*\x01\s*:",
     "python": r"^[ \t]*(?:(?:def|class)\s+\w+[^\n;{]*:|(?:if|for|while|elif|with)\b[^\n;{}?]*[^\n;{}?:]:|(?:else|try|finally|except\b[^\n;{]*):)[ \t]*$|^from\s+[\w.]+\s+import\b|^[ \t]*import\s+\w+(?:\.\w+)*(?:\s+as\s+\w+)?[ \t]*$",
     "go": r"^package\s+\w+[ \t]*$|^func\s*(?:\([^)\n]*\)\s*)?\w+\s*\(|^import\s+(?:\w+\s+)?(?:\x01|\()\s*$|^type\s+\w+\s+(?:struct|interface)\s*\{|^[ \t]*\w+(?:,\s*\w+)*\s*:=",
     "rust": r"^[ \t]*(?:pub(?:\([^)\n]*\))?\s+)?(?:fn\s+\w+\s*[(<]|(?:struct|enum|trait|mod)\s+\w+[^;=\n]*\{[ \t]*$|impl\b[^;\n]*\{)|^[ \t]*let\s+mut\b|^(?:pub\s+)?use\s+\w+(?:::[\w{}*, ]+)+;",
@@ -155,6 +156,8 @@ def lex_error(text: str, lexer: str) -> str | None:
         return "foreign_language"
     if _OPEN in code:
         return "unterminated_literal"
+    if lexer == "go" and not _PACKAGE.match(code):
+        return "foreign_language" if code.strip() else "premature_end"
     if lexer in ("c", "cpp", "csharp") and "#" in code:
         code = _without_branches(code)
     if error := _stack(code):
@@ -205,7 +208,7 @@ def checked_files(files: DataFrame) -> DataFrame:
     error is null for files that parse, else merge_conflict, foreign_language,
     unterminated_literal, unbalanced_delimiter, premature_end, misplaced_token,
     unended_statement, indentation or invalid_syntax. Null texts are no files to
-    check; an empty text parses in every language. A path that is scanned with
+    check; an empty text parses in every language but Go, which wants a package. A path that is scanned with
     several texts gives a row for each. Each text is read whole, where its input
     split is read; texts travel only where there are fewer splits than cores.
     """

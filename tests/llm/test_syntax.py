@@ -20,9 +20,9 @@ BAD = {
     "c": [("int f() {\n  return 1;\n", "premature_end"), ("int a[3;\n", "premature_end"), ("class A { int x; };\n", "foreign_language"), ("/* never closed", "unterminated_literal"), ("int f() { return g(1,); }\n", "misplaced_token")],
     "cpp": [("int f() { return 1; ", "premature_end"), ("fn main() {}\nlet mut x = 1;\n", "foreign_language"), ("# Title\n\nSome words about it.\n", "foreign_language")],
     "csharp": [("class A { string s = \"abc; }", "unterminated_literal"), ("import a.b.c;\nclass A {}\n", "foreign_language"), ("using System\n", "premature_end")],
-    "go": [("package a\nfunc f() {\n\tx := (1\n}\n", "unbalanced_delimiter"), ("package a\nvar x = `raw", "unterminated_literal"), ("package a\n=======\n", "merge_conflict"), ("package a\nvar x =\n", "premature_end")],
+    "go": [("package a\nfunc f() {\n\tx := (1\n}\n", "unbalanced_delimiter"), ("package a\nvar x = `raw", "unterminated_literal"), ("package a\n=======\n", "merge_conflict"), ("package a\nvar x =\n", "premature_end"), ("", "premature_end"), ("name: x\n", "foreign_language"), ('{\n  "a": [1, 2]\n}\n', "foreign_language")],
     "rust": [("fn f() { let s = \"abc; }", "unterminated_literal"), ("fn f() { g(1; }", "unbalanced_delimiter"), ("package a\nfunc f() {}\n", "foreign_language")],
-    "javascript": [("const x = `a ${b}", "unterminated_literal"), ("function f() { return (1; }", "unbalanced_delimiter"), ("const a: number = 1;\n", "foreign_language"), ("x = [1, 2", "premature_end")],
+    "javascript": [("const x = `a ${b}", "unterminated_literal"), ("function f() { return (1; }", "unbalanced_delimiter"), ("const a: number = 1;\n", "foreign_language"), ("x = [1, 2", "premature_end"), ('{"a": {"b": 1}}\n', "foreign_language")],
     "typescript": [("const a: number = (1;\n", "premature_end"), ("class A:\n    def f(self):\n        pass\n", "foreign_language")],
     "python": [("def f(:\n  pass\n", None), ("def f(a)\n    pass\n", None), ("x = 'abc\n", None), ("if x:\n    a\n      b\n", "indentation"), ("package a;\n", None), ("print 'x'\n", None)],
 }
