@@ -50,7 +50,7 @@ def test_very_long_and_deep():
 
 def test_tables(spark):
     schema = "csc_id string, path string, text string, error string, lexer string, bad string"
-    files = spark.createDataFrame([("r", "a.py", "x = (", "e", "l", "b"), ("r", "a.py", "x = (", "e", "l", "b"), ("r", "b.PY", "x", "e", "l", "b"), ("r", "c.c", None, "e", "l", "b"), ("r", "d.txt", "(", "e", "l", "b"), (None, "e.go", "func(", "e", "l", "b"), ("r", None, "(", "e", "l", "b"), ("r", "x.h", "class A {};", "e", "l", "b"), ("r", "x.c", "class A {};", "e", "l", "b")], schema)
+    files = spark.createDataFrame([("r", "a.py", "x = (", "e", "l", "b"), ("r", "a.py", "x = (", "e", "l", "b"), ("r", "b.PY", "x", "e", "l", "b"), ("r", "c.c", None, "e", "l", "b"), ("r", "d.txt", "(", "e", "l", "b"), (None, "e.go", "package a\nfunc(", "e", "l", "b"), ("r", None, "(", "e", "l", "b"), ("r", "x.h", "class A {};", "e", "l", "b"), ("r", "x.c", "class A {};", "e", "l", "b")], schema)
     got = {(r["csc_id"], r["path"]): r["error"] for r in S.checked_files(files).collect()}
     assert got == {("r", "a.py"): "premature_end", ("r", "b.PY"): None, (None, "e.go"): "premature_end", ("r", "x.h"): None, ("r", "x.c"): "foreign_language"}
     nodes = spark.createDataFrame([("r", "file::a.py", "a.py", " Python "), ("r", "file::b.PY", "b.PY", None)], "csc_id string, node_id string, path string, language string")
