@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from repolith.functions.paths import FILE, normal_node_id, normal_path, parent_dir
 from repolith.session import cut
 
+#: Rows of a level up to which it is broadcast to the nodes; a larger one meets them by a shuffle. A row has two ids, so this is some tens of MB at most.
+BROADCAST_ROWS = 100_000
 #: Statuses of a dependency that claims a target.
 RESOLVED = ("resolved_exact", "resolved_heuristic")
 
@@ -79,19 +81,20 @@ def orphan_cascade(nodes: DataFrame, edges: DataFrame, dependencies: DataFrame,
     direct. Repeated rows count once. Empty tables give no rows. Containment is a
     tree of paths, so the levels end after its depth; max_depth only guards
     against a cycle in foreign data and raises when reached. Each level reads the
-    level before from the shared checkpoint folder; only its emptiness reaches the
+    level before from the shared checkpoint folder; only its number of rows reaches the
     driver.
     """
-    live, family = live_nodes(nodes), node_parents(nodes).distinct()
+    live, family = live_nodes(nodes), node_parents(nodes)
     orphaned = cut(_dead(family, "parent", live).select("csc_id", "node", "at").distinct())
     levels, frontier = [orphaned.withColumn("depth", F.lit(0))], orphaned
-    while not frontier.isEmpty():
+    while size := frontier.count():
         if len(levels) > max_depth:
             raise RuntimeError("containment has a cycle")
         known = reduce(DataFrame.unionByName, (x.select("csc_id", "node", "at") for x in levels))
         above = frontier.select(F.col("csc_id").alias("u_csc"), F.col("node").alias("u_node")).distinct()
+        above = F.broadcast(above) if size <= BROADCAST_ROWS else above
         frontier = cut(family.join(above, (F.col("csc_id") == F.col("u_csc")) & (F.col("parent") == F.col("u_node")), "left_semi")
-                       .select("csc_id", "node", "at").join(known, ["csc_id", "node", "at"], "left_anti"))
+                       .select("csc_id", "node", "at").distinct().join(known, ["csc_id", "node", "at"], "left_anti"))
         levels.append(frontier.withColumn("depth", F.lit(len(levels))))
     lost = reduce(DataFrame.unionByName, levels)
     refs = references(edges, dependencies)
