@@ -209,3 +209,12 @@ def test_stream(spark, tmp_path):
     q = out.writeStream.outputMode("append").format("memory").queryName("counts").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     assert rows(spark.table("counts"), "event_type", "events", "value") == [("a", 2, 3.0)]
+
+
+def test_line_units_and_corpus(spark):
+    from repolith.operators import corpus
+
+    f = spark.createDataFrame([("r", "a", "a b c\nd e f\ng h i\n"), ("r", "b", "one\n" * 3), ("r", "c", None), ("r", "d", "w " * 20)], "csc_id string, path string, text string")
+    assert rows(corpus.line_units(f, 5), "path", "line_start", "line_end", "token_count") == [("a", 1, 1, 3), ("a", 2, 2, 3), ("a", 3, 3, 3), ("b", 1, 3, 3), ("d", 1, 1, 20)]
+    two = spark.createDataFrame([("r", "a", "a b\nc d"), ("r", "b", "e f g h")], f.schema)
+    assert rows(corpus.corpus(two, 16), "path", "bin") == [("a", 0), ("b", 0)]
