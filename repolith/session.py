@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -47,3 +49,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df._jdf.queryExecution().toRdd().getNumPartitions() >= spark.sparkContext.defaultParallelism:
         return df
     return df.repartition(parallelism(spark), *keys)
+
+
+def slices(batch: pd.DataFrame, column: str, size: int = 4_000_000) -> Iterator[pd.DataFrame]:
+    """Parts of a batch of at most `size` characters in a column of texts, or one row: what Python builds for a text is many times its size."""
+    length = batch[column].str.len().fillna(0).to_numpy(dtype="int64") if len(batch) else []
+    part = (length.cumsum() // size) if len(batch) else []
+    begin = 0
+    for i in range(1, len(batch) + 1):
+        if i == len(batch) or part[i] != part[begin]:
+            yield batch.iloc[begin:i]
+            begin = i
