@@ -18,7 +18,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from repolith.session import spread
+from repolith.session import slices, spread
 
 #: Folder of the public vocabulary files; a parameter of every function that reads one.
 FOLDER = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -197,7 +197,7 @@ def encode(documents: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, known = PairTable(ranks.value), {}
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch, "text")):
             yield pd.DataFrame({"doc_id": b["doc_id"], "ids": encode_texts(b["text"].where(b["text"].notna(), None).tolist(), table, known)})
 
     return spread(documents.select("doc_id", "text"), "doc_id").mapInPandas(run, "doc_id long, ids array<int>")

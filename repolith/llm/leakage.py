@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolith.session import spread
+from repolith.session import slices, spread
 
 Q = 8
 #: Consecutive tokens in common that make a leak; shorter items must stand whole.
@@ -196,7 +196,7 @@ class GramIndex:
 def _search(block: list[tuple[int, str]]):  # noqa: ANN202
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = GramIndex(block)
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch, "text")):
             found = index.leaks([normal_text(t) for t in b["text"].where(b["text"].notna(), None)])
             length = found["item_end"] - found["item_start"]
             found = found[found["exact"] | (length >= REGION) & (found["edits"] <= EDITS * length)]

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repolith.session import slices
+
 LIMIT, LEAST, MOST = 400, 20, 60
 TOKEN = "[A-Za-z0-9_]+"
 
@@ -122,7 +124,7 @@ def _lines(text: str, pieces: list[tuple[int, int, int]]) -> list[tuple[int, int
 
 def _split(limit: int, least: int, most: int):  # noqa: ANN202
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch, "text")):
             texts, rows = b["text"].tolist(), []
             for csc, chunk, first, last, text, pieces in zip(b["csc_id"], b["chunk_id"], b["line_start"], b["line_end"], texts, split_texts(texts, limit, least, most) if texts else [], strict=True):
                 lined = not (pd.isna(first) or pd.isna(last))

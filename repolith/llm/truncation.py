@@ -18,10 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolith.session import cut, spread
+from repolith.session import cut, slices, spread
 
 #: Texts at most that the regression is fitted on, and words at most that count as known.
 SAMPLE, VOCABULARY = 20_000, 200_000
+#: Characters of a text at most that the regression is fitted on; longer ones are scored, but not fitted on.
+SAMPLE_CHARS = 8_000
 BITS = 18
 #: Score from which a text counts as cut.
 CUT = 0.5
@@ -181,14 +183,15 @@ def known_words(documents: DataFrame, most: int = VOCABULARY) -> dict[str, int]:
 def model(documents: DataFrame, sample: int = SAMPLE, seed: int = 11) -> tuple[np.ndarray, dict[str, int], dict[str | None, tuple[int | None, int | None]], float]:
     """Weights, known words, limits by source, and the share of held-out examples that are told right.
 
-    The regression is fitted on at most `sample` texts, those of least hash: as
+    The regression is fitted on at most `sample` texts of at most SAMPLE_CHARS
+    characters, those of least hash: as
     they are, if not at their source's limit, and cut; then again without the texts
     of the first kind that look cut. A tenth is held out. Words
     and limits are counted over all documents; limits are as many as sources.
     """
     known = known_words(documents)
     top = {r["source"]: (r["max_chars"], r["max_bytes"]) for r in limits(documents).toLocalIterator()}
-    chosen = documents.filter(F.col("text").rlike(r"\S")).select("text", "source", "doc_type", F.xxhash64("text", F.lit(seed)).alias("h")).orderBy("h", "source").limit(sample).collect()
+    chosen = documents.filter(F.col("text").rlike(r"\S") & (F.length("text") <= SAMPLE_CHARS)).select("text", "source", "doc_type", F.xxhash64("text", F.lit(seed)).alias("h")).orderBy("h", "source").limit(sample).collect()
     rng, examples, label = np.random.default_rng(seed), [], []
     for r in chosen:
         c, b = top.get(r["source"], (None, None))
@@ -235,7 +238,7 @@ def scored(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w, known, top = shared.value
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch, "text")):
             b = b.astype(object).where(b.notna(), None)
             out = [features(t, k, below(t, *top.get(s, (None, None))), known) for t, s, k in zip(b["text"], b["source"], b["doc_type"], strict=True)]
             z = w[_rows(out)].sum(axis=1) + w[-1] if out else np.empty(0)
