@@ -82,21 +82,57 @@ _FOREIGN = {
 _EXTRA = {"csharp": r"^package\s+[\w.]+\s*;|^import\s+[\w.]+\s*;|^[ \t]*#\s*(?:include|define\s+\w+\s+\S)|^[ \t]*static\s+inline\b",
           "java": r"^[ \t]*using\s+[\w.]+\s*;|^[ \t]*namespace\s+[\w.]+\s*[{;]|^[ \t]*internal\s+\w", "go": r"^[ \t]*(?:class|namespace)\s+\w|^[ \t]*(?:while|using)\b",
           "rust": r"^[ \t]*(?:class|namespace|func|def)\s+\w|^[ \t]*(?:int|void|var)\s+\w"}
-#: One search per file; a line start is written as the line end before it, which is quick to find.
-_FOREIGN_RE = {k: re.compile(re.sub(r"(?<!\[)\^", r"\\n", "|".join([*(_SHOWN[x] for x in v), *([_EXTRA[k]] if k in _EXTRA else [])])), re.M) for k, v in _FOREIGN.items()}
+
+
+def _alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern at its top level."""
+    out, depth, begin, i = [], 0, 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif c == "[":
+            i = pattern.index("]", i + 2)
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and not depth:
+            out.append(pattern[begin:i])
+            begin = i + 1
+        i += 1
+    return [*out, pattern[begin:]]
+
+
+def _line_starts(patterns: list[str]) -> tuple[re.Pattern, re.Pattern]:
+    """One search for all of them, and one match for those that only begin a text: a line start is the line end before it, which is quick to find, and blanks that may follow are read once."""
+    every = [x for p in patterns for x in _alternatives(p)]
+    indented, first, other, begin = [], [], [], []
+    for x in every:
+        if x.startswith("^[ \\t]*"):
+            indented.append(x[len("^[ \\t]*"):])
+        elif x.startswith("^") and not x.startswith("^\\s"):
+            first.append(x[1:])
+        elif x.startswith("\\A"):
+            begin.append(x)
+        else:
+            other.append(re.sub(r"(?<!\[)\^", r"\\n", x))
+    lines = [f"\\n(?:{'|'.join([*first, *([f'[ \\t]*(?:' + '|'.join(indented) + ')'] if indented else [])])})"]
+    return re.compile("|".join(lines + other), re.M), re.compile("|".join(begin) or r"(?!)")
+
+
+_FOREIGN_RE = {k: _line_starts([*(_SHOWN[x] for x in v), *([_EXTRA[k]] if k in _EXTRA else [])]) for k, v in _FOREIGN.items()}
 
 #: What no file ends with, and neighbours that no grammar of the language allows.
 _SEMICOLON = ("c", "cpp", "java", "csharp", "rust")
 _DANGLING = re.compile(r"(?:[=,(\[{.&|?:<]|(?<!\+)\+|(?<!-)-|[*/%^])\s*\Z")
 _PAIRS = {k: re.compile(p, re.M) for k, p in {
-    "c": r"(?:[=*/%&|^<>!?,\[]|(?<!\+)\+|(?<!-)-)\s*;|,\s*\)|(?:[=/%|^<>?]|(?<!\+)\+)\s*[)\]]|\(\s*[,*/%|=]|if(?<=[\s{};)]if)(?!\w)\s*(?!\s)[^\s(]|while(?<=[\s{};)]while)(?!\w)\s*(?!\s)[^\s(]|switch(?<=[\s{};)]switch)(?!\w)\s*(?!\s)[^\s(]|;\s*,|=\s*[})]",
-    "java": r"(?:[=*/%&|^!?,\[]|(?<!\+)\+)\s*;|,\s*\)|(?:[=*/%|^]|(?<!\+)\+)\s*\)|\(\s*[,*/%|=]|if(?<=[\s{};)]if)(?!\w)\s*(?!\s)[^\s(]|while(?<=[\s{};)]while)(?!\w)\s*(?!\s)[^\s(]|switch(?<=[\s{};)]switch)(?!\w)\s*(?!\s)[^\s(]|;\s*,",
-    "csharp": r"(?:[=*/%&|^,\[]|(?<!\+)\+)\s*;|,\s*\)|(?:[=/%|^]|(?<!\+)\+)\s*\)|\(\s*[,*/%|=](?!>)|if(?<=[\s{};)]if)(?!\w)\s*(?!\s)[^\s(,;)}.]|while(?<=[\s{};)]while)(?!\w)\s*(?!\s)[^\s(,;)}.]|switch(?<=[\s{};)]switch)(?!\w)\s*(?!\s)[^\s(,;)}.]|;\s*,",
-    "go": r"(?:[=*/%&|^!,]|(?<!\+)\+)\s*;|[=+*/%|^]\s*\)|\(\s*[,/%|=]|\)\s*else\b",
+    "c": r"(?:[=*/%&|^<>!?,\[]|\+(?<!\+\+)|-(?<!--))\s*;|,\s*\)|(?:[=/%|^<>?]|\+(?<!\+\+))\s*[)\]]|\(\s*[,*/%|=]|if(?<=[\s{};)]if)(?!\w)\s*(?!\s)[^\s(]|while(?<=[\s{};)]while)(?!\w)\s*(?!\s)[^\s(]|switch(?<=[\s{};)]switch)(?!\w)\s*(?!\s)[^\s(]|;\s*,|=\s*[})]",
+    "java": r"(?:[=*/%&|^!?,\[]|\+(?<!\+\+))\s*;|,\s*\)|(?:[=*/%|^]|\+(?<!\+\+))\s*\)|\(\s*[,*/%|=]|if(?<=[\s{};)]if)(?!\w)\s*(?!\s)[^\s(]|while(?<=[\s{};)]while)(?!\w)\s*(?!\s)[^\s(]|switch(?<=[\s{};)]switch)(?!\w)\s*(?!\s)[^\s(]|;\s*,",
+    "csharp": r"(?:[=*/%&|^,\[]|\+(?<!\+\+))\s*;|,\s*\)|(?:[=/%|^]|\+(?<!\+\+))\s*\)|\(\s*[,*/%|=](?!>)|if(?<=[\s{};)]if)(?!\w)\s*(?!\s)[^\s(,;)}.]|while(?<=[\s{};)]while)(?!\w)\s*(?!\s)[^\s(,;)}.]|switch(?<=[\s{};)]switch)(?!\w)\s*(?!\s)[^\s(,;)}.]|;\s*,",
+    "go": r"(?:[=*/%&|^!,]|\+(?<!\+\+))\s*;|[=+*/%|^]\s*\)|\(\s*[,/%|=]|\)\s*else\b",
     "rust": r"[=+/%^,]\s*;|[=+/%^]\s*\)|\(\s*[,/%=]|;\s*,",
-    "javascript": r"(?:[=*/%&|^?,]|(?<!\+)\+)\s*;|(?:[=*/%|^]|(?<!\+)\+)\s*\)|\(\s*[*/%|=](?!\*)|if(?<=[\s{};)]if)(?!\w)\s*(?!\s)[^\s(:.,;)}=]|while(?<=[\s{};)]while)(?!\w)\s*(?!\s)[^\s(:.,;)}=]|switch(?<=[\s{};)]switch)(?!\w)\s*(?!\s)[^\s(:.,;)}=]|;\s*,",
+    "javascript": r"(?:[=*/%&|^?,]|\+(?<!\+\+))\s*;|(?:[=*/%|^]|\+(?<!\+\+))\s*\)|\(\s*[*/%|=](?!\*)|if(?<=[\s{};)]if)(?!\w)\s*(?!\s)[^\s(:.,;)}=]|while(?<=[\s{};)]while)(?!\w)\s*(?!\s)[^\s(:.,;)}=]|switch(?<=[\s{};)]switch)(?!\w)\s*(?!\s)[^\s(:.,;)}=]|;\s*,",
 }.items()}
-_PAIRS["typescript"], _PAIRS["cpp"] = _PAIRS["javascript"], re.compile(r"(?:[=*/%|^<!?,\[]|(?<!operator)(?<!\+)\+|(?<!-)-)\s*;|\(\s*[,/%|]|while(?<=[\s{};)]while)(?!\w)\s*(?!\s)[^\s(]|switch(?<=[\s{};)]switch)(?!\w)\s*(?!\s)[^\s(]|if(?<=[\s{};)]if)(?!\w)\s*(?!\s)(?!constexpr\b|consteval\b|!)[^\s(]|;\s*,", re.M)
+_PAIRS["typescript"], _PAIRS["cpp"] = _PAIRS["javascript"], re.compile(r"(?:[=*/%|^<!?,\[]|\+(?<!\+\+)(?<!operator\+)|-(?<!--))\s*;|\(\s*[,/%|]|while(?<=[\s{};)]while)(?!\w)\s*(?!\s)[^\s(]|switch(?<=[\s{};)]switch)(?!\w)\s*(?!\s)[^\s(]|if(?<=[\s{};)]if)(?!\w)\s*(?!\s)(?!constexpr\b|consteval\b|!)[^\s(]|;\s*,", re.M)
 #: A statement that begins on the next line although the one before has not ended.
 _UNENDED = re.compile(r"[\w)\]\x01][ \t]*\n\s*(?:return|if|for|while|int|let|var|static|public|private|internal|pub|fn|use|using|import|package|class|break|continue|trace|log|Log)\b(?!\s*!?=)")
 _HEADER_END = re.compile(r"(?:\b(?:if|for|while|switch|else|do|match|loop|catch|foreach|unsafe|try|finally)\b[^\n]*|^[ \t]*(?:#|@|\[)[^\n]*|->[^\n]*|\bwhere\b[^\n]*|\b(?:class|struct|enum|namespace|interface)\b[^\n]*|[^\n;=]*\))\Z", re.M)
@@ -152,7 +188,8 @@ def lex_error(text: str, lexer: str) -> str | None:
     code = "\n" + _LEXERS[lexer].sub(_mask, text)
     if _CONFLICT.search(code):
         return "merge_conflict"
-    if _FOREIGN_RE[lexer].search(code):
+    anywhere, beginning = _FOREIGN_RE[lexer]
+    if beginning.match(code) or anywhere.search(code):
         return "foreign_language"
     if _OPEN in code:
         return "unterminated_literal"
