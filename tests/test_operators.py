@@ -218,3 +218,30 @@ def test_line_units_and_corpus(spark):
     assert rows(corpus.line_units(f, 5), "path", "line_start", "line_end", "token_count") == [("a", 1, 1, 3), ("a", 2, 2, 3), ("a", 3, 3, 3), ("b", 1, 3, 3), ("d", 1, 1, 20)]
     two = spark.createDataFrame([("r", "a", "a b\nc d"), ("r", "b", "e f g h")], f.schema)
     assert rows(corpus.corpus(two, 16), "path", "bin") == [("a", 0), ("b", 0)]
+
+
+def test_workspace(tmp_path, spark):
+    from repolith import cli, workspace
+
+    assert workspace.Layout("/x/", "w").tool("ask") == "/x/workspaces/w/tools/ask"
+    assert workspace.store_root("/a/b/postings/") == "/a/b" == workspace.store_root("/a/b")
+    (tmp_path / "p.yaml").write_text("sources: [src]\ntop_k: 3\n")
+    c = workspace.load_config(f"{tmp_path}/p.yaml")
+    assert c.top_k == 3 and c.sources == [str((tmp_path / "src").resolve())]
+    for bad in ('{"nope": 1}', '{"top_k": "x"}', "[]"):
+        (tmp_path / "b.json").write_text(bad)
+        with pytest.raises(ValueError):
+            workspace.load_config(f"{tmp_path}/b.json")
+    assert workspace.as_json(spark.createDataFrame([(1, "x")], "b int, a string")).first()[0] == '{"a":"x","b":1}'
+    metrics: list = []
+    with workspace.timed(metrics, "s"):
+        pass
+    assert metrics[0]["stage"] == "s"
+    assert cli.main(["list"]) == 0
+    with pytest.raises(SystemExit):
+        cli.main(["run", "nothing", "x"], spark)
+
+
+def test_bodies_round_trip(spark):
+    s = spark.createDataFrame([("r", 1, "A", "one\n\n### deep\n\ntwo"), ("r", 2, "B", "x")], "k string, place int, title string, body string")
+    assert rows(rendering.bodies(rendering.documents(s, ["k"]), ["k"]), "number", "title", "body") == [(1, "A", "one\n\n### deep\n\ntwo"), (2, "B", "x")]
