@@ -129,8 +129,16 @@ def expand(anchors: DataFrame, edges: DataFrame, depth: int = 2, limit: int = 48
     A node is found by the least (frontier node, edge_id) of the nearest level;
     nodes are cut in order of (distance, frontier node, edge_id). The anchor itself
     is no hit.
+
+    Of a node's neighbours only the first 2 * limit + 2 by edge_id are followed,
+    which changes nothing: where an anchor has fewer than limit neighbours itself, at
+    most limit + 1 of those are seen already, and the others fill the limit. So a
+    hub costs each anchor no more than that.
     """
-    keys, near = ["csc_id", "anchor"], neighbours(edges)
+    keys = ["csc_id", "anchor"]
+    first = neighbours(edges).groupBy("csc_id", "node_id", "neighbour").agg(F.min("edge_id").alias("edge_id"))
+    place = F.row_number().over(Window.partitionBy("csc_id", "node_id").orderBy("edge_id", "neighbour"))
+    near = first.withColumn("place", place).filter(F.col("place") <= 2 * limit + 2).drop("place")
     seen = anchors.select(*keys, F.col("anchor").alias("node_id"), F.lit(0).alias("distance"), F.lit(None).cast("string").alias("edge_id"), F.lit(None).cast("string").alias("via")).distinct()
     frontier = seen
     for step in range(1, min(max(depth, 1), 2) + 1):

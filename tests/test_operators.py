@@ -67,6 +67,33 @@ def test_expand(spark):
     assert rows(repository.expand(a, e, 2, 1), "node_id") == [("b",)]
 
 
+def test_expand_around_hubs(spark):
+    import random
+
+    r = random.Random(2)
+    edges = [("r", f"e{i:04d}", "t", f"n{r.randrange(40) if r.random() < 0.6 else 0}", f"n{r.randrange(40)}") for i in range(400)]
+    near: dict = {}
+    for _, e, _, a, b in edges:
+        near.setdefault(a, []).append((e, b))
+        near.setdefault(b, []).append((e, a))
+    want = []
+    for anchor in (f"n{i}" for i in range(40)):
+        seen, frontier, hits = {anchor}, [anchor], []
+        for step in (1, 2):
+            found: dict = {}
+            for via in frontier:
+                for e, x in near.get(via, []):
+                    if x not in seen:
+                        found[x] = min(found.get(x, (via, e)), (via, e))
+            hits += [(step, *f, x) for x, f in found.items()]
+            seen |= set(found)
+            frontier = list(found)
+        want += [(anchor, x, step) for step, _, _, x in sorted(hits)[:3]]
+    df = spark.createDataFrame(edges, "csc_id string, edge_id string, edge_type string, source_id string, target_id string")
+    anchors = spark.createDataFrame([("r", f"n{i}") for i in range(40)], "csc_id string, anchor string")
+    assert rows(repository.expand(anchors, df, 2, 3), "anchor", "node_id", "distance") == sorted(want, key=str)
+
+
 def test_line_chunks_keep_numbers(spark):
     s = spark.createDataFrame([("r", "a", "\n".join(f"l{i}" if i < 40 or i >= 80 else "" for i in range(85))), ("r", "b", None), ("r", "c", "  \n")], "csc_id string, path string, text string")
     assert rows(repository.line_chunks(s), "chunk_id") == [("code::a::1-40",), ("code::a::81-85",)]
