@@ -22,7 +22,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     machine-local folder would not outlive its machine.
     """
     context = spark.sparkContext
-    named = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    named = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
