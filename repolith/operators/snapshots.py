@@ -21,7 +21,7 @@ def snapshot_order(checkpoints: DataFrame, rows: DataFrame) -> DataFrame:
     one row per checkpoint, never the records of a snapshot.
     """
     known = checkpoints.groupBy("workspace_id", "checkpoint_id").agg(
-        F.max(F.expr("try_cast(target_commit_timestamp AS timestamp)")).alias("at"), F.max("tree_sha").alias("tree_sha"))
+        F.max(F.expr("try_cast(target_commit_timestamp AS timestamp_ltz)")).alias("at"), F.max("tree_sha").alias("tree_sha"))
     delivered = rows.select("workspace_id", "checkpoint_id").distinct()
     w = Window.partitionBy("workspace_id").orderBy(F.col("at").asc_nulls_first(), "checkpoint_id")
     return known.join(delivered, ["workspace_id", "checkpoint_id"]).select(

@@ -121,7 +121,7 @@ _AT = "try_cast(target_commit_timestamp AS timestamptz)"
   SELECT workspace_id, coalesce(arg_min(checkpoint_id, back) FILTER (WHERE back > 1 AND src IS NOT DISTINCT FROM 'explicit_override'), arg_max(checkpoint_id, back) FILTER (WHERE back > 1 AND back <= 4)) AS previous FROM c GROUP BY ALL""")
 def ref_w10_previous_benchmark(spark: SparkSession, d: str) -> DataFrame:
     """The checkpoint to compare the newest with: the newest explicit one before it, else the third before."""
-    c = load(spark, d, "history_checkpoints").select("workspace_id", "checkpoint_id", F.col("previous_checkpoint_source").alias("src"), F.expr("try_cast(target_commit_timestamp AS timestamp)").alias("at")).distinct()
+    c = load(spark, d, "history_checkpoints").select("workspace_id", "checkpoint_id", F.col("previous_checkpoint_source").alias("src"), F.expr("try_cast(target_commit_timestamp AS timestamp_ltz)").alias("at")).distinct()
     b = c.withColumn("back", F.row_number().over(Window.partitionBy("workspace_id").orderBy(F.col("at").desc_nulls_last(), F.desc("checkpoint_id"))))
     told = F.min_by("checkpoint_id", F.when((F.col("back") > 1) & F.col("src").eqNullSafe("explicit_override"), F.col("back")))
     return b.groupBy("workspace_id").agg(F.coalesce(told, F.max_by("checkpoint_id", F.when((F.col("back") > 1) & (F.col("back") <= 4), F.col("back")))).alias("previous"))

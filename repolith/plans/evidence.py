@@ -223,7 +223,7 @@ def ref_st01_windowed_counts(spark: SparkSession, d: str) -> DataFrame:
     done = stream.windowed_counts(events).writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/{name}/state").option("path", f"{folder}/{name}/out").trigger(availableNow=True).start()
     done.awaitTermination()
     out = spark.read.schema("window_start timestamp, event_type string, events long, value double").parquet(f"{folder}/{name}/out")
-    return out.select("window_start", "event_type", "events")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "events")
 
 
 @query("""SELECT severity, check_id, count(*) AS findings FROM (SELECT CASE WHEN text IS NULL THEN 'error' ELSE 'warning' END AS severity, CASE WHEN text IS NULL THEN 'missing_text' WHEN trim(text) = '' THEN 'blank_text' ELSE 'no_lines' END AS check_id

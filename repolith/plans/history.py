@@ -136,7 +136,7 @@ _AT = "try_cast(target_commit_timestamp AS timestamptz)"
 @query(f"WITH c AS (SELECT DISTINCT workspace_id, checkpoint_id, target_commit, previous_checkpoint_commit, {_AT} AS t_at FROM history_checkpoints), l AS (SELECT *, lag(target_commit) OVER (PARTITION BY workspace_id ORDER BY t_at NULLS FIRST, checkpoint_id) AS found FROM c) SELECT workspace_id, checkpoint_id, found AS previous_commit, previous_checkpoint_commit IS NOT DISTINCT FROM found AS as_told FROM l")
 def ref_j14_previous_checkpoint(spark: SparkSession, d: str) -> DataFrame:
     """The checkpoint before each, by instant, and whether the row tells the same."""
-    c = load(spark, d, "history_checkpoints").select("workspace_id", "checkpoint_id", "target_commit", "previous_checkpoint_commit", F.expr("try_cast(target_commit_timestamp AS timestamp)").alias("at")).distinct()
+    c = load(spark, d, "history_checkpoints").select("workspace_id", "checkpoint_id", "target_commit", "previous_checkpoint_commit", F.expr("try_cast(target_commit_timestamp AS timestamp_ltz)").alias("at")).distinct()
     found = F.lag("target_commit").over(Window.partitionBy("workspace_id").orderBy(F.col("at").asc_nulls_first(), "checkpoint_id"))
     return c.select("workspace_id", "checkpoint_id", found.alias("previous_commit"), "previous_checkpoint_commit").select("workspace_id", "checkpoint_id", "previous_commit", F.col("previous_checkpoint_commit").eqNullSafe(F.col("previous_commit")).alias("as_told"))
 
@@ -164,7 +164,7 @@ def ref_a22_checkpoint_score(spark: SparkSession, d: str) -> DataFrame:
   p AS (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY back = 1 DESC, checkpoint_id) AS n FROM c) SELECT workspace_id, checkpoint_id, back = 1 AS is_target FROM p WHERE n <= 12""")
 def ref_t04_prompt_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Twelve candidates of each workspace, its newest checkpoint always among them."""
-    c = load(spark, d, "history_checkpoints").select("workspace_id", "checkpoint_id", F.expr("try_cast(target_commit_timestamp AS timestamp)").alias("at")).distinct()
+    c = load(spark, d, "history_checkpoints").select("workspace_id", "checkpoint_id", F.expr("try_cast(target_commit_timestamp AS timestamp_ltz)").alias("at")).distinct()
     back = c.withColumn("back", F.row_number().over(Window.partitionBy("workspace_id").orderBy(F.col("at").desc_nulls_last(), F.desc("checkpoint_id"))))
     w = Window.partitionBy("workspace_id").orderBy(F.desc(F.col("back") == 1), "checkpoint_id")
     return back.withColumn("n", F.row_number().over(w)).filter("n <= 12").select("workspace_id", "checkpoint_id", (F.col("back") == 1).alias("is_target"))

@@ -18,3 +18,10 @@ def test_spread_and_checkpoint_folder(spark):
     assert spread(df, "id").rdd.getNumPartitions() > 1 and spread(df, "id").count() == 10
     assert spread(spark.range(0, 10, 1, 50), "id").rdd.getNumPartitions() == 50
     assert checkpoint_dir(spark) == checkpoint_dir(spark)
+
+
+def test_nothing_outside_imports_the_text_operators():
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1] / "repolith"
+    assert not [p for p in root.rglob("*.py") if "llm" not in p.relative_to(root).parts and "repolith.llm" in p.read_text()]
