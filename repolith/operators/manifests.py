@@ -23,14 +23,14 @@ GRADLE_ROLES = {
     "api": "runtime", "implementation": "runtime", "compileonly": "build", "runtimeonly": "runtime", "developmentonly": "development", "testimplementation": "test", "testruntimeonly": "test",
     "testcompileonly": "test", "testfixturesimplementation": "test", "annotationprocessor": "build", "kapt": "build", "ksp": "build", "classpath": "plugin",
 }
-TEST_GROUPS, DEV_GROUPS = ("test", "tests", "testing"), ("dev", "develop", "development", "lint", "docs", "doc", "typing", "types")
+TEST_GROUPS, DEV_GROUPS = ("test", "tests", "qa"), ("dev", "docs", "lint", "format", "type", "typing")
 REQUIREMENT = re.compile(r"^\s*([A-Za-z0-9_.-]+)")
 GRADLE = re.compile(r"([A-Za-z_][A-Za-z0-9_]*)\s*(?:\(|\s)\s*['\"]([^'\"]+)['\"]")
 GRADLE_DYNAMIC = re.compile(r"([A-Za-z_][A-Za-z0-9_]*)\s*\(\s*(libs\.[^)]+|project\([^)]+\))\s*\)")
 MESON, CMAKE = re.compile(r"dependency\(\s*['\"]([^'\"]+)['\"]"), re.compile(r"find_package\(\s*([A-Za-z0-9_+.-]+)")
 WORKSPACE = re.compile(r"(?:http_archive|git_repository|local_repository|new_local_repository)\s*\(.*?name\s*=\s*['\"]([^'\"]+)['\"]", re.S)
 CONAN = re.compile(r"(requires|tool_requires|test_requires)\s*=\s*(\[[^\]]*\]|\([^\)]*\)|['\"][^'\"]+['\"])", re.S)
-CONAN_ROLES = {"requires": "runtime", "tool_requires": "toolchain", "build_requires": "toolchain", "test_requires": "test"}
+CONAN_ROLES = {"requires": "runtime", "tool_requires": "toolchain", "test_requires": "test"}
 GO_BLOCK = re.compile(r"require\s*\((.*?)\)", re.S)
 
 

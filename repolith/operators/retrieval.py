@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from repolith.functions.text import bucket, quote, tokens
 
+# Saturation and length normalisation of BM25.
 K1, B = 1.5, 0.75
 #: Words that tell what a question is after, in order of precedence.
 INTENT_WORDS = {
@@ -36,6 +37,7 @@ TYPE_BIAS = {
     ("architecture", "directory_summary"): 0.06, ("architecture", "file_summary"): 0.06, ("architecture", "code"): 0.02,
     ("implementation", "code"): 0.07, ("implementation", "file_summary"): 0.03,
 }
+# Weights of a reranked score.
 LEXICAL_WEIGHT, ANCHOR_WEIGHT, GRAPH_WEIGHT = 0.65, 0.20, 0.15
 
 

@@ -62,10 +62,10 @@ def ref_w06_line_units(spark: SparkSession, d: str) -> DataFrame:
     return corpus.line_units(load(spark, d, "scan_records"), 400)
 
 
-_GROUPS = ("test", "dev", "docs", "lint-tools", "e2e_tests", "gpu", "", "typing")
+_GROUPS = ("test", "dev", "docs", "lint-tools", "e2e_tests", "gpu", "", "typing", "qa", "format")
 
 
-@query("SELECT g AS group_name, CASE WHEN n = '' THEN 'runtime' WHEN n IN ('test', 'tests', 'testing') THEN 'test' WHEN n IN ('dev', 'develop', 'development', 'lint', 'docs', 'doc', 'typing', 'types') THEN 'development' WHEN contains(n, 'test') THEN 'test' WHEN contains(n, 'dev') OR contains(n, 'lint') OR contains(n, 'docs') OR contains(n, 'type') THEN 'development' ELSE 'optional' END AS role FROM (SELECT g, replace(lower(g), '_', '-') AS n FROM (VALUES " + ", ".join(f"('{g}')" for g in _GROUPS) + ") AS v(g))")
+@query("SELECT g AS group_name, CASE WHEN n = '' THEN 'runtime' WHEN n IN ('test', 'tests', 'qa') THEN 'test' WHEN n IN ('dev', 'docs', 'lint', 'format', 'type', 'typing') THEN 'development' WHEN contains(n, 'test') THEN 'test' WHEN contains(n, 'dev') OR contains(n, 'lint') OR contains(n, 'docs') OR contains(n, 'type') THEN 'development' ELSE 'optional' END AS role FROM (SELECT g, replace(lower(g), '_', '-') AS n FROM (VALUES " + ", ".join(f"('{g}')" for g in _GROUPS) + ") AS v(g))")
 def ref_p26_group_roles(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(g, manifests.group_role(g)) for g in _GROUPS], "group_name string, role string")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from repolith.functions.text import lines, slug, stripped
 from repolith.operators import changes as C
+from repolith.operators.history import VARIANTS
 from repolith.plans.repository import _LANGUAGE, _LINES
 from repolith.session import load
 
@@ -99,9 +100,6 @@ def ref_p15_slug(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "graph_nodes").filter("label IS NOT NULL").select("csc_id", "node_id", slug(F.col("label")).alias("slug")).distinct()
 
 
-VARIANTS = ("strategy", "variant", "policy", "mode", "backend", "adapter")
-
-
 @query("SELECT DISTINCT csc_id, path, regexp_replace(regexp_extract(lower(path), '([^/]+)$', 1), '\\.[^.]*$', '') AS variant FROM scan_records WHERE regexp_matches(regexp_replace(regexp_extract(lower(path), '([^/]+)$', 1), '\\.[^.]*$', ''), 'strategy|variant|policy|mode|backend|adapter')")
 def ref_p16_variants(spark: SparkSession, d: str) -> DataFrame:
     """Files whose name tells of a variant."""

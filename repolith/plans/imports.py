@@ -76,14 +76,15 @@ def ref_p12_other_modules(spark: SparkSession, d: str) -> DataFrame:
     return I.import_keys(_scan(spark, d)).filter("language IN ('go', 'rust', 'cpp', 'java', 'csharp')").select("csc_id", "path", "language", "raw", "kind", "key")
 
 
-_DROP = "['import', 'from', 'use', 'using', 'include', 'package', 'crate', 'require', 'const', 'as', 'static']"
-
-
-@query(f"SELECT DISTINCT csc_id, path, token FROM (SELECT csc_id, path, unnest(list_transform(regexp_extract_all(raw, '[A-Za-z0-9_]+'), lambda x: lower(x))) AS token FROM (SELECT csc_id, path, unnest(imports) AS raw FROM scan_records)) WHERE NOT list_contains({_DROP}, token)")
+@query("""WITH t AS (SELECT DISTINCT csc_id, path, unnest(regexp_extract_all(raw, '[@A-Za-z0-9_./:-]+')) AS token FROM (SELECT csc_id, path, unnest(imports) AS raw FROM scan_records)),
+  u AS (SELECT * FROM t UNION SELECT csc_id, path, split_part(token, '::', 1) FROM t WHERE contains(token, '::') UNION SELECT csc_id, path, split_part(token, '/', 1) FROM t WHERE contains(token, '/') AND NOT starts_with(token, '@') UNION SELECT csc_id, path, split_part(token, '.', 1) FROM t WHERE contains(token, '.'))
+  SELECT * FROM u WHERE token NOT IN ('', 'from', 'import', 'use', 'as')""")
 def ref_p13_import_tokens(spark: SparkSession, d: str) -> DataFrame:
-    raw = _scan(spark, d).select("csc_id", "path", F.explode("imports").alias("raw"))
-    words = raw.select("csc_id", "path", F.explode(tokens(F.col("raw"))).alias("token")).distinct()
-    return words.filter(~F.col("token").isin("import", "from", "use", "using", "include", "package", "crate", "require", "const", "as", "static"))
+    """Names that an import may mean: its words, and what stands before the first `::`, `/` or `.` of each."""
+    words = _scan(spark, d).select("csc_id", "path", F.explode("imports").alias("raw")).select("csc_id", "path", F.explode(F.regexp_extract_all("raw", F.lit("[@A-Za-z0-9_./:-]+"), F.lit(0))).alias("t"))
+    head = lambda mark, ok: F.when(F.col("t").contains(mark) & ok, F.split_part("t", F.lit(mark), F.lit(1)))
+    every = F.array_compact(F.array("t", head("::", F.lit(True)), head("/", ~F.col("t").startswith("@")), head(".", F.lit(True))))
+    return words.select("csc_id", "path", F.explode(every).alias("token")).filter(~F.col("token").isin("", "from", "import", "use", "as")).distinct()
 
 
 @query("SELECT DISTINCT csc_id, dependency_id, CASE WHEN language IN ('python', 'rust') THEN replace(lower(normalized_key), '_', '-') WHEN language IS NULL THEN normalized_key ELSE lower(normalized_key) END AS name FROM dependency_records WHERE normalized_key IS NOT NULL")
