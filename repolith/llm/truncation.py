@@ -112,14 +112,14 @@ def features(text: str, doc_type: str | None, short: tuple[int, int], known: dic
     ]
 
 
-def _rows(examples: list[list[str]]) -> np.ndarray:
-    return np.array([[zlib.crc32(f"{i}{x}".encode()) & ((1 << BITS) - 1) for i, x in enumerate(e)] for e in examples], np.int64)
+def _row(example: list[str]) -> np.ndarray:
+    return np.array([zlib.crc32(f"{i}{x}".encode()) & ((1 << BITS) - 1) for i, x in enumerate(example)], np.int32)
 
 
 def fit(rows: np.ndarray, label: np.ndarray, epochs: int = 12, rate: float = 0.15, decay: float = 2e-6, seed: int = 7) -> np.ndarray:
     """Weights of a logistic regression over hashed features, the last being the bias; every step scales by the squared gradients so far."""
     w, g2, rng = np.zeros((1 << BITS) + 1), np.full((1 << BITS) + 1, 1e-4), np.random.default_rng(seed)
-    rows = np.column_stack([rows, np.full(len(rows), 1 << BITS)])
+    rows = np.column_stack([rows, np.full(len(rows), 1 << BITS, rows.dtype)])
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for a in range(0, len(rows), 256):
@@ -191,22 +191,22 @@ def model(documents: DataFrame, sample: int = SAMPLE, seed: int = 11) -> tuple[n
     """
     known = known_words(documents)
     top = {r["source"]: (r["max_chars"], r["max_bytes"]) for r in limits(documents).toLocalIterator()}
-    chosen = documents.filter(F.col("text").rlike(r"\S") & (F.length("text") <= SAMPLE_CHARS)).select("text", "source", "doc_type", F.xxhash64("text", F.lit(seed)).alias("h")).orderBy("h", "source").limit(sample).collect()
+    chosen = documents.filter(F.col("text").rlike(r"\S") & (F.length("text") <= SAMPLE_CHARS)).select("text", "source", "doc_type", F.xxhash64("text", F.lit(seed)).alias("h")).orderBy("h", "source").limit(sample).toLocalIterator()
     rng, examples, label = np.random.default_rng(seed), [], []
     for r in chosen:
         c, b = top.get(r["source"], (None, None))
         short = below(r["text"], c, b)
         if not any(0 <= n < NEAR for n in short):
-            examples.append(features(r["text"], r["doc_type"], short, known))
+            examples.append(_row(features(r["text"], r["doc_type"], short, known)))
             label.append(0.0)
         cut = cut_at_random(r["text"], rng)
         if cut:
             at = (0 if c and rng.random() < 0.6 else 40 if c else -1, 0 if b and rng.random() < 0.6 else 40 if b else -1)
-            examples.append(features(cut, r["doc_type"], at, known))
+            examples.append(_row(features(cut, r["doc_type"], at, known)))
             label.append(1.0)
     if len(set(label)) < 2:
         return np.zeros((1 << BITS) + 1), known, top, 1.0
-    rows, y = _rows(examples), np.array(label)
+    rows, y = np.array(examples), np.array(label)
     test = np.arange(len(rows)) % 10 == 0
     w = fit(rows[~test], y[~test])
     doubtful = (y == 0) & (w[rows].sum(axis=1) + w[-1] > DOUBT)
@@ -240,8 +240,8 @@ def scored(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
         w, known, top = shared.value
         for b in (s for batch in batches for s in slices(batch, "text")):
             b = b.astype(object).where(b.notna(), None)
-            out = [features(t, k, below(t, *top.get(s, (None, None))), known) for t, s, k in zip(b["text"], b["source"], b["doc_type"], strict=True)]
-            z = w[_rows(out)].sum(axis=1) + w[-1] if out else np.empty(0)
+            rows = [_row(features(t, k, below(t, *top.get(s, (None, None))), known)) for t, s, k in zip(b["text"], b["source"], b["doc_type"], strict=True)]
+            z = w[np.array(rows)].sum(axis=1) + w[-1] if rows else np.empty(0)
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("int64"), "source": b["source"], "copy": b["copy"], "score": [1 / (1 + exp(-max(-30.0, min(30.0, x)))) for x in z]})
 
     texts = documents.filter(F.col("text").rlike(r"\S")).select("doc_id", "text", "source", "doc_type", F.md5("text").alias("copy"))
