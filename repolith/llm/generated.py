@@ -1,8 +1,8 @@
 """Generated, minified, vendored and data files among source files.
 
 Vendored copies are found through an inverted index of line hashes: each file looks
-up its rarest lines that other repositories hold too, and the copy that most of them
-name is compared with it line by line. Token composition decides the other kinds.
+up so many of its rarest lines that whatever holds enough of it holds one of them, and
+is compared line by line with every file it meets. Token composition decides the other kinds.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from repolith.session import cut, spread
 LINE = 12
 #: Distinct lines that a file needs to be judged a copy, and their share in the other file.
 LINES, CONTAINMENT = 10, 0.8
-#: The rarest shared lines with which a file looks for its original.
-RAREST = 24
+#: Holders of a line that are looked up under one key; more are dealt out over several.
+HOT = 1000
 
 _TOOL = re.compile(
     r"(?<!not )(?<!never )\b(?:code|file|source) (?:is |was )?(?:auto-?)?generated\b|@generated\b|<auto-?generated|\bauto-?generated (?:by|on|from|file|code|using|with)\b|\bautomatically (?:generated|created|produced)\b"
@@ -103,35 +103,35 @@ def line_hashes(text: Column) -> Column:
 def copies_across_repositories(files: DataFrame, least: float = CONTAINMENT) -> DataFrame:
     """(csc_id, path, containment): files of which `least` of the lines stand in one file of another repository.
 
-    Files with the same lines are one class, however many there are, and count as
-    contained where two repositories hold them. Every class then takes its RAREST
-    lines, by the number of classes, among those that two repositories hold, and
-    each such line names the classes of its first and of its last repository: the
-    index names two classes for a line that a third of all files share, as for
-    any other, so no line is left out for being frequent and no list of a line's
-    files is built. The class that most of the lines name, if half of them do, is
-    compared over all lines. Files of fewer than LINES lines are no copies. The
-    texts are read and hashed once; the hashes go to the shared checkpoint folder.
-    In the index a class has two numbers of 64 bits, its first and its last
-    repository's hash in front, so that the least and the greatest number of a line
-    name its classes; a wrong name of equal hashes fails in the comparison.
-    Null csc_id is a repository of its own.
+    containment is the greatest share of its lines that one file of another repository holds.
+    Files with the same lines are one class, however many there are, and have 1
+    where two repositories hold them. The others are compared exactly with every
+    class that can reach the bound: of a class's lines that two repositories hold, s,
+    a file that holds t or more of them holds one of the rarest s - t + 1. So
+    each class looks up these lines among the classes that are not only in its own
+    repository and have t lines or more, and is compared over all lines with each it meets;
+    a class with s below t ends before that. The lookups of a line that more than
+    HOT classes hold are dealt out over several keys; none is left out. Files of
+    fewer than LINES lines are no copies. The texts are read and hashed once; the
+    hashes go to the shared checkpoint folder. Null csc_id is a repository of its own.
     """
     texts = source_texts(files).select("csc_id", "path", F.xxhash64("csc_id").alias("repo"), line_hashes(F.col("text")).alias("lines")).filter(F.size("lines") >= LINES)
     known = cut(texts.select("csc_id", "path", "repo", "lines", F.xxhash64("lines").alias("cls")))
-    low = F.xxhash64("cls", "lo", "hi").bitwiseAND(F.lit(0xFFFFFFFF))
-    number = lambda repo: F.shiftleft(F.shiftright(repo, 32), 32).bitwiseOR(low)
-    classes = known.groupBy("cls").agg(F.min("repo").alias("lo"), F.max("repo").alias("hi"), F.any_value("lines").alias("lines")).withColumns({"a": number(F.col("lo")), "z": number(F.col("hi"))})
-    index = classes.select("a", "z", F.explode("lines").alias("line")).groupBy("line").agg(F.count("*").alias("df"), F.min("a").alias("a"), F.max("z").alias("z")).filter(
-        (F.col("df") > 1) & (F.shiftright("a", 32) != F.shiftright("z", 32)))
-    alone = classes.filter("lo = hi").select(F.col("a").alias("own"), F.explode("lines").alias("line"))
-    rare = alone.join(index, "line").groupBy("own").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "line", "a", "z"))), 1, RAREST).alias("rare"))
-    named = rare.select("own", F.size("rare").alias("n"), F.explode("rare").alias("r")).select("own", "n", F.explode(F.array_distinct(F.array("r.a", "r.z"))).alias("other")).filter("own <> other")
-    best = named.groupBy("own", "n", "other").agg(F.count("*").alias("votes")).filter("2 * votes >= n").groupBy("own").agg(F.max_by("other", F.struct("votes", "other")).alias("other"))
-    mine = classes.select(F.col("a").alias("own"), "cls", "lines", "lo", "hi")
-    theirs = classes.select(F.explode(F.array_distinct(F.array("a", "z"))).alias("other"), F.col("lines").alias("their_lines"), F.col("lo").alias("their_lo"), F.col("hi").alias("their_hi"))
-    compared = best.join(mine, "own").join(theirs, "other").filter("least(lo, their_lo) <> greatest(hi, their_hi)").select(
-        "cls", (F.size(F.array_intersect("lines", "their_lines")) / F.size("lines")).alias("containment"))
+    classes = known.groupBy("cls").agg(F.min("repo").alias("lo"), F.max("repo").alias("hi"), F.any_value("lines").alias("lines"))
+    index = classes.select("lo", "hi", F.explode("lines").alias("line")).groupBy("line").agg(F.count("*").alias("df"), F.min("lo").alias("first"), F.max("hi").alias("last")).filter(
+        "df > 1 AND first <> last").select("line", "df")
+    bound = F.ceil(F.size("lines") * F.lit(least) - 1e-6).cast("int")  # never above the least count that passes the test of the share
+    alone = classes.filter("lo = hi").select(F.col("cls").alias("own"), F.col("lo").alias("repo"), bound.alias("t"), F.explode("lines").alias("line"))
+    shared = alone.join(index, "line").groupBy("own", "repo", "t").agg(F.array_sort(F.collect_list(F.struct("df", "line"))).alias("shared")).filter(F.size("shared") >= F.col("t"))
+    asked = cut(shared.select("own", "repo", "t", F.explode(F.slice("shared", F.lit(1), F.size("shared") - F.col("t") + 1)).alias("r")).select("own", "repo", "t", "r.line", F.ceil(F.col("r.df") / HOT).cast("int").alias("keys")))
+    held = classes.select(F.col("cls").alias("other"), F.expr("IF(lo = hi, lo, NULL)").alias("only"), F.size("lines").alias("n"), F.explode("lines").alias("line")).join(asked.select("line", "keys").distinct(), "line").select(
+        "other", "only", "n", "line", F.pmod(F.xxhash64("other"), F.col("keys")).cast("int").alias("key"))
+    pairs = asked.select("own", "repo", "t", "line", F.explode(F.sequence(F.lit(0), F.col("keys") - 1)).alias("key")).join(held, ["line", "key"]).filter(
+        "own <> other AND n >= t AND (only IS NULL OR only <> repo)").select("own", "other").distinct()
+    # both name lo and hi, so that all uses of the classes read the same exchange
+    mine = classes.filter("lo = hi").select(F.col("cls").alias("own"), "lines")
+    theirs = classes.filter("lo <= hi").select(F.col("cls").alias("other"), F.col("lines").alias("their_lines"))
+    compared = pairs.join(mine, "own").join(theirs, "other").select(F.col("own").alias("cls"), (F.size(F.array_intersect("lines", "their_lines")) / F.size("lines")).alias("containment"))
     exact = known.groupBy("cls").agg(F.min("repo").alias("lo"), F.max("repo").alias("hi")).filter("lo <> hi").select("cls", F.lit(1.0).alias("containment"))
     contained = compared.unionByName(exact).filter(F.col("containment") >= least).groupBy("cls").agg(F.max("containment").alias("containment"))
     return known.select("csc_id", "path", "cls").join(contained, "cls").select("csc_id", "path", F.round("containment", 6).alias("containment")).distinct()

@@ -69,3 +69,27 @@ def test_containment_equals_brute_force(spark):
     want = {files[i][0] for i, a in enumerate(lines) if any(len(a & b) >= G.CONTAINMENT * len(a) for j, b in enumerate(lines) if i != j)}
     got = {x["csc_id"] for x in G.copies_across_repositories(spark.createDataFrame(files, "csc_id string, path string, text string")).collect()}
     assert got <= want and len(got) >= 0.9 * len(want)
+
+
+def brute(files: list[tuple[str, str, str]]) -> dict[tuple[str, str], float]:
+    """Of each file the greatest share of its lines in one file of another repository, if it reaches the bound."""
+    sets = [{x for y in t.split("\n") if len(x := "".join(y.split(" "))) >= G.LINE} for _, _, t in files]
+    best = {(r, p): max(len(a & b) / len(a) for (q, _, _), b in zip(files, sets, strict=True) if q != r) for (r, p, _), a in zip(files, sets, strict=True)}
+    return {k: round(v, 6) for k, v in best.items() if v >= G.CONTAINMENT}
+
+
+def copies(spark, files: list[tuple[str, str, str]]) -> dict[tuple[str, str], float]:
+    return {(x["csc_id"], x["path"]): x["containment"] for x in G.copies_across_repositories(spark.createDataFrame(files, "csc_id string, path string, text string")).collect()}
+
+
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_library_with_many_editions(spark, monkeypatch, hot):
+    monkeypatch.setattr(G, "HOT", hot)
+    lib, files = [f"library_line_number_{i}()" for i in range(100)], []
+    for e in range(40):
+        own = set(random.Random(e).sample(range(100), 14))
+        files.append((f"r{e}", "lib.py", "\n".join(f"edition_{e}_has_line_{i}()" if i in own else x for i, x in enumerate(lib))))
+    files += [("origin", "lib.py", "\n".join(lib)), ("part", "lib.py", "\n".join(lib[:50] + [f"another_line_of_part_{i}()" for i in range(12)])), ("less", "lib.py", "\n".join(lib[:50] + [f"another_line_of_less_{i}()" for i in range(13)]))]
+    want = brute(files)
+    assert {(f"r{e}", "lib.py") for e in range(40)} < set(want) and ("part", "lib.py") in want and ("less", "lib.py") not in want
+    assert copies(spark, files) == want
