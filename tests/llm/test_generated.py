@@ -93,3 +93,14 @@ def test_library_with_many_editions(spark, monkeypatch, hot):
     want = brute(files)
     assert {(f"r{e}", "lib.py") for e in range(40)} < set(want) and ("part", "lib.py") in want and ("less", "lib.py") not in want
     assert copies(spark, files) == want
+
+
+def test_sibling_edition_in_the_own_repository(spark):
+    files = []
+    for i in range(60):
+        lib = [f"line_{n}_of_library_{i}()" for n in range(100)]
+        changed = [f"changed_{n}_in_library_{i}()" if n in (20, 50, 80) else x for n, x in enumerate(lib)]
+        files += [(f"r{i}", "changed.py", "\n".join(changed)), (f"r{i}", "longer.py", "\n".join(lib + [f"appended_{n}_to_library_{i}()" for n in range(5)])), (f"origin{i}", "lib.py", "\n".join(lib))]
+    want = brute(files)
+    assert len(want) == 180 and want["r0", "changed.py"] == 0.97
+    assert copies(spark, files) == want
