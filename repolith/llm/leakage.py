@@ -172,21 +172,33 @@ class GramIndex:
         return pd.DataFrame(span, columns=["text_start", "text_end", "item_start", "item_end", "edits"])
 
     def leaks(self, texts: list[str]) -> pd.DataFrame:
-        """(text, item, diagonal, grams, exact, text_start, …, edits): of each pair its best region, aligned within its band."""
+        """(text, item, diagonal, grams, first, last, text_start, …, edits, exact): of each pair that is a leak the first accepted region, by the grams of its band.
+
+        The bands of a pair are aligned one after the other, those with most grams
+        first, until one is accepted: a near copy, or in a pair with an exact run a
+        region as long as the shortest run. A pair ends without a row after its last band.
+        """
         rows = self.candidates(texts)
         brief = [(t, k, text.find(self.texts[k]), 0, 0, len(self.texts[k])) for k in self.short for t, text in enumerate(texts) if self.texts[k] in text]
         rows = np.concatenate([rows, np.array(brief, np.int64).reshape(-1, 6)])
-        if len(rows):  # of a pair the band with most grams stands for it
-            rows = rows[np.lexsort((rows[:, 2], -rows[:, 3], rows[:, 1], rows[:, 0]))]
-            rows = rows[np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]]
-        rows = rows[np.argsort(rows[:, 5] - rows[:, 4], kind="stable")]  # rows of like height are aligned together
-        out = pd.DataFrame(rows, columns=["text", "item", "diagonal", "grams", "first", "last"])
-        parts = [self.aligned(texts, rows[a : a + 500]) for a in range(0, len(rows), 500)]
-        out = pd.concat([out, pd.concat(parts, ignore_index=True) if parts else self.aligned(texts, rows)], axis=1)
-        length = out["item_end"] - out["item_start"]
-        out = out[(length >= REGION) & (out["edits"] <= EDITS * length) | (length >= self.least()[out["item"]])]
-        out["exact"] = [any(w in texts[t] for w in self.windows[k]) for t, k in zip(out["text"], out["item"], strict=True)]
-        return out
+        rows = rows[np.lexsort((rows[:, 2], -rows[:, 3], rows[:, 1], rows[:, 0]))]
+        begins = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]) if len(rows) else np.empty(0, np.int64)
+        ends = np.r_[begins[1:], len(rows)]
+        exact = np.array([any(w in texts[t] for w in self.windows[k]) for t, k in rows[begins, :2]], bool)
+        least, out = self.least(), []
+        while len(begins) or not out:
+            # bands of like height are aligned together
+            order = np.argsort(rows[begins, 5] - rows[begins, 4], kind="stable")
+            begins, ends, exact = begins[order], ends[order], exact[order]
+            now = rows[begins]
+            found = pd.concat([self.aligned(texts, now[a : a + 500]) for a in range(0, max(len(now), 1), 500)], ignore_index=True)
+            found = pd.concat([pd.DataFrame(now, columns=["text", "item", "diagonal", "grams", "first", "last"]), found], axis=1).assign(exact=exact)
+            length = found["item_end"] - found["item_start"]
+            accepted = ((length >= REGION) & (found["edits"] <= EDITS * length) | exact & (length >= least[now[:, 1]])).to_numpy(bool)
+            out.append(found[accepted])
+            more = ~accepted & (begins + 1 < ends)
+            begins, ends, exact = begins[more] + 1, ends[more], exact[more]
+        return pd.concat(out, ignore_index=True)
 
     def least(self) -> np.ndarray:
         """Of each item the characters of its shortest run of RUN tokens: an alignment shorter than that is no leak."""
@@ -198,8 +210,6 @@ def _search(block: list[tuple[int, str]]):  # noqa: ANN202
         index = GramIndex(block)
         for b in (s for batch in batches for s in slices(batch, "text")):
             found = index.leaks([normal_text(t) for t in b["text"].where(b["text"].notna(), None)])
-            length = found["item_end"] - found["item_start"]
-            found = found[found["exact"] | (length >= REGION) & (found["edits"] <= EDITS * length)]
             out = found.assign(doc_id=b["doc_id"].to_numpy()[found["text"]], item_id=[index.ids[k] for k in found["item"]],
                                item_share=[round(n / len(index.texts[k]), 6) for n, k in zip(found["item_end"] - found["item_start"], found["item"], strict=True)])
             yield out.explode("item_id")[["doc_id", "item_id", "exact", "grams", "edits", "item_start", "item_end", "item_share"]].astype({"item_id": "int64", "exact": bool, "item_share": float})

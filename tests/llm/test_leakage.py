@@ -59,3 +59,18 @@ def test_empty(spark):
     assert L.leaks(docs, items).filter("exact").count() == 1
     assert L.leaks(docs.limit(0), items).count() == 0 and L.leaks(docs, items.limit(0)).count() == 0
     assert L.leaked_items(docs, items).first()["source"] == "unknown"
+
+
+def test_leak_outside_the_band_with_most_grams(spark):
+    r = random.Random(3)
+    words = lambda n: ["".join(r.choice("abcdefghijklmnopqrst") for _ in range(5)) for _ in range(n)]
+    run, rule = words(12), "_" * 40
+    text, docs, items = " ".join(run), [], []
+    near = text[:20] + "z" + text[21:50] + "z" + text[51:]
+    for i, part in enumerate([text, near, " ".join(run[:9]), "0x" + "0" * 40 + " " + text]):
+        items.append((i, " ".join([*words(6), text, *words(9), rule, *words(3)]), "s"))
+        docs.append((i, " ".join([*words(30), rule, *words(17), part, *words(30)]), "a"))
+    docs, items = tables(spark, docs, items)
+    got = {(x["doc_id"], x["item_id"]): x for x in L.leaks(docs, items).collect()}
+    assert {d for d, _ in got} == {0, 1, 3} and len(got) == 12
+    assert all(x["exact"] == (d != 1) and x["edits"] == (2 if d == 1 else 0) and x["item_end"] - x["item_start"] >= L.REGION for (d, _), x in got.items())
