@@ -190,7 +190,20 @@ def ref_v20_evidence_caps(spark: SparkSession, d: str) -> DataFrame:
 def ref_d10_screening(spark: SparkSession, d: str) -> DataFrame:
     """Chunks screened for each question by its words; without a chunk that has two of them the answer stays conservative."""
     q = load(spark, d, "history_checkpoints").select(F.concat(F.lit("csc"), F.substring("workspace_id", 3, 99)).alias("csc_id"), F.col("checkpoint_id").alias("question_id"), F.explode(tokens(F.col("target_commit_subject"))).alias("term")).distinct()
-    k = load(spark, d, "knowledge_chunks").filter("source_type = 'code'").select("csc_id", "chunk_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).distinct()
+    return _screened(q, load(spark, d, "knowledge_chunks"))
+
+
+def _screened(q: DataFrame, chunks: DataFrame) -> DataFrame:
+    k = chunks.filter("source_type = 'code'").select("csc_id", "chunk_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).distinct()
     h = q.join(k, ["csc_id", "term"]).groupBy("csc_id", "question_id", "chunk_id").agg(F.count("*").alias("terms"))
     return q.select("csc_id", "question_id").distinct().join(h, ["csc_id", "question_id"], "left").groupBy("csc_id", "question_id").agg(
         F.count("chunk_id").alias("screened"), F.when(F.coalesce(F.max("terms"), F.lit(0)) < 2, "insufficient evidence").otherwise("answerable").alias("verdict"))
+
+
+@query(f"""WITH q AS (SELECT DISTINCT csc_id, doc_id::VARCHAR AS question_id, unnest({_TOK.format('text')}) AS term FROM documents WHERE doc_id % 20 = 0 AND csc_id IS NOT NULL), k AS (SELECT DISTINCT csc_id, chunk_id, unnest({_TOK.format('text')}) AS term FROM knowledge_chunks WHERE source_type = 'code'),
+  h AS (SELECT q.csc_id, q.question_id, k.chunk_id, count(*) AS terms FROM q JOIN k USING (csc_id, term) GROUP BY ALL), a AS (SELECT DISTINCT csc_id, question_id FROM q)
+  SELECT a.csc_id, a.question_id, count(h.chunk_id) AS screened, CASE WHEN coalesce(max(h.terms), 0) < 2 THEN 'insufficient evidence' ELSE 'answerable' END AS verdict FROM a LEFT JOIN h USING (csc_id, question_id) GROUP BY ALL""")
+def ref_d10_screening_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The same for the texts of every twentieth document, asked of its own repository."""
+    q = load(spark, d, "documents").filter("doc_id % 20 = 0 AND csc_id IS NOT NULL").select("csc_id", F.col("doc_id").cast("string").alias("question_id"), F.explode(tokens(F.col("text"))).alias("term")).distinct()
+    return _screened(q, load(spark, d, "knowledge_chunks"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from repolith.operators import retrieval as R
 from repolith.session import load
 
 QUERIES, SQL = {}, {}
+Questions = Callable[[SparkSession, str], DataFrame]
 
 
 def query(sql: str | None = None):  # noqa: ANN201
@@ -32,6 +35,11 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("csc"), F.substring("workspace_id", 3, 99)).alias("csc_id"), F.col("checkpoint_id").alias("question_id"), F.col("target_commit_subject").alias("question")).distinct()
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of every twentieth document by its number, asked of the document's own repository."""
+    return load(spark, d, "documents").filter("doc_id % 20 = 0 AND csc_id IS NOT NULL AND text IS NOT NULL").groupBy("csc_id", F.col("doc_id").cast("string").alias("question_id")).agg(F.min("text").alias("question"))
+
+
 _TOK = "list_transform(regexp_extract_all(coalesce({0}, ''), '[A-Za-z0-9_]+'), lambda x: lower(x))"
 _BASE = f"""
 chunk AS (SELECT csc_id, chunk_id, c.source_type AS source_type, c.source_path AS source_path, c.text AS text, c.section_id AS section_id, c.line_start AS line_start, c.line_end AS line_end
@@ -102,30 +110,30 @@ def ref_a02_corpus_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_WITH + "SELECT * FROM scores")
-def ref_a03_bm25(spark: SparkSession, d: str) -> DataFrame:
-    return R.bm25(_chunks(spark, d), _questions(spark, d))
+def ref_a03_bm25(spark: SparkSession, d: str, questions: Questions = _questions) -> DataFrame:
+    return R.bm25(_chunks(spark, d), questions(spark, d))
 
 
 @query(_WITH + "SELECT a.csc_id, a.question_id, a.term, t.chunk_id, t.tf FROM asked a JOIN tf t USING (csc_id, term)")
-def ref_j01_posting_lookup(spark: SparkSession, d: str) -> DataFrame:
-    asked = _questions(spark, d).select("csc_id", "question_id", F.explode(tokens(F.col("question"))).alias("term"))
+def ref_j01_posting_lookup(spark: SparkSession, d: str, questions: Questions = _questions) -> DataFrame:
+    asked = questions(spark, d).select("csc_id", "question_id", F.explode(tokens(F.col("question"))).alias("term"))
     return asked.join(R.term_frequencies(_chunks(spark, d)), ["csc_id", "term"]).select("csc_id", "question_id", "term", "chunk_id", "tf")
 
 
 @query(_WITH + "SELECT csc_id, question_id, chunk_id, dl FROM scores JOIN len USING (csc_id, chunk_id)")
-def ref_j02_doc_lengths(spark: SparkSession, d: str) -> DataFrame:
+def ref_j02_doc_lengths(spark: SparkSession, d: str, questions: Questions = _questions) -> DataFrame:
     c = _chunks(spark, d)
-    return R.bm25(c, _questions(spark, d)).select("csc_id", "question_id", "chunk_id").join(R.lengths(c), ["csc_id", "chunk_id"])
+    return R.bm25(c, questions(spark, d)).select("csc_id", "question_id", "chunk_id").join(R.lengths(c), ["csc_id", "chunk_id"])
 
 
 @query(_WITH + "SELECT * FROM top")
-def ref_t01_top_k(spark: SparkSession, d: str) -> DataFrame:
-    return R.top_k(_chunks(spark, d), _questions(spark, d))
+def ref_t01_top_k(spark: SparkSession, d: str, questions: Questions = _questions) -> DataFrame:
+    return R.top_k(_chunks(spark, d), questions(spark, d))
 
 
 @query(_WITH + "SELECT csc_id, question_id, chunk_id, rank FROM best WHERE rank <= 3")
-def ref_w01_rank(spark: SparkSession, d: str) -> DataFrame:
-    return R.top_k(_chunks(spark, d), _questions(spark, d), 3).filter("score > 0").select("csc_id", "question_id", "chunk_id", "rank")
+def ref_w01_rank(spark: SparkSession, d: str, questions: Questions = _questions) -> DataFrame:
+    return R.top_k(_chunks(spark, d), questions(spark, d), 3).filter("score > 0").select("csc_id", "question_id", "chunk_id", "rank")
 
 
 @query(_WITH + f"SELECT csc_id, question_id, {_INTENT} AS intent FROM q UNION ALL SELECT suite, item_id::VARCHAR, {_INTENT} FROM (SELECT DISTINCT suite, item_id, prompt AS question FROM eval_items)")
@@ -174,8 +182,8 @@ final AS (SELECT *, round(0.65::DOUBLE * lexical_score + 0.2::DOUBLE * anchor_sc
 ranked AS (SELECT *, row_number() OVER (PARTITION BY csc_id, question_id ORDER BY final_score DESC, source_path, coalesce(line_start, 0), chunk_id) AS rank FROM final)"""
 
 
-def _fusion(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    chunks, questions = _chunks(spark, d), _questions(spark, d)
+def _fusion(spark: SparkSession, d: str, asked: Questions) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    chunks, questions = _chunks(spark, d), asked(spark, d)
     top = R.top_k(chunks, questions, 12).filter("score > 0")
     anchors = top.filter("rank = 1").join(chunks.select("csc_id", "chunk_id", "source_path"), ["csc_id", "chunk_id"]).select("csc_id", "question_id", "source_path")
     imports = load(spark, d, "dependency_records").filter("target_path IS NOT NULL").select("csc_id", "source_path", "target_path").distinct()
@@ -185,22 +193,22 @@ def _fusion(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
 
 
 @query("WITH " + _BASE + "," + _FUSED + " SELECT csc_id, question_id, rank, chunk_id, lexical_score, anchor_score, graph_score, type_bias, final_score, reason FROM ranked WHERE rank <= 12")
-def ref_r01_rerank(spark: SparkSession, d: str) -> DataFrame:
-    return R.rerank(*_fusion(spark, d))
+def ref_r01_rerank(spark: SparkSession, d: str, questions: Questions = _questions) -> DataFrame:
+    return R.rerank(*_fusion(spark, d, questions))
 
 
 @query("WITH " + _BASE + "," + _FUSED + """ SELECT csc_id, question_id, chunk_id, source, score FROM (
   SELECT *, row_number() OVER (PARTITION BY csc_id, question_id, chunk_id ORDER BY CASE source WHEN 'lexical' THEN 1 ELSE 2 END, score DESC) AS n
   FROM (SELECT csc_id, question_id, chunk_id, 'lexical' AS source, score FROM top12 UNION ALL SELECT csc_id, question_id, chunk_id, 'hierarchy', graph_score FROM graph)) WHERE n = 1""")
-def ref_u02_prior_source(spark: SparkSession, d: str) -> DataFrame:
-    lexical, graph, *_ = _fusion(spark, d)
+def ref_u02_prior_source(spark: SparkSession, d: str, questions: Questions = _questions) -> DataFrame:
+    lexical, graph, *_ = _fusion(spark, d, questions)
     both = lexical.select("*", F.lit("lexical").alias("source")).unionByName(graph.select("csc_id", "question_id", "chunk_id", F.col("graph_score").alias("score"), F.lit("hierarchy").alias("source")))
     return R.prior_source(both)
 
 
 @query("WITH " + _BASE + "," + _FUSED + " SELECT g.csc_id, g.question_id, g.chunk_id FROM graph g ANTI JOIN top12 USING (csc_id, question_id, chunk_id)")
-def ref_u04_graph_only(spark: SparkSession, d: str) -> DataFrame:
-    lexical, graph, *_ = _fusion(spark, d)
+def ref_u04_graph_only(spark: SparkSession, d: str, questions: Questions = _questions) -> DataFrame:
+    lexical, graph, *_ = _fusion(spark, d, questions)
     return graph.select("csc_id", "question_id", "chunk_id").join(lexical, ["csc_id", "question_id", "chunk_id"], "left_anti")
 
 
@@ -217,3 +225,21 @@ def ref_u06_chunk_streams(spark: SparkSession, d: str) -> DataFrame:
 def ref_t02_index_update(spark: SparkSession, d: str) -> DataFrame:
     old = load(spark, d, "knowledge_chunks").select("csc_id", "chunk_id", "source_type").distinct()
     return R.upsert(old, old.filter("source_type = 'code'").withColumn("source_type", F.lit("new")), ["csc_id", "chunk_id"])
+
+
+_OF_COMMITS = "q AS (SELECT DISTINCT 'csc' || substr(workspace_id, 3) AS csc_id, checkpoint_id AS question_id, target_commit_subject AS question FROM history_checkpoints WHERE target_commit_subject IS NOT NULL),"
+_OF_DOCUMENTS = "q AS (SELECT csc_id, doc_id::VARCHAR AS question_id, min(text) AS question FROM documents WHERE doc_id % 20 = 0 AND csc_id IS NOT NULL AND text IS NOT NULL GROUP BY ALL),"
+
+
+def _ask_documents(search: Callable[..., DataFrame]) -> None:
+    """Register a search a second time, as NAME_documents, with the questions of _documents."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return search(spark, d, _documents)
+
+    run.__name__ = f"{search.__name__}_documents"
+    query(SQL[search.__name__].replace(_OF_COMMITS, _OF_DOCUMENTS))(run)
+
+
+for _search in (ref_a03_bm25, ref_j01_posting_lookup, ref_j02_doc_lengths, ref_t01_top_k, ref_w01_rank, ref_r01_rerank, ref_u02_prior_source, ref_u04_graph_only):
+    _ask_documents(_search)
