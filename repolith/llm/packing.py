@@ -61,7 +61,8 @@ def fewest_windows(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     total needs, and what units above half of the capacity need, which share no
     window with each other. While a window is over capacity the count rises by
     the overflow that is left, at least one; the last failure and the first
-    success are then bisected. At the end the windows that aren't full are tightened.
+    success are then bisected, down to one. Of every success the windows that aren't
+    full are tightened, and the fewest windows stay: a larger count can leave fewer.
     """
     n = len(sizes)
     if not n:
@@ -78,14 +79,16 @@ def fewest_windows(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     while over:
         failed, k, step = k, min(n, k + max(step, over)), step * 2
         window, over = tried(k)
-    while k - failed > max(1, k // 256):
+    best = _tightened(window, sizes, capacity)
+    while k - failed > 1:
         middle = (k + failed) // 2
-        other, over = tried(middle)
+        window, over = tried(middle)
         if over:
             failed = middle
         else:
-            k, window = middle, other
-    return _tightened(window, sizes, capacity)
+            k = middle
+            best = min(best, _tightened(window, sizes, capacity), key=np.max)
+    return best
 
 
 def _tightened(window: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:

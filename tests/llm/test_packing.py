@@ -73,3 +73,10 @@ def test_blocks_of_one_repository(spark):
     assert packed.count() == 3000 and packed.groupBy("container").sum("size").filter("`sum(size)` > 1024").count() == 0
     r = K.packing_report(packed).first()
     assert r["filled"] > 0.97
+
+
+def test_bisection_of_large_blocks_ends_at_the_least_count(monkeypatch):
+    for least in range(1001, 1011):
+        monkeypatch.setattr(K, "differencing", lambda sizes, k, least=least: np.arange(len(sizes)) % k if k >= least else np.zeros(len(sizes), np.int64))
+        monkeypatch.setattr(K, "_tightened", lambda window, sizes, capacity: window)
+        assert K.fewest_windows(np.ones(4096, np.int64), 5).max() + 1 == least
