@@ -4,12 +4,13 @@ Both sides are written as their lower-case tokens with one blank between. All
 8-grams of characters of the items make an index; those that a document shares are
 counted in overlapping bands of diagonals (place in the document less place in the
 item). By the q-gram lemma a region of w characters with at most e edits shares at
-least w - 7 - 8e grams in its band; bands that reach the bound are aligned within
+least w - 7 - 8e grams in its band; regions that reach the bound are aligned within
 the band, and the exact rule on tokens is checked on what remains.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -24,8 +25,14 @@ from repolith.session import slices, spread
 Q = 8
 #: Consecutive tokens in common that make a leak; shorter items must stand whole.
 RUN = 12
-#: Width of a band of diagonals and distance of one from the next.
-BAND, STEP = 16, 8
+#: Width of a band of diagonals and distance of one from the next: the edits that a region may have move it by three diagonals at most, so one band holds it.
+BAND, STEP = 8, 4
+#: Diagonals on either side of a band that its alignments may use, as longer regions drift further.
+MARGIN = 5
+#: Characters of the item before and behind a region that are aligned with it.
+ROOM = 16
+#: Bits of the slots in which the grams of half bands are counted before they are sorted.
+_SLOTS = 20
 #: A near copy: characters of a region, and edits that it may have as a share of them.
 REGION, EDITS = 64, 0.05
 #: Characters of items that are searched together; more are searched in further passes over the documents.
@@ -34,6 +41,8 @@ BLOCK_CHARS = 4_000_000
 _BETWEEN = re.compile("[^A-Za-z0-9_]+")
 #: Grams that a near copy of REGION characters shares at least.
 _NEAR_GRAMS = REGION - Q + 1 - Q * int(EDITS * REGION)
+#: Score of a near copy at least: of its n >= REGION characters all but the edits are equal, and an edit takes 2.
+_LEAST_SCORE = math.ceil(REGION * (1 - 3 * EDITS) - 1e-9)
 
 
 def normal_text(text: str | None) -> str:
@@ -84,7 +93,11 @@ class GramIndex:
         return ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
 
     def candidates(self, texts: list[str]) -> np.ndarray:
-        """Rows (text, item, lowest diagonal of the band, shared grams, first and last place in the item) of all bands that reach the bound."""
+        """Rows (text, item, lowest diagonal of the band, places, first and last place in the item) of all regions that reach the bound.
+
+        A region is a run of places of the item, in one band, of which every one lies
+        within REGION characters that share as many grams as the lemma asks for.
+        """
         codes = np.frombuffer("\n".join(texts).encode() + b"\n", np.uint8)
         starts = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
         g = grams(codes)
@@ -98,7 +111,7 @@ class GramIndex:
         # texts are taken whole, some millions of hits at a time
         cuts = [0]
         while cuts[-1] < len(at):
-            limit = (size[cuts[-1] - 1] if cuts[-1] else 0) + 4_000_000
+            limit = (size[cuts[-1] - 1] if cuts[-1] else 0) + 1_000_000
             end = int(np.searchsorted(size, limit, "right"))
             if end < len(at):
                 back = int(np.searchsorted(text_of, text_of[end]))
@@ -107,48 +120,93 @@ class GramIndex:
         for a, b in zip(cuts, cuts[1:], strict=False):
             n = self.count[where[a:b]]
             posting = np.repeat(self.first[where[a:b]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            item, text = self.item[posting], np.repeat(text_of[a:b], n)
-            place = self.place[posting]
-            diagonal = np.repeat(at[a:b] - starts[text_of[a:b]], n) - place
-            for shift in (0, STEP):
-                band = (diagonal + shift) // BAND
-                # one number for (text, item, band): bands of a text lie within its length and that of the longest item
-                low = int(band.min())
-                width = int(band.max()) - low + 1
-                key = (text * len(self.texts) + item) * width + (band - low)
-                order = np.argsort(key, kind="stable")
-                first = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
-                shared = np.diff(np.r_[first, len(key)])
-                pair, seen = key[order][first] // width, key[order][first] % width
-                keep = shared >= self.need[pair % len(self.texts)]
-                ends = (np.minimum.reduceat(place[order], first), np.maximum.reduceat(place[order], first))
-                out.append(np.column_stack([pair // len(self.texts), pair % len(self.texts), (seen + low) * BAND - shift, shared, *ends])[keep])
+            pair = np.repeat(text_of[a:b] * len(self.texts), n) + self.item[posting]
+            diagonal = np.repeat(at[a:b] - starts[text_of[a:b]], n) - self.place[posting]
+            out.append(self._regions(pair, diagonal, self.place[posting]))
         return np.concatenate(out)
 
+    def _regions(self, pair: np.ndarray, diagonal: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The rows of candidates() for some texts, from the pair, diagonal and place of each shared gram."""
+        half = diagonal // STEP
+        # half a band and a neighbour must hold enough; counted in slots that several may share, so none is lost
+        own = (((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).view(np.int64) + half) & np.int64((1 << _SLOTS) - 1)
+        counts = np.bincount(own + 1, minlength=(1 << _SLOTS) + 2)
+        counts[0], counts[-1] = counts[-2], counts[1]
+        enough = counts[1:-1] + np.maximum(counts[:-2], counts[2:])
+        full = np.flatnonzero(enough[own] >= self.need.min())
+        full = full[enough[own[full]] >= self.need[pair[full] % len(self.texts)]]
+        pair, diagonal, place, half = pair[full], diagonal[full], place[full], half[full]
+        # the band that begins at half-band h holds h and h + 1, so every gram lies in two
+        pair, diagonal, place, band = np.tile(pair, 2), np.tile(diagonal, 2), np.tile(place, 2), np.concatenate([half, half - 1])
+        order = np.lexsort((place, band, pair))
+        pair, diagonal, place, band = pair[order], diagonal[order], place[order], band[order]
+        if not len(pair):
+            return np.empty((0, 6), np.int64)
+        fresh = np.r_[True, (pair[1:] != pair[:-1]) | (band[1:] != band[:-1])]
+        # a place counts once in a band, however many grams of the text repeat it
+        one = np.flatnonzero(fresh | np.r_[True, place[1:] != place[:-1]])
+        group = np.cumsum(fresh)[one]
+        end = np.arange(len(one)) + self.need[pair[one] % len(self.texts)] - 1
+        ok = end < len(one)
+        begin, end = np.flatnonzero(ok), end[ok]
+        ok = (group[begin] == group[end]) & (place[one[end]] - place[one[begin]] <= REGION - Q)
+        begin, end = begin[ok], end[ok]
+        if not len(begin):
+            return np.empty((0, 6), np.int64)
+        # windows that overlap in a band are one region; both ends rise together
+        split = np.r_[True, (group[begin[1:]] != group[begin[:-1]]) | (begin[1:] > end[:-1])]
+        first, last = begin[split], end[np.r_[np.flatnonzero(split)[1:] - 1, len(end) - 1]]
+        low, top = (f.reduceat(np.r_[diagonal, diagonal[-1]], np.column_stack([one[first], np.r_[one, len(pair)][last + 1]]).ravel())[::2] for f in (np.minimum, np.maximum))
+        rows = np.column_stack([pair[one[first]] // len(self.texts), pair[one[first]] % len(self.texts), band[one[first]] * STEP, last - first + 1, place[one[first]], place[one[last]]])
+        # a region whose grams all lie where two bands overlap stands in both
+        same = np.lexsort((rows[:, 2], top, low, rows[:, 5], rows[:, 4], rows[:, 1], rows[:, 0]))
+        keys = np.column_stack([rows[:, [0, 1, 4, 5]], low, top])[same]
+        return rows[same[np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]]]
+
+    def _strips(self, texts: list[str], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What rows are aligned on: strips of the text and of the item, the item's first place, the text's place on the lowest diagonal, and the heights."""
+        low = np.maximum(rows[:, 4] - ROOM, 0)
+        tall = np.array([min(len(self.codes[i]), z + Q + ROOM) for i, z in zip(rows[:, 1], rows[:, 5], strict=True)], np.int64) - low
+        most, width = int(tall.max()) if len(rows) else 0, BAND + 2 * MARGIN
+        item, base = np.zeros((len(rows), most), np.uint8), rows[:, 2] - MARGIN + low
+        text = np.full((len(rows), most + width), 255, np.uint8)
+        for k, (t, i) in enumerate(rows[:, :2]):
+            item[k, : tall[k]] = self.codes[i][low[k] : low[k] + tall[k]]
+            a, z = max(0, base[k]), min(len(texts[t]), base[k] + most + width)
+            text[k, a - base[k] : max(a, z) - base[k]] = np.frombuffer(texts[t][a:z].encode(), np.uint8)
+        return text, item, low, base, tall
+
+    def scores(self, texts: list[str], rows: np.ndarray) -> np.ndarray:
+        """The score of the best local alignment of each row, as in aligned(), without its course."""
+        text, item, _, _, tall = self._strips(texts, rows)
+        width = BAND + 2 * MARGIN
+        item[np.arange(item.shape[1]) >= tall[:, None]] = 254  # equal to no sign
+        score, best = np.zeros((len(rows), width), np.int32), np.zeros((len(rows), width), np.int32)
+        slope = 2 * np.arange(width, dtype=np.int32)
+        for i in range(item.shape[1]):
+            new = score + np.where(text[:, i : i + width] == item[:, i][:, None], np.int32(1), np.int32(-2))
+            np.maximum(new[:, :-1], score[:, 1:] - 2, out=new[:, :-1])
+            score = np.maximum(np.maximum.accumulate(new + slope, axis=1) - slope, 0)
+            np.maximum(best, score, out=best)
+        return best.max(axis=1) if len(rows) else np.zeros(0, np.int32)
+
     def aligned(self, texts: list[str], rows: np.ndarray) -> pd.DataFrame:
-        """The best local alignment of each row within its band: start and end in the text and in the item, and edits.
+        """The best local alignment of each row within its band and the margins: start and end in the text and in the item, and edits.
 
         Equal characters score 1, an edit -2. All rows advance through their items
         together, a character at a time, over a matrix of rows and diagonals. A row
-        is aligned from a band's width before its first shared gram to a band's
-        width behind its last.
+        is aligned from ROOM characters before its first shared gram to ROOM behind
+        its last.
         """
-        n, width = len(rows), BAND + 2
-        low = np.maximum(rows[:, 4] - BAND, 0)
-        high = np.array([min(len(self.codes[i]), z + Q + BAND) for i, z in zip(rows[:, 1], rows[:, 5], strict=True)], np.int64)
-        tall = int((high - low).max()) if n else 0
-        item, base = np.zeros((n, tall), np.uint8), rows[:, 2] - 1 + low  # the place in the text on the lowest diagonal
-        text = np.full((n, tall + width), 255, np.uint8)
-        for k, (t, i) in enumerate(rows[:, :2]):
-            item[k, : high[k] - low[k]] = self.codes[i][low[k] : high[k]]
-            a, z = max(0, base[k]), min(len(texts[t]), base[k] + tall + width)
-            text[k, a - base[k] : max(a, z) - base[k]] = np.frombuffer(texts[t][a:z].encode(), np.uint8)
+        text, item, low, base, tall = self._strips(texts, rows)
+        n, width, high = len(rows), BAND + 2 * MARGIN, tall
+        tall = int(high.max()) if n else 0
         d, r = np.arange(width), np.arange(n)
         score, edits, from_text, from_item = (np.zeros((n, width), np.int32) for _ in range(4))
         best, span = np.zeros(n, np.int32), np.zeros((n, 5), np.int64)
         for i in range(tall):
             here = text[:, i : i + width]
-            ok = (here != 255) & (i < high - low)[:, None]
+            ok = (here != 255) & (i < high)[:, None]
             same = ok & (here == item[:, i][:, None])
             fresh = score == 0
             new, new_edits = np.where(same, score + 1, score - 2), np.where(fresh, ~same, edits + ~same)
@@ -174,20 +232,22 @@ class GramIndex:
     def leaks(self, texts: list[str]) -> pd.DataFrame:
         """(text, item, diagonal, grams, first, last, text_start, …, edits, exact): of each pair that is a leak the first accepted region, by the grams of its band.
 
-        The bands of a pair are aligned one after the other, those with most grams
-        first, until one is accepted: a near copy, or in a pair with an exact run a
-        region as long as the shortest run. A pair ends without a row after its last band.
+        Regions whose best score is below that of any leak end first. The others of a
+        pair are aligned one after the other, those with most places first, until one is accepted: a near copy, or in a pair with an exact run a
+        region as long as the shortest run. A pair ends without a row after its last region.
         """
         rows = self.candidates(texts)
         brief = [(t, k, text.find(self.texts[k]), 0, 0, len(self.texts[k])) for k in self.short for t, text in enumerate(texts) if self.texts[k] in text]
         rows = np.concatenate([rows, np.array(brief, np.int64).reshape(-1, 6)])
+        rows = rows[np.argsort(rows[:, 5] - rows[:, 4], kind="stable")]  # regions of like height are aligned together
+        score = np.concatenate([self.scores(texts, rows[a : a + 1000]) for a in range(0, max(len(rows), 1), 1000)])
+        rows = rows[score >= np.minimum(_LEAST_SCORE, self.least()[rows[:, 1]])]
         rows = rows[np.lexsort((rows[:, 2], -rows[:, 3], rows[:, 1], rows[:, 0]))]
         begins = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]) if len(rows) else np.empty(0, np.int64)
         ends = np.r_[begins[1:], len(rows)]
         exact = np.array([any(w in texts[t] for w in self.windows[k]) for t, k in rows[begins, :2]], bool)
         least, out = self.least(), []
         while len(begins) or not out:
-            # bands of like height are aligned together
             order = np.argsort(rows[begins, 5] - rows[begins, 4], kind="stable")
             begins, ends, exact = begins[order], ends[order], exact[order]
             now = rows[begins]
@@ -240,7 +300,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     exact: RUN consecutive tokens of the prompt, or all tokens of a shorter prompt,
     stand in a row in the text. The other rows are near copies of at least REGION
-    characters. grams are shared in the band, and the other columns tell of the
+    characters. grams is the number of the item's places in the region, and the other columns tell of the
     best aligned region: its edits, its place in the item's normal text and its
     share of that text.
 

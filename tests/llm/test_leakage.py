@@ -74,3 +74,40 @@ def test_leak_outside_the_band_with_most_grams(spark):
     got = {(x["doc_id"], x["item_id"]): x for x in L.leaks(docs, items).collect()}
     assert {d for d, _ in got} == {0, 1, 3} and len(got) == 12
     assert all(x["exact"] == (d != 1) and x["edits"] == (2 if d == 1 else 0) and x["item_end"] - x["item_start"] >= L.REGION for (d, _), x in got.items())
+
+
+def test_adversarial_texts_against_brute_force():
+    """Long words that share most grams beside a run of short ones, repetition, and regions at both ends of a text."""
+    r = random.Random(4)
+    long_, short = lambda: "".join(r.choice("abcdefgh") for _ in range(14)), lambda: "".join(r.choice("ijkl") for _ in range(3))
+    items, texts = [], []
+    for i in range(12):
+        words, run = [long_() for _ in range(60)], [short() for _ in range(12)]
+        items.append((i, " ".join(words + run)))
+        every_second = " ".join(w if k % 2 else long_() for k, w in enumerate(words))
+        texts += [every_second + " " + long_() + " " + " ".join(run), every_second + " " + " ".join(run[:11]), " ".join(run) + " " + every_second,
+                  "0" * 300 + " " + " ".join(words[:6]) + " " + "ab " * 90 + " ".join(run), " ".join(words[5:17]), " ".join(words[5:16])]
+    items += [(50, "ab " * 40), (51, "ab " * 11 + "zz"), (52, "0" * 300)]
+    index = L.GramIndex([(i, L.normal_text(t)) for i, t in items])
+    found = index.leaks([L.normal_text(t) for t in texts])
+    got = {(t, i) for t, k in zip(found["text"][found["exact"]], found["item"][found["exact"]], strict=True) for i in index.ids[k]}
+    want = {(t, i) for t, text in enumerate(texts) for i, p in items if leaked(text, p)}
+    assert got == want and len(want) > 60
+
+
+def test_scores_are_those_of_the_alignment():
+    r = random.Random(8)
+    base = " ".join("".join(r.choice("abcde") for _ in range(r.randrange(1, 9))) for _ in range(60))
+    index = L.GramIndex([(1, L.normal_text(base))])
+    texts = []
+    for _ in range(60):
+        t = list(base)
+        for _ in range(r.randrange(9)):
+            k = r.randrange(len(t))
+            t[k : k + r.randrange(2)] = r.choice(["", "x", "yz"])
+        texts.append(L.normal_text("".join(t)[r.randrange(40) :]))
+    rows = index.candidates(texts)
+    found = index.aligned(texts, rows)
+    length = found["item_end"] - found["item_start"]
+    assert len(rows) >= 60 and (index.scores(texts, rows) >= length - 3 * found["edits"]).all()
+    assert (index.scores(texts, rows) <= length).all()
