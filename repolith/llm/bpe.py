@@ -12,6 +12,7 @@ import base64
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ _NONE = np.int32(2**31 - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Pieces of a worker that are kept between batches; those beyond are encoded again.
 KEPT = 200_000
-#: Longest row, in bytes, that merges one pair a round; longer ones merge every place of the pair.
+#: Longest row, in bytes, that closes its gap at each merge; longer ones merge in the same order and close all gaps at the end.
 LONG = 256
 
 
@@ -49,6 +50,7 @@ class PairTable:
         keys, merged = np.array(keys, np.uint64), np.array(merged, np.int32)
         self.bits = max(4, int(len(keys) * 2).bit_length())
         self.keys, self.ids = np.full(1 << self.bits, 2**64 - 1, np.uint64), np.full(1 << self.bits, _NONE, np.int32)
+        self._pairs: dict[int, int] | None = None
         left, slot = np.arange(len(keys)), self._slot(keys)
         self.probes = 0
         while len(left):  # each round the first comer takes a free slot, the others try the next one
@@ -64,6 +66,13 @@ class PairTable:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * _MIX) >> np.uint64(64 - self.bits)).astype(np.int64)
 
+    def pairs(self) -> dict[int, int]:
+        """The same table as a dict from left << 32 | right, built at its first use."""
+        if self._pairs is None:
+            held = self.keys != np.uint64(2**64 - 1)
+            self._pairs = dict(zip(self.keys[held].tolist(), self.ids[held].tolist(), strict=True))
+        return self._pairs
+
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The merged id of each pair, _NONE where the pair doesn't merge."""
         keys = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
@@ -121,29 +130,36 @@ def _merge_bucket(rows: np.ndarray, length: np.ndarray, table: PairTable) -> lis
 
 
 def _merge_long(ids: np.ndarray, table: PairTable) -> np.ndarray:
-    """One long row: each round merges every place of the least pair from the left, which takes as many rounds as there are different merges.
+    """One long row under the same rule as in a bucket: one pair a round, the leftmost of least rank.
 
-    A pair that a merge creates never has a lower rank than that merge in a
-    trained vocabulary, so the places of one pair can be merged together.
+    Closing the gap of a long row at every merge would take time by the square of
+    its length. So the row is a chain of places, and a heap of (rank, place) names
+    the next pair; entries whose pair is gone are passed over. The gaps are closed once, at the end.
     """
-    rank = table.merged(ids[:-1], ids[1:])
-    while len(rank) and (least := rank.min()) != _NONE:
-        at = np.flatnonzero(rank == least)
-        run = np.r_[True, np.diff(at) > 1].cumsum()
-        first = np.r_[0, np.flatnonzero(np.diff(run)) + 1][run - 1]
-        at = at[(np.arange(len(at)) - first) % 2 == 0]  # of overlapping places every second, from the left
-        ids = ids.copy()
-        ids[at] = least
-        keep = np.ones(len(ids), bool)
-        keep[at + 1] = False
-        rank = rank[keep[:-1]]
-        ids = ids[keep]
-        rank = rank[: len(ids) - 1]
-        at = at - np.arange(len(at))
-        near = np.r_[at - 1, at]
-        near = near[(near >= 0) & (near < len(ids) - 1)]
-        rank[near] = table.merged(ids[near], ids[near + 1])
-    return ids
+    n = len(ids)
+    token, after, before = ids.tolist(), [*range(1, n), -1], list(range(-1, n - 1))
+    ranks = table.merged(ids[:-1], ids[1:])
+    current = [*ranks.tolist(), int(_NONE)]
+    at = np.flatnonzero(ranks != _NONE)
+    heap = [(current[i], i) for i in at.tolist()]
+    heapify(heap)
+    pairs, none = table.pairs(), int(_NONE)
+    while heap:
+        rank, i = heappop(heap)
+        if current[i] != rank:
+            continue
+        gone = after[i]
+        token[i], after[i], current[gone] = rank, after[gone], none
+        if after[i] >= 0:
+            before[after[i]] = i
+        current[i] = none
+        for left in (before[i], i):
+            if left >= 0 and after[left] >= 0:
+                current[left] = pairs.get(token[left] << 32 | token[after[left]], none)
+                if current[left] != none:
+                    heappush(heap, (current[left], left))
+        token[gone] = -1
+    return np.array([x for x in token if x >= 0], np.int32)
 
 
 def encode_pieces(pieces: list[bytes], table: PairTable) -> list[np.ndarray]:
