@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
 from heapq import heapify, heappop, heapreplace
 
 import numpy as np
@@ -13,6 +12,8 @@ from pyspark.sql import functions as F
 CAPACITY = 1024
 #: Units that one task differences together; a repository of more units is divided evenly into blocks.
 BLOCK = 4096
+#: Windows at most whose units are differenced together again.
+TOGETHER = 4
 TOKEN = "[A-Za-z0-9_]+"
 
 
@@ -54,15 +55,46 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def within_capacity(window: np.ndarray, sizes: np.ndarray, k: int, capacity: int) -> tuple[np.ndarray, int]:
+    """The windows after those above capacity are differenced again with emptier ones, and the tokens that stay above.
+
+    The fullest window meets the windows below capacity from the emptiest on, first
+    one of them, then two, and so on up to TOGETHER windows in all; their units are
+    differenced into as many windows. The first group that then is above capacity by less
+    stays, so the tokens above capacity fall until none is left or no group helps the fullest window.
+    """
+    load = np.bincount(window, sizes, k).astype(np.int64)
+    if (load <= capacity).all():
+        return window, 0
+    members, stuck = [np.flatnonzero(window == w) for w in range(k)], False
+    while not stuck and load.max() > capacity:
+        a, order = int(load.argmax()), np.argsort(load, kind="stable")
+        near = order[load[order] < capacity].tolist()
+        for group in ((a, *near[i : i + more]) for more in range(1, TOGETHER) for i in range(len(near) - more + 1)):
+            units = np.concatenate([members[w] for w in group])
+            part = differencing(sizes[units], len(group))
+            loads = np.bincount(part, sizes[units], len(group)).astype(np.int64)
+            if (loads - capacity).clip(0).sum() < load[a] - capacity:
+                for i, w in enumerate(group):
+                    members[w], load[w] = units[part == i], loads[i]
+                break
+        else:
+            stuck = True
+    window = np.empty(len(sizes), np.int64)
+    for w, units in enumerate(members):
+        window[units] = w
+    return window, int((load - capacity).clip(0).sum())
+
+
 def fewest_windows(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     """The window of each unit, all windows within capacity; sizes are at most capacity.
 
     Differencing begins with the least number of windows that could do: what the
     total needs, and what units above half of the capacity need, which share no
-    window with each other. While a window is over capacity the count rises by
+    window with each other. Windows above capacity are differenced again with
+    emptier ones. While one stays above capacity the count rises by
     the overflow that is left, at least one; the last failure and the first
-    success are then bisected, down to one. Of every success the windows that aren't
-    full are tightened, and the fewest windows stay: a larger count can leave fewer.
+    success are then bisected, down to one.
     """
     n = len(sizes)
     if not n:
@@ -70,50 +102,24 @@ def fewest_windows(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     low = max(1, -(-int(sizes.sum()) // capacity), int((sizes * 2 > capacity).sum()))
 
     def tried(k: int) -> tuple[np.ndarray, int]:
-        window = differencing(sizes, k)
-        load = np.bincount(window, sizes, k)
-        return window, int(np.ceil((load - capacity).clip(0).sum() / capacity))
+        window, over = within_capacity(differencing(sizes, k), sizes, k, capacity)
+        return window, -(-over // capacity)
 
     k, failed, step = low, low - 1, 1
-    window, over = tried(k)
+    best, over = tried(k)
     while over:
         failed, k, step = k, min(n, k + max(step, over)), step * 2
-        window, over = tried(k)
-    best = _tightened(window, sizes, capacity)
+        best, over = tried(k)
     while k - failed > 1:
         middle = (k + failed) // 2
         window, over = tried(middle)
         if over:
             failed = middle
         else:
-            k = middle
-            best = min(best, _tightened(window, sizes, capacity), key=np.max)
+            k, best = middle, window
     return best
 
 
-def _tightened(window: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """window, with the units of windows that aren't full placed anew, each largest first where it fits best, if that takes fewer windows.
-
-    Differencing spreads the free room evenly over all windows; gathering it again
-    can free some of them. Windows of which a 256th at most is free stay as they are.
-    """
-    load = np.bincount(window, sizes)
-    loose = np.flatnonzero((load < capacity - capacity // 256)[window])
-    free: list[tuple[int, int]] = []  # (room, window) in order
-    placed, count = np.zeros(len(window), np.int64), 0
-    for u in loose[np.argsort(-sizes[loose], kind="stable")]:
-        i = bisect_left(free, (int(sizes[u]), -1))
-        room, w = free.pop(i) if i < len(free) else (capacity, count)
-        count = max(count, w + 1)
-        placed[u] = w
-        insort(free, (room - int(sizes[u]), w))
-    if count >= len(np.unique(window[loose])):
-        return window
-    out = window.copy()
-    out[loose] = window.max() + 1 + placed[loose]
-    return np.unique(out, return_inverse=True)[1]
-
-
 def _pack(capacity: int):  # noqa: ANN202
     def run(keys: tuple, block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["size", "source_path", "line_start", "part"], ascending=[False, True, True, True], kind="stable", na_position="first").reset_index(drop=True)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from repolith.llm import bpe, generated, leakage, packing, splitting, syntax, truncation
 from repolith.session import load
@@ -51,6 +52,16 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_chunks(load(spark, d, "knowledge_chunks"))
 
 
+@query
+def p3_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Of every cut chunk what its pieces hold together, and the pieces that break a rule."""
+    pieces = splitting.split_chunks(load(spark, d, "knowledge_chunks")).withColumn("tokens", F.regexp_count("text", F.lit(splitting.TOKEN)))
+    before = F.lag("char_end").over(Window.partitionBy("csc_id", "chunk_id").orderBy("piece"))
+    return pieces.withColumn("gap", F.coalesce(F.col("char_start") > before, F.col("char_start") > 0)).groupBy("csc_id", "chunk_id").agg(
+        F.max("char_end").alias("characters"), F.sum(F.col("tokens") - F.col("overlap_tokens")).alias("tokens"), F.count_if("gap").alias("gaps"),
+        F.count_if(F.col("tokens") > splitting.LIMIT).alias("too_large"), F.count_if((F.col("piece") > 0) & ~F.col("overlap_tokens").between(splitting.LEAST, splitting.MOST)).alias("badly_repeated"))
+
+
 @query
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Scanned files whose text does not parse."""
@@ -85,6 +96,16 @@ def p5_containers(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d)
 
 
+@query
+def p5_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Per repository what its containers hold together, and the containers and units that break a rule."""
+    packed = _packed(spark, d)
+    loads = packed.groupBy("csc_id", "container").agg(F.sum("size").alias("load")).groupBy("csc_id").agg(F.sum("load").alias("tokens"), F.count_if(F.col("load") > packing.CAPACITY).alias("overfull"))
+    units = packed.groupBy("csc_id", "source_path", "line_start").agg(F.sum("size").alias("size"), F.count("*").alias("parts"), F.max("parts").alias("told")).groupBy(F.col("csc_id").alias("u_csc")).agg(
+        F.count("*").alias("units"), F.count_if((F.col("parts") != F.col("told")) | (F.col("parts") > 1) & (F.col("size") <= packing.CAPACITY)).alias("torn"))
+    return loads.join(units, F.col("csc_id").eqNullSafe(F.col("u_csc"))).select("csc_id", "units", "tokens", "overfull", "torn")
+
+
 @query
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
     """Containers and filled share per repository."""
@@ -143,3 +164,9 @@ _TOKENS = "len(regexp_extract_all({0}, '[A-Za-z0-9_]+'))"
 SQL["p3_found"] = f"SELECT DISTINCT csc_id, chunk_id FROM knowledge_chunks WHERE {_TOKENS.format('text')} > 400"
 SQL["p5_found"] = f"""SELECT u.csc_id, u.source_path, u.line_start FROM corpus_units u LEFT JOIN scan_records s ON s.csc_id = u.csc_id AND s.path = u.source_path
 GROUP BY ALL HAVING coalesce(max(u.token_count), max({_TOKENS.format('s.text')}), 0) > 1024"""
+
+SQL["p3_cover"] = f"""SELECT DISTINCT csc_id, chunk_id, length(text) AS characters, {_TOKENS.format('text')} AS tokens, 0 AS gaps, 0 AS too_large, 0 AS badly_repeated
+FROM knowledge_chunks WHERE {_TOKENS.format('text')} > 400"""
+SQL["p5_whole"] = f"""WITH units AS (SELECT u.csc_id, u.source_path, u.line_start, coalesce(max(u.token_count), max({_TOKENS.format('s.text')}), 0) AS n
+  FROM corpus_units u LEFT JOIN scan_records s ON s.csc_id = u.csc_id AND s.path = u.source_path GROUP BY ALL)
+SELECT csc_id, count(*) AS units, sum(n) AS tokens, 0 AS overfull, 0 AS torn FROM units GROUP BY csc_id"""

@@ -78,5 +78,19 @@ def test_blocks_of_one_repository(spark):
 def test_bisection_of_large_blocks_ends_at_the_least_count(monkeypatch):
     for least in range(1001, 1011):
         monkeypatch.setattr(K, "differencing", lambda sizes, k, least=least: np.arange(len(sizes)) % k if k >= least else np.zeros(len(sizes), np.int64))
-        monkeypatch.setattr(K, "_tightened", lambda window, sizes, capacity: window)
         assert K.fewest_windows(np.ones(4096, np.int64), 5).max() + 1 == least
+
+
+def test_windows_above_capacity_are_differenced_again():
+    r = np.random.default_rng(4)
+    again = 0
+    for _ in range(20):
+        s = np.sort(np.minimum(r.gamma(1, 240, 200).astype(np.int64), 1023))[::-1]
+        k = max(-(-int(s.sum()) // K.CAPACITY), int((s * 2 > K.CAPACITY).sum()))
+        before = K.differencing(s, k)
+        over = int((np.bincount(before, s, k) - K.CAPACITY).clip(0).sum())
+        after, left = K.within_capacity(before, s, k, K.CAPACITY)
+        load = np.bincount(after, s, k)
+        assert load.sum() == s.sum() and left == (load - K.CAPACITY).clip(0).sum() <= over
+        again += over > 0 and not left
+    assert again >= 3
