@@ -15,13 +15,17 @@ from math import exp
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolith.session import cut, slices, spread
 
-#: Texts at most that the regression is fitted on, and words at most that count as known.
-SAMPLE, VOCABULARY = 20_000, 200_000
+#: Texts, about, that the regression is fitted on.
+SAMPLE = 20_000
+#: Bits of the table of word counts; words that share a slot are counted together.
+WORD_BITS = 20
+#: Texts with a word are counted as a share of all texts, in steps that double; below the first step it is unknown.
+WORD_SHARE = 2.0**-12
 #: Characters of a text at most that the regression is fitted on; longer ones are scored, but not fitted on.
 SAMPLE_CHARS = 8_000
 BITS = 18
@@ -65,15 +69,19 @@ def _kind(line: str) -> str:
     return next(k for k, p in _KINDS if p.match(line))
 
 
-def _df(word: str, known: dict[str, int]) -> int:
-    return min(8, known.get(word.lower(), 0).bit_length())
+def _slot(word: str) -> int:
+    return zlib.crc32(word.lower().encode(errors="replace")) & ((1 << WORD_BITS) - 1)
 
 
-def features(text: str, doc_type: str | None, short: tuple[int, int], known: dict[str, int]) -> list[str]:
+def _df(word: str, known: np.ndarray) -> int:
+    return min(8, int(known[_slot(word)])) if word else 0
+
+
+def features(text: str, doc_type: str | None, short: tuple[int, int], known: np.ndarray) -> list[str]:
     """What the ending of a whole text shows.
 
     short: characters and bytes that it is below its source's limits, -1 where the
-    source has none. known: in how many texts a word occurs before the end.
+    source has none. known: by slot of a word, the step of the share of texts in which it occurs before the end.
     """
     whole = text.rstrip()
     mark = _MARK.search(whole)
@@ -118,8 +126,9 @@ def _row(example: list[str]) -> np.ndarray:
 
 def fit(rows: np.ndarray, label: np.ndarray, epochs: int = 12, rate: float = 0.15, decay: float = 2e-6, seed: int = 7) -> np.ndarray:
     """Weights of a logistic regression over hashed features, the last being the bias; every step scales by the squared gradients so far."""
-    w, g2, rng = np.zeros((1 << BITS) + 1), np.full((1 << BITS) + 1, 1e-4), np.random.default_rng(seed)
-    rows = np.column_stack([rows, np.full(len(rows), 1 << BITS, rows.dtype)])
+    used, rows = np.unique(np.column_stack([rows, np.full(len(rows), 1 << BITS, rows.dtype)]), return_inverse=True)
+    rows, rng = rows.reshape(len(label), -1), np.random.default_rng(seed)
+    w, g2 = np.zeros(len(used)), np.full(len(used), 1e-4)
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for a in range(0, len(rows), 256):
@@ -129,7 +138,9 @@ def fit(rows: np.ndarray, label: np.ndarray, epochs: int = 12, rate: float = 0.1
             g = np.bincount(x.ravel(), np.repeat(error, x.shape[1]), len(w)) / len(part) + decay * w
             g2 += g * g
             w -= rate * g / np.sqrt(g2)
-    return w
+    out = np.zeros((1 << BITS) + 1)
+    out[used] = w
+    return out
 
 
 def cut_at_random(text: str, rng: np.random.Generator) -> str | None:
@@ -158,58 +169,85 @@ def cut_at_random(text: str, rng: np.random.Generator) -> str | None:
 def limits(documents: DataFrame) -> DataFrame:
     """(source, max_chars, max_bytes): the length limits of each source, null where it has none.
 
-    A source has a limit where at least three different texts, and a hundredth of
-    them, lie within NEAR of its greatest length. Only lengths and hashes are
+    A length is a limit where at least three different texts, and a hundredth of
+    the source's, are less than NEAR shorter, and at most a quarter as many are longer; of
+    several the greatest is taken. Only lengths and hashes are
     shuffled, and texts of one length are counted before they meet those of others.
     """
     lengths = documents.filter("text IS NOT NULL").select("source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("h")).distinct()
-    counts = lengths.groupBy("source", "chars", "bytes").agg(F.count("*").alias("n"))
-    top = counts.groupBy("source").agg(F.max("chars").alias("c"), F.max("bytes").alias("b"), F.sum("n").alias("all"))
-    near = counts.join(top.select(F.col("source").alias("s"), "c", "b", "all"), F.col("source").eqNullSafe(F.col("s"))).groupBy("source").agg(
-        F.max("c").alias("c"), F.max("b").alias("b"), F.max("all").alias("all"),
-        F.sum(F.when(F.col("chars") > F.col("c") - NEAR, F.col("n")).otherwise(0)).alias("nc"), F.sum(F.when(F.col("bytes") > F.col("b") - NEAR, F.col("n")).otherwise(0)).alias("nb"))
-    enough = lambda n: (F.col(n) >= 3) & (F.col(n) * 100 >= F.col("all"))
-    return near.select("source", F.when(enough("nc"), F.col("c")).alias("max_chars"), F.when(enough("nb"), F.col("b")).alias("max_bytes"))
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("length")) for k in ("chars", "bytes"))))
+    counts = lengths.groupBy("source", "chars", "bytes").agg(F.count("*").alias("n")).select("source", "n", kinds.alias("l")).groupBy("source", "l.kind", "l.length").agg(F.sum("n").alias("n"))
+    of = Window.partitionBy("source", "kind").orderBy("length")
+    sums = counts.select("source", "kind", "length", F.sum("n").over(of.rangeBetween(1 - NEAR, 0)).alias("near"), F.sum("n").over(of.rangeBetween(1, Window.unboundedFollowing)).alias("longer"),
+                         F.sum("n").over(Window.partitionBy("source", "kind")).alias("all"))
+    limit = F.when((F.col("near") >= 3) & (F.col("near") * 100 >= F.col("all")) & (F.coalesce("longer", F.lit(0)) * 4 <= F.col("near")), F.col("length"))
+    return sums.groupBy("source").agg(*(F.max(F.when(F.col("kind") == k, limit)).alias(f"max_{k}") for k in ("chars", "bytes")))
+
 
+def word_shares(documents: DataFrame) -> tuple[np.ndarray, int]:
+    """By slot of a word the step of the share of texts in which a word of that slot occurs other than at the end, and the number of texts.
 
-def known_words(documents: DataFrame, most: int = VOCABULARY) -> dict[str, int]:
-    """The words that occur in three texts or more other than at their ends, with the number of texts; of more than `most` the most frequent."""
+    All words of all texts are counted. A slot's share is all that reaches the
+    driver, so what does is bounded by WORD_BITS, and it means the same at every size of the corpus.
+    """
     words = F.transform(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)), F.lower)
-    inner = documents.filter("text IS NOT NULL").select(F.explode(F.array_distinct(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))))).alias("word"))
-    counts = inner.groupBy("word").agg(F.count("*").alias("n")).filter("n >= 3").orderBy(F.desc("n"), "word").limit(most)
-    return {r["word"]: r["n"] for r in counts.toLocalIterator()}
+    inner = F.array_distinct(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))))
+    slots = F.transform(inner, lambda x: F.crc32(x.cast("binary")).bitwiseAND((1 << WORD_BITS) - 1).cast("int"))
+    counts = documents.filter("text IS NOT NULL").select(F.explode(F.array_append(slots, F.lit(-1))).alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
+    found = counts.toPandas()
+    n = int(found.loc[found["slot"] == -1, "n"].sum())
+    found = found[found["slot"] >= 0]
+    out = np.zeros(1 << WORD_BITS, np.uint8)
+    out[found["slot"].to_numpy(np.int64)] = np.log2(np.maximum(found["n"].to_numpy(float) / max(n, 1) / WORD_SHARE, 0.5)).astype(int) + 1
+    return out, n
 
 
-def model(documents: DataFrame, sample: int = SAMPLE, seed: int = 11) -> tuple[np.ndarray, dict[str, int], dict[str | None, tuple[int | None, int | None]], float]:
-    """Weights, known words, limits by source, and the share of held-out examples that are told right.
+def _examples(seed: int, shared):  # noqa: ANN001, ANN202
+    """Rows of features of each text as it is and cut, as bytes; label 1 for a cut text."""
 
-    The regression is fitted on at most `sample` texts of at most SAMPLE_CHARS
-    characters, those of least hash: as
-    they are, if not at their source's limit, and cut; then again without the texts
-    of the first kind that look cut. A tenth is held out. Words
-    and limits are counted over all documents; limits are as many as sources.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, top = shared.value
+        for b in batches:
+            b, out = b.astype(object).where(b.notna(), None), []
+            for text, source, doc_type, h in zip(b["text"], b["source"], b["doc_type"], b["h"], strict=True):
+                rng = np.random.default_rng([seed, h & (2**63 - 1)])
+                c, z = top.get(source, (None, None))
+                short = below(text, c, z)
+                if not any(0 <= n < NEAR for n in short):
+                    out.append((h, 0, _row(features(text, doc_type, short, known)).tobytes()))
+                if cut := cut_at_random(text, rng):
+                    at = (0 if c and rng.random() < 0.6 else 40 if c else -1, 0 if z and rng.random() < 0.6 else 40 if z else -1)
+                    out.append((h, 1, _row(features(cut, doc_type, at, known)).tobytes()))
+            yield pd.DataFrame(out, columns=["h", "label", "row"])
+
+    return run
+
+
+def model(documents: DataFrame, sample: int = SAMPLE, seed: int = 11) -> tuple[np.ndarray, np.ndarray, dict[str | None, tuple[int | None, int | None]], float]:
+    """Weights, word shares, limits by source, and the share of held-out examples that are told right.
+
+    The regression is fitted on about `sample` texts of at most SAMPLE_CHARS
+    characters, those whose hash lies below that share of all: as they are, if not
+    at their source's limit, and cut; a text of the first kind that looks cut to a
+    fit on the other half of the texts is left out. A tenth is held out. Words and limits are counted over all
+    documents; limits are as many as sources. The executors make the features;
+    only rows of hashes reach the driver.
     """
-    known = known_words(documents)
+    known, n = word_shares(documents)
     top = {r["source"]: (r["max_chars"], r["max_bytes"]) for r in limits(documents).toLocalIterator()}
-    chosen = documents.filter(F.col("text").rlike(r"\S") & (F.length("text") <= SAMPLE_CHARS)).select("text", "source", "doc_type", F.xxhash64("text", F.lit(seed)).alias("h")).orderBy("h", "source").limit(sample).toLocalIterator()
-    rng, examples, label = np.random.default_rng(seed), [], []
-    for r in chosen:
-        c, b = top.get(r["source"], (None, None))
-        short = below(r["text"], c, b)
-        if not any(0 <= n < NEAR for n in short):
-            examples.append(_row(features(r["text"], r["doc_type"], short, known)))
-            label.append(0.0)
-        cut = cut_at_random(r["text"], rng)
-        if cut:
-            at = (0 if c and rng.random() < 0.6 else 40 if c else -1, 0 if b and rng.random() < 0.6 else 40 if b else -1)
-            examples.append(_row(features(cut, r["doc_type"], at, known)))
-            label.append(1.0)
-    if len(set(label)) < 2:
+    shared = documents.sparkSession.sparkContext.broadcast((known, top))
+    chosen = documents.filter(F.col("text").rlike(r"\S") & (F.length("text") <= SAMPLE_CHARS)).select("text", "source", "doc_type", F.xxhash64("text", F.lit(seed)).alias("h"))
+    if n > sample:
+        chosen = chosen.filter(F.col("h") < int(2**64 * (sample / n)) - 2**63)
+    made = spread(chosen, "h").mapInPandas(_examples(seed, shared), "h long, label int, row binary").toPandas().sort_values(["h", "label", "row"])
+    if made["label"].nunique() < 2:
         return np.zeros((1 << BITS) + 1), known, top, 1.0
-    rows, y = np.array(examples), np.array(label)
-    test = np.arange(len(rows)) % 10 == 0
-    w = fit(rows[~test], y[~test])
-    doubtful = (y == 0) & (w[rows].sum(axis=1) + w[-1] > DOUBT)
+    rows, y = np.frombuffer(b"".join(made["row"]), np.int32).reshape(len(made), -1), made["label"].to_numpy(float)
+    test = made["h"].to_numpy(np.int64) % 10 == 0
+    half, doubtful = made["h"].to_numpy(np.int64) // 10 % 2 == 0, np.zeros(len(y), bool)
+    for fold in (half, ~half):  # a text is doubted by a fit that has not seen it
+        w = fit(rows[~fold & ~test], y[~fold & ~test])
+        doubtful[fold] = (y[fold] == 0) & (w[rows[fold]].sum(axis=1) + w[-1] > DOUBT)
     w = fit(rows[~test & ~doubtful], y[~test & ~doubtful])
     test &= ~doubtful
     right = float(((w[rows[test]].sum(axis=1) + w[-1] > 0) == (y[test] > 0)).mean()) if test.any() else 1.0
@@ -230,8 +268,8 @@ def scored(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     made once and kept in the shared checkpoint folder.
     Null, empty and blank texts have no row; null source and doc_type are values
     like others. A table without texts, or only of texts too short to cut, gives
-    score 0.5 to each. Weights and known words are broadcast; they are bounded by
-    BITS and VOCABULARY, and the limits by the number of sources.
+    score 0.5 to each. Weights and word shares are broadcast; they are bounded by
+    BITS and WORD_BITS, and the limits by the number of sources.
     """
     w, known, top, _ = model(documents, sample)
     shared = documents.sparkSession.sparkContext.broadcast((w, known, top))

@@ -70,3 +70,16 @@ def test_cuts_fall_inside(seed):
         t = text(r)
         c = T.cut_at_random(t, rng)
         assert c is None or c != t and not (T.char_class(c[-1:]) == "end" and not c.endswith(("...", "…")) and t[len(c) : len(c) + 1].isspace())
+
+
+def test_one_longer_text_hides_no_limit(spark):
+    rows = [(i, f"{i:04d}" + "x" * 196, "a", None, 0, "x", "y") for i in range(20)] + [(100 + i, "y" * (i + 1), "a", None, 0, "x", "y") for i in range(150)] + [(400, "z" * 5000, "a", None, 0, "x", "y"), (401, "z" * 900, "b", None, 0, "x", "y")]
+    got = {r["source"]: (r["max_chars"], r["max_bytes"]) for r in T.limits(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {"a": (200, 200), "b": (None, None)}
+
+
+def test_word_shares_do_not_depend_on_the_size_of_the_corpus(spark):
+    rows = [(i, f"common {'rare' if i % 50 == 0 else 'usual'} ending{i}", "a", None, 0, "x", "y") for i in range(400)]
+    small, large = (T.word_shares(spark.createDataFrame(rows * k, SCHEMA)) for k in (1, 7))
+    assert large[1] == 7 * small[1] == 2800 and (small[0] == large[0]).all()
+    assert small[0][T._slot("common")] > small[0][T._slot("usual")] > 0 and small[0][T._slot("ending7")] == 0
