@@ -126,6 +126,8 @@ def _row(example: list[str]) -> np.ndarray:
 
 def fit(rows: np.ndarray, label: np.ndarray, epochs: int = 12, rate: float = 0.15, decay: float = 2e-6, seed: int = 7) -> np.ndarray:
     """Weights of a logistic regression over hashed features, the last being the bias; every step scales by the squared gradients so far."""
+    if not len(label):
+        return np.zeros((1 << BITS) + 1)
     used, rows = np.unique(np.column_stack([rows, np.full(len(rows), 1 << BITS, rows.dtype)]), return_inverse=True)
     rows, rng = rows.reshape(len(label), -1), np.random.default_rng(seed)
     w, g2 = np.zeros(len(used)), np.full(len(used), 1e-4)
