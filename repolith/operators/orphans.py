@@ -12,6 +12,7 @@ from repolith.session import cut
 
 #: Rows of a level up to which it is broadcast to the nodes; a larger one meets them by a shuffle. A row has two ids, so this is some tens of MB at most.
 BROADCAST_ROWS = 100_000
+DIR = "dir::"
 #: Statuses of a dependency that claims a target.
 RESOLVED = ("resolved_exact", "resolved_heuristic")
 
@@ -45,7 +46,7 @@ def node_parents(nodes: DataFrame) -> DataFrame:
     the directory above. Nodes without path, and top directories, refer to nothing.
     """
     path, kind = normal_path(F.col("path")), F.split_part(F.col("node_id"), F.lit("::"), F.lit(1))
-    parent = F.when(kind.isin("file", "dir"), F.concat(F.lit("dir::"), parent_dir(path))).otherwise(F.concat(F.lit(FILE), path))
+    parent = F.when(kind.isin("file", "dir"), F.concat(F.lit(DIR), parent_dir(path))).otherwise(F.concat(F.lit(FILE), path))
     return nodes.select("csc_id", normal_node_id(F.col("node_id")).alias("node"), parent.alias("parent"), F.col("recorded_at").alias("at")).filter(
         F.col("parent").isNotNull() & (F.col("parent") != F.col("node")))
 
@@ -78,37 +79,52 @@ def orphan_cascade(nodes: DataFrame, edges: DataFrame, dependencies: DataFrame,
     nearest direct orphan. A reference that is a direct orphan isn't inherited too.
 
     Nulls: a null csc_id, key or time matches no node, so such a reference is
-    direct. Repeated rows count once. Empty tables give no rows. Containment is a
-    tree of paths, so the levels end after its depth; max_depth only guards
-    against a cycle in foreign data and raises when reached. Each level reads the
-    level before from the shared checkpoint folder; only its number of rows reaches the
-    driver.
+    direct. Repeated rows count once. Empty tables give no rows. Only directories hold
+    directories, so only they are iterated, a small part of the nodes; files
+    and what they hold follow in one join each. A directory that is reached again at a later level
+    keeps its least depth; paths grow with every level, so the levels end. max_depth only
+    guards against foreign data and raises when reached. Levels are kept in
+    the shared checkpoint folder; only their number of rows reaches the driver.
     """
-    live, family = live_nodes(nodes), node_parents(nodes)
-    orphaned = cut(_dead(family, "parent", live).select("csc_id", "node", "at").distinct())
-    levels, frontier = [orphaned.withColumn("depth", F.lit(0))], orphaned
+    live, family = live_nodes(nodes), node_parents(nodes).distinct()
+    node = ["csc_id", "node", "at"]
+    orphaned = cut(_dead(family, "parent", live).select(*node)).withColumn("depth", F.lit(0))
+    folders = cut(family.filter(F.col("node").startswith(DIR)))
+    levels, frontier = [orphaned.filter(F.col("node").startswith(DIR))], orphaned.filter(F.col("node").startswith(DIR))
     while size := frontier.count():
         if len(levels) > max_depth:
             raise RuntimeError("containment has a cycle")
-        known = reduce(DataFrame.unionByName, (x.select("csc_id", "node", "at") for x in levels))
-        above = frontier.select(F.col("csc_id").alias("u_csc"), F.col("node").alias("u_node")).distinct()
-        above = F.broadcast(above) if size <= BROADCAST_ROWS else above
-        frontier = cut(family.join(above, (F.col("csc_id") == F.col("u_csc")) & (F.col("parent") == F.col("u_node")), "left_semi")
-                       .select("csc_id", "node", "at").distinct().join(known, ["csc_id", "node", "at"], "left_anti"))
-        levels.append(frontier.withColumn("depth", F.lit(len(levels))))
-    lost = reduce(DataFrame.unionByName, levels)
+        frontier = cut(_children(folders, _nearest(frontier), size))
+        levels.append(frontier)
+    lost_folders = reduce(DataFrame.unionByName, levels)
+    files = family.filter(F.col("node").startswith(FILE))
+    lost_files = cut(orphaned.filter(F.col("node").startswith(FILE)).unionByName(_children(files, _nearest(lost_folders))))
+    others = family.filter(F.col("parent").startswith(FILE))
+    lost_others = orphaned.filter(~F.col("node").startswith(DIR) & ~F.col("node").startswith(FILE)).unionByName(_children(others, _nearest(lost_files)))
+    lost = cut(lost_folders.unionByName(lost_files).unionByName(lost_others).groupBy(*node).agg(F.min("depth").alias("depth")))
     refs = references(edges, dependencies)
     direct = direct_orphans(nodes, edges, dependencies)
     out = ["ref_table", "csc_id", "record_key", "ref_field", F.col("at").alias("recorded_at"), "kind", "depth"]
-    ids = lost.groupBy(F.col("csc_id").alias("l_csc"), F.col("node").alias("l_id")).agg(F.min("depth").alias("l_depth"))
-    heirs = refs.join(ids, (F.col("csc_id") == F.col("l_csc")) & (F.col("ref_id") == F.col("l_id"))).drop("l_csc", "l_id").distinct()
-    heirs = _dead_not(heirs, live).select(*out[:4], F.col("at").alias("recorded_at"), F.lit("inherited").alias("kind"), (F.col("l_depth") + 1).alias("depth"))
+    ids = _nearest(lost)
+    heirs = refs.join(ids, (F.col("csc_id") == F.col("u_csc")) & (F.col("ref_id") == F.col("u_node"))).drop("u_csc", "u_node").distinct()
+    heirs = _dead_not(heirs, live).select(*out[:4], F.col("at").alias("recorded_at"), F.lit("inherited").alias("kind"), (F.col("u_depth") + 1).alias("depth"))
     return (direct.withColumns({"kind": F.lit("direct"), "depth": F.lit(0)}).select(*out)
             .unionByName(heirs)
             .unionByName(lost.select(F.lit("graph_nodes").alias("ref_table"), "csc_id", F.col("node").alias("record_key"), F.lit("parent").alias("ref_field"),
                                      F.col("at").alias("recorded_at"), F.when(F.col("depth") == 0, "direct").otherwise("inherited").alias("kind"), "depth")))
 
 
+def _nearest(lost: DataFrame) -> DataFrame:
+    """(u_csc, u_node, u_depth): the least depth of each orphaned id."""
+    return lost.groupBy(F.col("csc_id").alias("u_csc"), F.col("node").alias("u_node")).agg(F.min("depth").alias("u_depth"))
+
+
+def _children(family: DataFrame, above: DataFrame, size: int | None = None) -> DataFrame:
+    """The nodes of family whose parent is one of above, a step deeper. size: rows of above, if known; few are broadcast."""
+    above = F.broadcast(above) if size is not None and size <= BROADCAST_ROWS else above
+    return family.join(above, (F.col("csc_id") == F.col("u_csc")) & (F.col("parent") == F.col("u_node"))).select("csc_id", "node", "at", (F.col("u_depth") + 1).alias("depth"))
+
+
 def _dead_not(refs: DataFrame, live: DataFrame) -> DataFrame:
     """The rows of refs whose ref_id does name a live node."""
     return refs.join(live, (refs.csc_id == live.n_csc) & (refs.ref_id == live.n_id) & (refs["at"] >= live.n_from)
