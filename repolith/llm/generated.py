@@ -25,15 +25,8 @@ LINES, CONTAINMENT = 10, 0.8
 #: Holders of a line that are looked up under one key; more are dealt out over several.
 HOT = 1000
 
-_TOOL = re.compile(
-    r"(?<!not )(?<!never )\b(?:code|file|source) (?:is |was )?(?:auto-?)?generated\b|@generated\b|<auto-?generated|\bauto-?generated (?:by|on|from|file|code|using|with)\b|\bautomatically (?:generated|created|produced)\b"
-    r"|\bmachine[- ](?:written|generated|made)\b|\bgenerated (?:by|from|with|using)\b|\bdo not (?:edit|modify)\b(?! the)|\bchanges will be (?:lost|overwritten)\b"
-    r"|\b(?:automatisch )?(?:erzeugt|generiert) (?:von|aus|durch|mit)\b|\bnicht von hand\b|\b(?:généré|genere)e?s? (?:par|automatiquement)\b|\bne pas modifier\b|\bgenerado (?:por|automáticamente)\b|\bno (?:editar|modificar)\b", re.I)
-_DENIED = re.compile(r"\bnot (?:auto-?)?generated\b|\bedit freely\b|\bwritten by hand\b", re.I)
-_UPSTREAM = re.compile(
-    r"\b(?:imported|vendored|copied|taken) (?:verbatim )?from upstream\b|\bupstream: |\breleased under the [\w. -]+ licen[cs]e\b|\bpermission is (?:hereby )?granted\b|\(c\)[^\n]{0,60}\bcontributors\b|@license\b", re.I)
-#: Folders that hold third-party code, as whole names.
-_THIRD_PARTY = re.compile(r"(?:^|/)(?:vendor|vendored|third[-_]party|thirdparty|external|extern|externals|node_modules|bower_components|site-packages)/")
+#: The marks by which tools sign their output, as whole comment lines of a file's beginning.
+_SIGNED = re.compile(r"^[ \t]*(?://|#|/?\*|<!--)[ \t]*(?:Code generated .* DO NOT EDIT\.?[ \t]*(?:\*/|-->)?$|@generated\b|<auto-?generated\b)", re.M)
 #: The comments that begin a file, of all languages, also behind a package line.
 _HEADER = re.compile(r'\A﻿?(?:\s+|//[^\n]*|#(?!include|define|if|pragma|region)[^\n]*|/\*[\s\S]*?\*/|<!--[\s\S]*?-->|"""[\s\S]*?"""|' + r"'''[\s\S]*?'''|(?:package|namespace)\s+[\w.]+\s*;?[ \t]*(?=\r?\n)|[\"']use strict[\"'];?)*")
 
@@ -41,13 +34,12 @@ _BESIDE_SIGNS = bytes(c for c in range(128) if chr(c).isalnum() or c in b"_ \t\r
 _BLANK, _DIGITS = b" \t\r\n\f\v", b"0123456789"
 _NUMBERS = re.compile(rb"(?<![\w.])-?(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)[uUlLfF]*[\s,]*|\\x[0-9a-fA-F]{2}")
 _BLOB = re.compile(rb"[A-Za-z0-9+/=\\]{80,}")
-#: Rows of tables that people keep by hand: a quoted key and a value.
-_TABLE_ROWS = (b"'':,", b'"":,', b"':", b"'':'',", b'"":"",')
+_INTEGERS = re.compile(rb"(?<![.\w])\d{1,6}(?![.\w])|(?<=[A-Za-z_])\d{1,6}(?!\d)")
 
 
 def repetition(code: bytes) -> tuple[int, int]:
     """(lines outside, lines inside) sequences of three lines whose signs occur four times or more."""
-    lines = [x for x in code.translate(None, _BESIDE_SIGNS).split(b"\n") if x and x not in _TABLE_ROWS]
+    lines = [x for x in code.translate(None, _BESIDE_SIGNS).split(b"\n") if x]
     runs = list(zip(lines, lines[1:], lines[2:], strict=False))
     often = Counter(runs)
     inside = bytearray(len(lines))
@@ -58,9 +50,26 @@ def repetition(code: bytes) -> tuple[int, int]:
     return len(lines) - n, n
 
 
+def numbered(code: bytes) -> int:
+    """How far the integers of a text count up from 0 or 1, one by one in order, also as ends of names; others may stand between."""
+    reached = 0
+    for start in (0, 1):
+        want = start
+        for x in _INTEGERS.findall(code):
+            want += int(x) == want
+        reached = max(reached, want - start)
+    return reached
+
+
 def composition(text: str) -> str | None:
-    """`data`, `minified`, `generated`, `upstream` (its header says that it is another project's), or None, from a whole text alone."""
-    code = text.encode()
+    """`data`, `minified`, `generated`, or None, from the signs and tokens of a whole text alone.
+
+    Data: numbers, or runs of encoded bytes, make most of it. Minified: most of it
+    is one line with few blanks. Generated: nearly all lines repeat the signs of
+    others and their numbers count up, as a loop writes them, or a tool signed the
+    file. People repeat lines too, as in tests, routes and word lists, but do not number them.
+    """
+    code = text.encode(errors="replace")
     n = len(code)
     if not n:
         return None
@@ -74,18 +83,18 @@ def composition(text: str) -> str | None:
     if longest > 200 and blanks < 0.12 * n and longest > 0.5 * n:
         return "minified"
     header = _HEADER.match(text)[0]
-    if _TOOL.search(header) and not _DENIED.search(header):
+    if _SIGNED.search(header):
         return "generated"
-    outside, inside = repetition(code[len(header.encode()) :])
-    if inside >= 10 and inside > 0.8 * (inside + outside) and outside <= max(9, 0.05 * inside):
+    body = code[len(header.encode(errors="replace")) :]
+    outside, inside = repetition(body)
+    if inside >= 10 and inside > 0.8 * (inside + outside) and outside <= max(9, 0.05 * inside) and numbered(body) >= max(5, inside // 8):
         return "generated"
-    return "upstream" if _UPSTREAM.search(header) else None
+    return None
 
 
 def _compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        kinds = [composition(t) for t in b["text"]]
-        b["kind"] = ["vendored" if k == "upstream" or k is None and _THIRD_PARTY.search(p.replace("\\", "/")) else k for k, p in zip(kinds, b["path"], strict=True)]
+        b["kind"] = [composition(t) for t in b["text"]]
         yield b[["csc_id", "path", "kind"]]
 
 
