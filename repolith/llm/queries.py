@@ -70,8 +70,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p4_errors(spark: SparkSession, d: str) -> DataFrame:
-    """Every file of the eight languages with what is wrong with it, null if nothing."""
-    return syntax.checked_files(load(spark, d, "scan_records"))
+    """Every file of the eight languages with what is wrong with it, null if nothing, and what told so: the lexer and its stack, declarations of another language, or the parser."""
+    error = F.col("error")
+    basis = F.when(error == "foreign_language", "declarations").when(error.isin("indentation", "invalid_syntax"), "parser").when(error.isNotNull(), "lexer")
+    return syntax.checked_files(load(spark, d, "scan_records")).withColumn("basis", basis)
 
 
 @query

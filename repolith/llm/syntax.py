@@ -26,7 +26,8 @@ _DOUBLE, _SINGLE = r'"(?:[^"\\\n]|\\[\s\S])*"', r"'(?:[^'\\\n]|\\[\s\S])*'"
 _NESTED = r"/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*/]|\*(?!/)|/(?!\*))*\*/)*\*/)*\*/"
 _HOLE = r"\$\{(?:[^{}`]|\{(?:[^{}`]|\{[^{}`]*\})*\}|`[^`]*`)*\}"
 _TEMPLATE = rf"`(?:[^`\\$]|\\[\s\S]|\$(?!\{{)|{_HOLE})*`"
-_JS_REGEX = r"/(?![*/])(?:(?<=[=(,:\[!&|?{};+\-*%~^<>\n]/)|(?<=[=(,:\[!&|?{};+\-*%~^<>] /)|(?<=return /)|(?<=typeof /)|(?<=case /)|(?<=\n  /)|(?<=\n    /))(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[a-z]*"
+_REGEX_BODY = r"(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[a-z]*"
+_JS_REGEX = r"/(?![*/])(?:(?<=[=(,:\[!&|?{};+\-*%~^<>\n]/)|(?<=[=(,:\[!&|?{};+\-*%~^<>] /)|(?<=return /)|(?<=typeof /)|(?<=case /)|(?<=\n  /)|(?<=\n    /))" + _REGEX_BODY + r"|/(?<=\)\s/)" + _REGEX_BODY + r"(?=\.(?:test|exec|source|flags|lastIndex)\b)"
 _CS_STRING = r'"""+[\s\S]*?"""+|(?:\$+@|@\$+|@)"(?:[^"]|"")*"|\$"(?:[^"\\\n{}]|\\[^\n]|\{\{|\}\}|\{(?:[^{}"\n]|"[^"\n]*")*\})*"|' + _DOUBLE
 
 #: Directives whose rest of line is free text.
@@ -134,30 +135,146 @@ _PAIRS = {k: re.compile(p, re.M) for k, p in {
 }.items()}
 _PAIRS["typescript"], _PAIRS["cpp"] = _PAIRS["javascript"], re.compile(r"(?:[=*/%|^<!?,\[]|\+(?<!\+\+)(?<!operator\+)|-(?<!--))\s*;|\(\s*[,/%|]|while(?<=[\s{};)]while)(?!\w)\s*(?!\s)[^\s(]|switch(?<=[\s{};)]switch)(?!\w)\s*(?!\s)[^\s(]|if(?<=[\s{};)]if)(?!\w)\s*(?!\s)(?!constexpr\b|consteval\b|!)[^\s(]|;\s*,", re.M)
 #: A statement that begins on the next line although the one before has not ended.
-_UNENDED = re.compile(r"[\w)\]\x01][ \t]*\n\s*(?:return|if|for|while|int|let|var|static|public|private|internal|pub|fn|use|using|import|package|class|break|continue|trace|log|Log)\b(?!\s*!?=)")
-_HEADER_END = re.compile(r"(?:\b(?:if|for|while|switch|else|do|match|loop|catch|foreach|unsafe|try|finally)\b[^\n]*|^[ \t]*(?:#|@|\[)[^\n]*|->[^\n]*|\bwhere\b[^\n]*|\b(?:class|struct|enum|namespace|interface)\b[^\n]*|[^\n;=]*\))\Z", re.M)
+_UNENDED = re.compile(r"[\w)\]\x01][ \t]*\n\s*(?:return|if|for|while|int|let|var|static|public|private|internal|pub|fn|use|using|import|package|class|break|continue)\b(?!\s*!?=)")
+#: The same before a call, where the line before assigns or is itself a call.
+_UNENDED_CALL = re.compile(r"[\w)\]\x01][ \t]*\n\s*(?!(?:where|throws|when|and|or|xor|not|noexcept|requires|__attribute__)\b)[A-Za-z_]\w*(?:(?:\.|::)\w+)*\(")
+_ASSIGNS = re.compile(r"[^=!<>]=(?![=>])[^;{]*\Z|^\s*(?:return|throw)\b")
+_HEADER_END = re.compile(r"(?:\b(?:if|for|while|switch|else|do|match|loop|catch|foreach|unsafe|try|finally)\b[^\n]*|^[ \t]*(?:#|@|\[)[^\n]*|->[^\n]*|\bwhere\b[^\n]*|\b(?:class|struct|enum|namespace|interface)\b[^\n]*)\Z", re.M)
 #: A line that is a call; where there are no macros, a statement needs its end behind it.
 _CALL = re.compile(r"\s*(?!(?:if|for|while|switch|else|catch|synchronized|try|do|using|lock|fixed|foreach|when|where|case|default|return)\b)[A-Za-z_][\w.]*\(")
 
 
-def _without_branches(text: str) -> str:
-    """C-like text whose preprocessor lines are gone; of #if branches the first stays."""
-    out, dropping, depth, more = [], [], 0, False
-    for line in text.split("\n"):
-        directive = re.match(r"\s*#\s*(\w*)", line)
+def _without_branches(text: str) -> list[str]:
+    """C-like text whose preprocessor lines are gone, once with the first and once with the last branch of each #if; `#if 0` is read by neither."""
+    lines, place, more = text.split("\n"), [], False
+    first, last, open_ = [], [], []  # open_: of each #if that is open, the branch, and its lines in the order of branches
+    for n, line in enumerate(lines):
+        directive = re.match(r"\s*#\s*(\w*)\s*(\w*)", line)
         if more or directive:
             word, more = "" if more else directive.group(1), line.rstrip("\r").endswith("\\")
             if word in ("if", "ifdef", "ifndef"):
-                depth += 1
-            elif word in ("else", "elif") and depth and depth not in dropping:
-                dropping.append(depth)
-            elif word == "endif":
-                dropping = [x for x in dropping if x != depth]
-                depth = max(0, depth - 1)
-            out.append("")
+                open_.append([0, len(place), word == "if" and directive.group(2) == "0"])
+            elif word in ("else", "elif") and open_:
+                open_[-1][0] += 1
+            elif word == "endif" and open_:
+                branch, begin, never = open_.pop()
+                for k in range(begin, len(place)):
+                    m, own = place[k]
+                    at = own.pop()
+                    first[m] &= at == (1 if never else 0)
+                    last[m] &= at == branch and not (never and at == 0)
+            first.append(False)
+            last.append(False)
+            place.append((n, [x[0] for x in open_]))
         else:
-            out.append("" if dropping else line)
-    return "\n".join(out)
+            first.append(True)
+            last.append(True)
+            place.append((n, [x[0] for x in open_]))
+    for _, own in place:  # an #if without end is read whole
+        own.clear()
+    variants = ["\n".join(x if keep else "" for x, keep in zip(lines, kept, strict=True)) for kept in (first, last)]
+    return variants[:1] if first == last else variants
+
+
+_MARKUP = re.compile(r"[(,=?:&|\[>]\s*<[A-Za-z_>]|\b(?:return|default|yield)\s*<[A-Za-z_>]")
+_TAG = re.compile(r"<([A-Za-z_][\w.:-]*)?\s*")
+_ATTRIBUTE = re.compile(r"[A-Za-z_][\w:.-]*\s*(=\s*)?")
+_JSX_TEXT = re.compile(r"[^<>{}]*")
+_BLANKS = re.compile(r"\s*")
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+#: What an expression may follow, so that `<` begins an element there.
+_EXPRESSION = re.compile(r"(?:[(,=?:&|\[>]|\b(?:return|default|yield))\s*\Z")
+_IN_HOLE = {k: re.compile(f"(?P<skip>{_UNITS[k][0]}|{_UNITS[k][1]})|(?P<brace>[{{}}])|(?P<tag><(?=[A-Za-z_>]))") for k in ("javascript", "typescript")}
+
+
+def _element(text: str, at: int, lexer: str) -> tuple[int, list[str]] | None:
+    """The end of the markup element that begins at `at` and the code in its braces; None if none is complete. A stack holds the names of open elements."""
+    names, holes, i = [], [], at
+    while True:
+        tag = _TAG.match(text, i)
+        i = tag.end()
+        while True:  # attributes
+            if text.startswith("/>", i):
+                i += 2
+                break
+            if text.startswith(">", i):
+                i += 1
+                names.append(tag[1] or "")
+                break
+            if text.startswith("{", i):
+                hole = _hole(text, i, lexer)
+                if not hole:
+                    return None
+                i = hole[0]
+                holes.append(hole[1])
+            elif m := _ATTRIBUTE.match(text, i):
+                i = m.end()
+                if m[1] and (q := _QUOTED.match(text, i)):
+                    i = q.end()
+                elif m[1] and not text.startswith("{", i):
+                    return None
+            else:
+                return None
+            i = _BLANKS.match(text, i).end()
+        while names:  # children, up to the next element
+            i = _JSX_TEXT.match(text, i).end()
+            if text.startswith("{", i):
+                hole = _hole(text, i, lexer)
+                if not hole:
+                    return None
+                i = hole[0]
+                holes.append(hole[1])
+            elif m := re.compile(r"</\s*([A-Za-z_][\w.:-]*)?\s*>").match(text, i):
+                if names.pop() != (m[1] or ""):
+                    return None
+                i = m.end()
+            elif text.startswith("<", i) and not text.startswith("</", i):
+                break
+            else:
+                return None
+        if not names:
+            return i, holes
+
+
+def _hole(text: str, at: int, lexer: str) -> tuple[int, str] | None:
+    """The place behind the brace that closes the one at `at`, and the code between, elements in it replaced."""
+    depth, begin, out, i = 0, at + 1, [], at
+    while m := _IN_HOLE[lexer].search(text, i):
+        i = m.end()
+        if m["brace"] is not None:
+            depth += 1 if m["brace"] == "{" else -1
+            if not depth:
+                return i, "".join([*out, text[begin : m.start()]])
+        elif m["tag"] is not None and (m.start() == at + 1 or _EXPRESSION.search(text[max(at + 1, m.start() - 40) : m.start()]) or not text[at + 1 : m.start()].strip()):
+            found = _element(text, m.start(), lexer)
+            if found:
+                out += [text[begin : m.start()], _as_code(found[1])]
+                begin = i = found[0]
+    return None
+
+
+def _as_code(holes: list[str]) -> str:
+    return "([" + ",".join(h for h in holes if h.strip()) + "])"
+
+
+def _without_markup(text: str, lexer: str) -> str:
+    """JavaScript or TypeScript whose complete markup elements are replaced by a list of the code in their braces.
+
+    In JavaScript nothing but an element can begin so; one that isn't complete leaves
+    the mark of an opening that nothing closes. In TypeScript it may be a type.
+    """
+    out, begin, i = [], 0, 0
+    while m := _IN_HOLE[lexer].search(text, i):
+        i = m.end()
+        if m["tag"] is not None and _EXPRESSION.search(text[max(0, m.start() - 40) : m.start()]):
+            found = _element(text, m.start(), lexer)
+            if found:
+                out += [text[begin : m.start()], _as_code(found[1])]
+                begin = i = found[0]
+            elif lexer == "javascript":
+                out += [text[begin : m.start()], _OPEN]
+                begin = m.start()
+    return "".join([*out, text[begin:]])
 
 
 def _stack(code: str) -> str | None:
@@ -175,16 +292,23 @@ def _mask(m: re.Match) -> str:
 
 
 def _unended(code: str, lexer: str) -> bool:
-    for m in _UNENDED.finditer(code):
-        line = code[code.rfind("\n", 0, m.start() + 1) + 1 : m.start() + 1]
-        if not _HEADER_END.search(line) or lexer in ("java", "csharp") and _CALL.match(line) and line.count("(") == line.count(")"):
-            return True
+    for pattern in (_UNENDED, _UNENDED_CALL):
+        for m in pattern.finditer(code):
+            line = code[code.rfind("\n", 0, m.start() + 1) + 1 : m.start() + 1]
+            assigns, calls = bool(_ASSIGNS.search(line)), bool(_CALL.match(line))
+            if _HEADER_END.search(line) or pattern is _UNENDED_CALL and not assigns and not calls:
+                continue
+            # a line that ends in a parenthesis may declare a function, or be a macro where there are any
+            if not line.endswith(")") or line.count("(") == line.count(")") and (assigns or calls and lexer in ("java", "csharp")):
+                return True
     return False
 
 
 def lex_error(text: str, lexer: str) -> str | None:
     """What the lexer and its stack find wrong with a whole text, None if nothing."""
     text = text.replace("\r\n", "\n").replace("\r", "\n").removeprefix("﻿")
+    if lexer in ("javascript", "typescript") and _MARKUP.search(text):
+        text = _without_markup(text, lexer)
     code = "\n" + _LEXERS[lexer].sub(_mask, text)
     if _CONFLICT.search(code):
         return "merge_conflict"
@@ -195,8 +319,14 @@ def lex_error(text: str, lexer: str) -> str | None:
         return "unterminated_literal"
     if lexer == "go" and not _PACKAGE.match(code):
         return "foreign_language" if code.strip() else "premature_end"
-    if lexer in ("c", "cpp", "csharp") and "#" in code:
-        code = _without_branches(code)
+    for variant in _without_branches(code) if lexer in ("c", "cpp", "csharp") and "#" in code else [code]:
+        if error := _token_error(variant, lexer):
+            return error
+    return None
+
+
+def _token_error(code: str, lexer: str) -> str | None:
+    """What is wrong with the delimiters, ends and neighbours of a text without literals, comments and directives."""
     if error := _stack(code):
         return error
     if lexer == "python":
