@@ -48,20 +48,24 @@ def significance(score: Column) -> Column:
     return F.when(score >= 10, "high").when(score >= 6, "medium").otherwise("low")
 
 
-def strong_windows(deltas: DataFrame) -> DataFrame:
-    """(csc_id, window, commits, first_commit, last_commit, strength): runs of consecutive strong commits.
+def strong_commits(deltas: DataFrame) -> DataFrame:
+    """deltas with i and island: the strong commits, those of one island following each other.
 
     Strong is what reaches the third highest strength of the repository, at least 6;
     where nothing does, the first of the strongest commits.
     """
     order = Window.partitionBy("csc_id").orderBy("at", "commit_id")
     best = Window.partitionBy("csc_id").orderBy(F.desc("strength"), "at", "commit_id")
-    ranked = deltas.select("csc_id", "commit_id", "at", "strength", F.row_number().over(order).alias("i"), F.row_number().over(best).alias("r"))
+    ranked = deltas.select("*", F.row_number().over(order).alias("i"), F.row_number().over(best).alias("r"))
     line = ranked.groupBy("csc_id").agg(F.greatest(F.lit(6), F.min(F.when(F.col("r") <= 3, F.col("strength")))).alias("line"), F.max("strength").alias("top"))
     strong = ranked.join(line, "csc_id").filter((F.col("strength") >= F.col("line")) | ((F.col("top") < F.col("line")) & (F.col("r") == 1)))
-    islands = strong.withColumn("island", F.col("i") - F.row_number().over(order))
+    return strong.withColumn("island", F.col("i") - F.row_number().over(order))
+
+
+def strong_windows(deltas: DataFrame) -> DataFrame:
+    """(csc_id, window, commits, first_commit, last_commit, strength): runs of consecutive strong commits."""
     w = Window.partitionBy("csc_id").orderBy("first")
-    runs = islands.groupBy("csc_id", "island").agg(F.count("*").alias("commits"), F.min("i").alias("first"), F.min_by("commit_id", "i").alias("first_commit"), F.max_by("commit_id", "i").alias("last_commit"), F.sum("strength").alias("strength"))
+    runs = strong_commits(deltas).groupBy("csc_id", "island").agg(F.count("*").alias("commits"), F.min("i").alias("first"), F.min_by("commit_id", "i").alias("first_commit"), F.max_by("commit_id", "i").alias("last_commit"), F.sum("strength").alias("strength"))
     return runs.select("csc_id", F.row_number().over(w).alias("window"), "commits", "first_commit", "last_commit", "strength")
 
 

@@ -15,6 +15,7 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Found = tuple[str, str, str | None, str | None]  # name, role, group, version
 
@@ -34,6 +35,40 @@ CONAN_ROLES = {"requires": "runtime", "tool_requires": "toolchain", "test_requir
 GO_BLOCK = re.compile(r"require\s*\((.*?)\)", re.S)
 
 
+# Names of build manifests with their ecosystem and category.
+BUILD_SOURCES = {
+    "pyproject.toml": ("python", "dependency_manifest"), "requirements.txt": ("python", "dependency_manifest"), "setup.py": ("python", "build_config"), "setup.cfg": ("python", "build_config"),
+    "Pipfile": ("python", "dependency_manifest"), "Pipfile.lock": ("python", "dependency_lockfile"), "poetry.lock": ("python", "dependency_lockfile"),
+    "package.json": ("javascript", "dependency_manifest"), "package-lock.json": ("javascript", "dependency_lockfile"), "yarn.lock": ("javascript", "dependency_lockfile"), "pnpm-lock.yaml": ("javascript", "dependency_lockfile"),
+    "Cargo.toml": ("rust", "dependency_manifest"), "Cargo.lock": ("rust", "dependency_lockfile"), "go.mod": ("go", "dependency_manifest"), "go.sum": ("go", "dependency_lockfile"),
+    "pom.xml": ("jvm", "dependency_manifest"), "build.gradle": ("jvm", "build_config"), "build.gradle.kts": ("jvm", "build_config"), "settings.gradle": ("jvm", "build_config"), "settings.gradle.kts": ("jvm", "build_config"), "gradle.properties": ("jvm", "build_config"),
+    "packages.lock.json": ("dotnet", "dependency_lockfile"), "Directory.Build.props": ("dotnet", "build_config"), "global.json": ("dotnet", "build_config"),
+    "CMakeLists.txt": ("cpp", "build_config"), "vcpkg.json": ("cpp", "dependency_manifest"), "conanfile.py": ("cpp", "dependency_manifest"), "conanfile.txt": ("cpp", "dependency_manifest"), "meson.build": ("cpp", "build_config"),
+    "BUILD": ("generic", "build_config"), "WORKSPACE": ("generic", "build_config"), "Makefile": ("generic", "build_config"),
+}
+BUILD_PATTERNS = {r"^requirements-.*\.txt$": ("python", "dependency_manifest"), r"\.csproj$": ("dotnet", "dependency_manifest")}
+
+
+def build_sources(scan: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(csc_id, path, ecosystem, category): build manifests in the analysed roots and in the directories above them.
+
+    roots: (csc_id, root), null for every top directory. Names are told exactly or
+    by two patterns; a file elsewhere is none, whatever its name.
+    """
+    f = scan.select("csc_id", "path").filter("path IS NOT NULL").distinct().withColumn("dir", F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise("."))
+    if roots is None:
+        f = f.filter(~F.col("dir").contains("/"))
+    else:
+        parts = F.split("root", "/")
+        upto = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+        f = f.join(roots.select("csc_id", F.explode(F.concat(F.array(F.lit(".")), upto)).alias("dir")).distinct(), ["csc_id", "dir"], "left_semi")
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    told = F.element_at(F.create_map(*(x for n, (e, c) in BUILD_SOURCES.items() for x in (F.lit(n), F.struct(F.lit(e).alias("ecosystem"), F.lit(c).alias("category"))))), name)
+    for pattern, (e, c) in BUILD_PATTERNS.items():
+        told = F.coalesce(told, F.when(name.rlike(pattern), F.struct(F.lit(e).alias("ecosystem"), F.lit(c).alias("category"))))
+    return f.select("csc_id", "path", told.alias("t")).filter("t IS NOT NULL").select("csc_id", "path", "t.ecosystem", "t.category")
+
+
 def group_role(group: str | None) -> str:
     """Role of a named group of Python dependencies."""
     g = (group or "").lower().replace("_", "-")

@@ -31,13 +31,6 @@ def ref_s19_upsert(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.upsert(c, new, ["workspace_id", "checkpoint_id"])
 
 
-@query("SELECT csc_id, path, CASE WHEN path LIKE '%.json' THEN 'json' ELSE 'yaml' END AS ecosystem FROM scan_records WHERE regexp_matches(path, '\\.(json|yaml)$') GROUP BY ALL")
-def ref_s21_build_sources(spark: SparkSession, d: str) -> DataFrame:
-    """Files that patterns tell to describe the build, with their kind."""
-    f = load(spark, d, "scan_records").select("csc_id", "path").filter("path IS NOT NULL").distinct()
-    return f.filter(matches(F.col("path"), ["*.json", "*.yaml"])).withColumn("ecosystem", F.when(matches(F.col("path"), ["*.json"]), "json").otherwise("yaml"))
-
-
 _ROOTS = ("src", "lib", "app", "absent")
 
 
@@ -105,15 +98,6 @@ def ref_j18_section_windows(spark: SparkSession, d: str) -> DataFrame:
     return i.join(f, ["csc_id", "commit_id"], "left").groupBy("csc_id", "section").agg(F.count("*").alias("commits"), F.coalesce(F.sum("files"), F.lit(0)).alias("files"))
 
 
-@query(f"""WITH m AS (SELECT csc_id, count(DISTINCT {_SUB}) AS areas, count(DISTINCT CASE WHEN regexp_matches(path, '\\.(h|hpp|ts)$') THEN path END) AS faces FROM scan_records WHERE path IS NOT NULL GROUP BY ALL)
-  SELECT csc_id, 'system_context' AS section_id, 3 + least(areas, 3) AS score FROM m UNION ALL SELECT csc_id, 'interfaces', 3 + least(faces, 4) FROM m""")
-def ref_a21_context_scores(spark: SparkSession, d: str) -> DataFrame:
-    f = load(spark, d, "scan_records").filter("path IS NOT NULL")
-    m = f.groupBy("csc_id").agg(F.count_distinct(repository.subsystem(F.col("path"))).alias("areas"), F.count_distinct(F.when(F.col("path").rlike(r"\.(h|hpp|ts)$"), F.col("path"))).alias("faces"))
-    rows = F.array(F.struct(F.lit("system_context").alias("section_id"), (3 + F.least("areas", F.lit(3))).alias("score")), F.struct(F.lit("interfaces").alias("section_id"), (3 + F.least("faces", F.lit(4))).alias("score")))
-    return m.select("csc_id", F.explode(rows).alias("x")).select("csc_id", "x.section_id", "x.score")
-
-
 _AT = "try_cast(target_commit_timestamp AS timestamptz)"
 
 

@@ -165,7 +165,7 @@ def ref_j12_impacted_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Phrases of release notes, first match counts.
-PHRASES = ("in this release", "previous version", "changed since", "recent change", "new this checkpoint", "until version", "that change moved")
+PHRASES = ("since last", "new this quarter", "in this release", "previous version", "changed since", "recent change", "new this checkpoint")
 _PHRASE = "CASE " + " ".join(f"WHEN contains(lower(line), '{p}') THEN '{p}'" for p in PHRASES) + " END"
 _LEAK = r"\b(?:subsystem|module|interface|context_node)::[A-Za-z0-9_.:/-]+\b"
 

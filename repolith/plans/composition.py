@@ -77,24 +77,6 @@ def ref_s25_hierarchy_rows(spark: SparkSession, d: str) -> DataFrame:
     return f.join(s, ["csc_id", "path"], "left_semi").withColumn("origin", F.lit("reused")).unionByName(f.join(s, ["csc_id", "path"], "left_anti").withColumn("origin", F.lit("rebuilt")))
 
 
-_STEM = "regexp_extract(lower(path), '([^/]*?)(?:\\.[^./]*)?$', 1)"
-_VARIANT = f"regexp_matches({_STEM}, 'strategy|variant|policy|mode|backend|adapter')"
-
-
-@query(_DELTAS + f""", v AS (SELECT DISTINCT csc_id, {_SUB} AS subsystem_id, path FROM f WHERE {_VARIANT}), size AS (SELECT csc_id, subsystem_id, count(*) AS n FROM v GROUP BY ALL)
-  SELECT csc_id, subsystem_id AS seed, 'subsystem' AS kind, n AS files FROM size WHERE n >= 2 UNION ALL SELECT v.csc_id, v.path, 'file', 1 FROM v JOIN size USING (csc_id, subsystem_id) WHERE size.n < 2""")
-def ref_a19_capsules(spark: SparkSession, d: str) -> DataFrame:
-    """Capsules of variants: a subsystem with two changed files takes them in, other files stand alone."""
-    from functools import reduce
-
-    stem = F.regexp_extract(F.lower("path"), r"([^/]*?)(?:\.[^./]*)?$", 1)
-    f = history.commit_files(load(spark, d, "graph_edges"))
-    v = f.filter(reduce(lambda a, b: a | b, (stem.contains(x) for x in history.VARIANTS))).select("csc_id", repository.subsystem(F.col("path")).alias("subsystem_id"), "path").distinct()
-    s = v.groupBy("csc_id", "subsystem_id").agg(F.count("*").alias("n"))
-    whole = s.filter("n >= 2").select("csc_id", F.col("subsystem_id").alias("seed"), F.lit("subsystem").alias("kind"), F.col("n").alias("files"))
-    return whole.unionByName(v.join(s.filter("n < 2"), ["csc_id", "subsystem_id"]).select("csc_id", F.col("path").alias("seed"), F.lit("file").alias("kind"), F.lit(1).cast("long").alias("files")))
-
-
 @query("""WITH s AS (SELECT csc_id, path, symbol_name AS name, qualified_name, node_id, row_number() OVER (PARTITION BY csc_id, path, symbol_name ORDER BY coalesce(qualified_name, ''), symbol_kind, coalesce(line_start, -1), node_id) AS n FROM (SELECT DISTINCT csc_id, path, symbol_name, qualified_name, symbol_kind, line_start, node_id FROM graph_nodes WHERE node_type = 'symbol' AND symbol_name IS NOT NULL))
   SELECT csc_id, path, name, node_id FROM s WHERE n = 1""")
 def ref_j15_first_symbols(spark: SparkSession, d: str) -> DataFrame:
@@ -148,34 +130,6 @@ def ref_v17_outline(spark: SparkSession, d: str) -> DataFrame:
     return core.unionByName(told.join(core, ["csc_id", "section_id"], "left_anti").withColumn("kind", F.lit("optional")))
 
 
-#: Words that tell which section a remark is about, in order.
-REMARKS = {"dependencies": ("dependency", "package", "import"), "algorithms": ("algorithm", "ranking", "schedule"), "interfaces": ("interface", "callers", "api"), "subsystems_modules": ("module", "subsystem", "layer"), "introduction": ("overview", "section")}
-_REMARK = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{'|'.join(w)}') THEN '{k}'" for k, w in REMARKS.items()) + " END"
-
-
-@query(f"SELECT csc_id, chunk_id, {_REMARK} AS section_id FROM knowledge_chunks WHERE source_type = 'review_artifact' AND {_REMARK} IS NOT NULL GROUP BY ALL")
-def ref_v18_review_sections(spark: SparkSession, d: str) -> DataFrame:
-    """The section that each review is about, by the first list of words that it has one of."""
-    out = F.lit(None).cast("string")
-    for k, words in reversed(REMARKS.items()):
-        out = F.when(F.lower("text").rlike("|".join(words)), k).otherwise(out)
-    return load(spark, d, "knowledge_chunks").filter("source_type = 'review_artifact'").select("csc_id", "chunk_id", out.alias("section_id")).filter("section_id IS NOT NULL").distinct()
-
-
-ROLES = {"entry": ("app", "cli", "main"), "core": ("core", "lib"), "support": ("tools", "src")}
-_ROLE = "CASE " + " ".join(f"WHEN regexp_matches(area, '^({'|'.join(w)})$') THEN '{k}'" for k, w in ROLES.items()) + " END"
-
-
-@query(f"SELECT csc_id, area, {_ROLE} AS role, files FROM (SELECT csc_id, split_part(path, '/', 1) AS area, count(DISTINCT path) AS files FROM scan_records WHERE contains(path, '/') GROUP BY ALL)")
-def ref_v19_role_hints(spark: SparkSession, d: str) -> DataFrame:
-    """Roles of top areas by their names."""
-    a = load(spark, d, "scan_records").filter(F.col("path").contains("/")).groupBy("csc_id", F.split_part("path", F.lit("/"), F.lit(1)).alias("area")).agg(F.count_distinct("path").alias("files"))
-    role = F.lit(None).cast("string")
-    for k, words in reversed(ROLES.items()):
-        role = F.when(F.col("area").isin(*words), k).otherwise(role)
-    return a.select("csc_id", "area", role.alias("role"), "files")
-
-
 @query("""WITH e AS (SELECT DISTINCT csc_id, source_id AS section, edge_type, target_id FROM graph_edges WHERE source_id LIKE 'sdd_section::%' AND target_id IS NOT NULL)
   SELECT csc_id, section, edge_type, target_id, n FROM (SELECT *, row_number() OVER (PARTITION BY csc_id, section, edge_type ORDER BY target_id) AS n FROM e) WHERE n <= 7""")
 def ref_v20_evidence_caps(spark: SparkSession, d: str) -> DataFrame:

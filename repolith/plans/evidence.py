@@ -91,27 +91,6 @@ def ref_a14_related(spark: SparkSession, d: str) -> DataFrame:
     return e.select("csc_id", F.col("target_id").alias("related")).distinct().join(e.select("csc_id", F.col("source_id").alias("related")).distinct(), ["csc_id", "related"], "left_anti")
 
 
-#: Words that tell of an interface, in order of precedence.
-FACES = {"http": ("route", "handler", "request", "channel"), "cli": ("command", "terminal", "session"), "data": ("storage", "queue", "record", "registry"), "library": ("module", "kit", "filter")}
-_FACE = "CASE " + " ".join(f"WHEN regexp_matches(lower(path), '{'|'.join(w)}') THEN '{k}'" for k, w in FACES.items()) + " END"
-
-
-@query(f"SELECT csc_id, {_FACE} AS interface, count(DISTINCT path) AS modules FROM scan_records WHERE {_FACE} IS NOT NULL GROUP BY ALL")
-def ref_a29_interfaces(spark: SparkSession, d: str) -> DataFrame:
-    face = F.lit(None).cast("string")
-    for k, words in reversed(FACES.items()):
-        face = F.when(F.lower("path").rlike("|".join(words)), k).otherwise(face)
-    return load(spark, d, "scan_records").select("csc_id", "path", face.alias("interface")).filter("interface IS NOT NULL").groupBy("csc_id", "interface").agg(F.count_distinct("path").alias("modules"))
-
-
-@query("SELECT csc_id, path, list_filter(['queue', 'cache', 'graph', 'merge'], lambda k: len(list_filter(coalesce(functions, []), lambda f: contains(lower(f), k))) > 0) AS hits FROM scan_records WHERE len(list_filter(['queue', 'cache', 'graph', 'merge'], lambda k: len(list_filter(coalesce(functions, []), lambda f: contains(lower(f), k))) > 0)) > 0 GROUP BY ALL")
-def ref_f06_token_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Words found in any function name of a module."""
-    names = F.coalesce("functions", F.array().cast("array<string>"))
-    hits = F.filter(F.array(*map(F.lit, ("queue", "cache", "graph", "merge"))), lambda k: F.exists(names, lambda f: F.contains(F.lower(f), k)))
-    return load(spark, d, "scan_records").select("csc_id", "path", hits.alias("hits")).filter(F.size("hits") > 0).distinct()
-
-
 @query("SELECT DISTINCT csc_id, dependency_id, language IN ('python', 'go', 'rust', 'java') AS reliable, dependency_kind IN ('import', 'use') AS groupable FROM dependency_records WHERE language IS NOT NULL AND dependency_kind IS NOT NULL")
 def ref_f08_gates(spark: SparkSession, d: str) -> DataFrame:
     r = load(spark, d, "dependency_records").filter("language IS NOT NULL AND dependency_kind IS NOT NULL")
@@ -154,15 +133,6 @@ def ref_j22_subsystem_imports(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("csc_id", "from_subsystem", "to_subsystem").agg(F.count("*").alias("imports"))
 
 
-@query("""WITH g AS (SELECT csc_id, language, normalized_key, count(DISTINCT source_path) AS uses FROM dependency_records WHERE normalized_key IS NOT NULL GROUP BY ALL)
-  SELECT csc_id, language, normalized_key, uses, n FROM (SELECT *, row_number() OVER (PARTITION BY csc_id ORDER BY uses DESC, normalized_key, language NULLS FIRST) AS n FROM g) WHERE n <= 8""")
-def ref_t06_design_notes(spark: SparkSession, d: str) -> DataFrame:
-    """The eight most used dependencies of each repository."""
-    g = load(spark, d, "dependency_records").filter("normalized_key IS NOT NULL").groupBy("csc_id", "language", "normalized_key").agg(F.count_distinct("source_path").alias("uses"))
-    w = Window.partitionBy("csc_id").orderBy(F.desc("uses"), "normalized_key", F.col("language").asc_nulls_first())
-    return g.withColumn("n", F.row_number().over(w)).filter("n <= 8")
-
-
 @query("SELECT DISTINCT csc_id, path, list_distinct(coalesce(functions, []))[1:12] IS NOT NULL AS kept, least(12, len(list_distinct(coalesce(functions, [])))) AS files FROM scan_records")
 def ref_t07_capped_lists(spark: SparkSession, d: str) -> DataFrame:
     """Distinct names in order, at most twelve."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from repolith.operators import history as H
+from repolith.operators.outline import PHASES
 from repolith.operators.snapshots import snapshot_changes, snapshot_order
 from repolith.plans.data_quality import _STANDING
 from repolith.plans.repository import _SUB, _LANGUAGE
@@ -81,19 +82,6 @@ def ref_a33_signal_evidence(spark: SparkSession, d: str) -> DataFrame:
     return _deltas(spark, d).select("csc_id", "files", F.explode("signals").alias("signal")).groupBy("csc_id", "signal").agg(F.count("*").alias("commits"), F.sum("files").alias("files"))
 
 
-@query(_DELTAS + f", v AS (SELECT csc_id, {_SUB} AS subsystem_id, path FROM f WHERE regexp_matches(regexp_extract(lower(path), '([^/]*?)(?:\\.[^./]*)?$', 1), 'strategy|variant|policy|mode|backend|adapter')) SELECT csc_id, subsystem_id, count(DISTINCT path) AS variants FROM v GROUP BY ALL HAVING count(DISTINCT path) >= 2")
-def ref_a10_algorithm_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Subsystems with two or more changed files whose names tell of a variant."""
-    from functools import reduce
-
-    from repolith.operators.repository import subsystem
-
-    f = H.commit_files(load(spark, d, "graph_edges"))
-    stem = F.regexp_extract(F.lower("path"), r"([^/]*?)(?:\.[^./]*)?$", 1)
-    v = f.filter(reduce(lambda a, b: a | b, (stem.contains(x) for x in H.VARIANTS)))
-    return v.groupBy("csc_id", subsystem(F.col("path")).alias("subsystem_id")).agg(F.count_distinct("path").alias("variants")).filter("variants >= 2")
-
-
 @query(_DELTAS + f" SELECT csc_id, {_SUB} AS subsystem_id, count(DISTINCT commit_id) AS commits, count(DISTINCT path) AS files, min(t_at) AS first_at, max(t_at) AS last_at FROM f GROUP BY ALL")
 def ref_a07_subsystem_changes(spark: SparkSession, d: str) -> DataFrame:
     from repolith.operators.repository import subsystem
@@ -206,37 +194,12 @@ def ref_a17_shared_names(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("n", F.row_number().over(w)).filter("n <= 6").select("csc_id", "name", F.when(F.col("kind") == 1, "function").otherwise("class").alias("kind"), "modules")
 
 
-#: Words of phases of work, in order.
-PHASES = ("parse", "load", "scan", "resolve", "validate", "plan", "build", "index", "merge", "execute", "run", "rank", "render", "save")
-
-
-@query("SELECT csc_id, phase, count(DISTINCT path) AS modules, min(name) AS first_name FROM (SELECT csc_id, path, unnest(functions) AS name FROM scan_records) JOIN (VALUES " + ", ".join(f"('{p}')" for p in PHASES) + ") AS p(phase) ON contains(lower(name), phase) GROUP BY ALL")
+@query("WITH n AS (SELECT csc_id, path, unnest(functions) AS name FROM scan_records UNION SELECT csc_id, path, symbol_name FROM graph_nodes WHERE node_type = 'symbol') SELECT csc_id, phase, count(DISTINCT path) AS modules, count(DISTINCT name) AS names, min(name) AS first_name FROM n JOIN (VALUES " + ", ".join(f"('{p}')" for p in PHASES) + ") AS p(phase) ON contains(lower(name), phase) GROUP BY ALL")
 def ref_a18_phases(spark: SparkSession, d: str) -> DataFrame:
-    """Modules with functions named for a phase of work."""
-    n = load(spark, d, "scan_records").select("csc_id", "path", F.explode("functions").alias("name"))
+    """Modules with functions or symbols named for a phase of work."""
+    n = load(spark, d, "scan_records").select("csc_id", "path", F.explode("functions").alias("name")).unionByName(load(spark, d, "graph_nodes").filter("node_type = 'symbol'").select("csc_id", "path", F.col("symbol_name").alias("name")))
     hit = F.explode(F.filter(F.array(*map(F.lit, PHASES)), lambda p: F.contains(F.lower("name"), p)))
-    return n.select("csc_id", "path", "name", hit.alias("phase")).groupBy("csc_id", "phase").agg(F.count_distinct("path").alias("modules"), F.min("name").alias("first_name"))
-
-
-@query(f"""WITH f AS (SELECT csc_id, count(DISTINCT path) AS modules, count(DISTINCT {_SUB}) AS subsystems, count(DISTINCT CASE WHEN {_LANGUAGE} = 'unknown' THEN path END) AS infra FROM scan_records WHERE path IS NOT NULL GROUP BY ALL),
-  r AS (SELECT csc_id, count(DISTINCT normalized_key) AS deps FROM dependency_records GROUP BY ALL),
-  a AS (SELECT csc_id, modules, subsystems, infra, coalesce(deps, 0) AS deps FROM f LEFT JOIN r USING (csc_id)),
-  t AS (SELECT csc_id, 'introduction' AS section_id, 10 AS score FROM a UNION ALL SELECT csc_id, 'architectural_overview', 4 + least(subsystems, 3) + (subsystems >= 2)::INT FROM a
-    UNION ALL SELECT csc_id, 'subsystems_modules', 4 + least(subsystems, 2) + least(modules // 2, 3) FROM a UNION ALL SELECT csc_id, 'dependencies', 4 + least(deps, 3) FROM a UNION ALL SELECT csc_id, 'build_development_infrastructure', 4 + least(infra, 3) FROM a)
-  SELECT csc_id, section_id, score, CASE WHEN score <= 5 THEN 'brief' WHEN score <= 7 THEN 'standard' ELSE 'deep' END AS depth FROM t""")
-def ref_a20_section_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Evidence scores and depths of the core sections of each repository's document."""
-    from repolith.functions.languages import language_of
-    from repolith.operators.repository import subsystem
-
-    s = load(spark, d, "scan_records").filter("path IS NOT NULL").select("csc_id", "path").distinct()
-    f = s.groupBy("csc_id").agg(F.count("*").alias("modules"), F.count_distinct(subsystem(F.col("path"))).alias("subsystems"), F.count_if(language_of(F.col("path")) == "unknown").alias("infra"))
-    r = load(spark, d, "dependency_records").groupBy("csc_id").agg(F.count_distinct("normalized_key").alias("deps"))
-    a = f.join(r, "csc_id", "left").fillna(0, ["deps"])
-    score = {"introduction": F.lit(10).cast("long"), "architectural_overview": 4 + F.least("subsystems", F.lit(3)) + (F.col("subsystems") >= 2).cast("int"), "subsystems_modules": 4 + F.least("subsystems", F.lit(2)) + F.least(F.floor(F.col("modules") / 2), F.lit(3)),
-             "dependencies": 4 + F.least("deps", F.lit(3)), "build_development_infrastructure": 4 + F.least("infra", F.lit(3))}
-    t = a.select("csc_id", F.explode(F.array(*(F.struct(F.lit(k).alias("section_id"), v.cast("long").alias("score")) for k, v in score.items()))).alias("x")).select("csc_id", "x.section_id", "x.score")
-    return t.withColumn("depth", F.when(F.col("score") <= 5, "brief").when(F.col("score") <= 7, "standard").otherwise("deep"))
+    return n.select("csc_id", "path", "name", hit.alias("phase")).groupBy("csc_id", "phase").agg(F.count_distinct("path").alias("modules"), F.count_distinct("name").alias("names"), F.min("name").alias("first_name"))
 
 
 _RATED = "rated AS (SELECT user_id AS case_id, event_type AS variant, avg(floor(value)::INT % 6) AS score, count(*) FILTER (WHERE value > 90) AS risks FROM events GROUP BY ALL)"
