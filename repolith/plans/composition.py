@@ -101,14 +101,6 @@ def ref_p27_rationale(spark: SparkSession, d: str) -> DataFrame:
     return x.select("csc_id", "commit_id", F.concat(told, F.lit(" in "), "files", F.lit(" files")).alias("rationale"))
 
 
-@query(f"WITH {evidence._SECTIONS} SELECT csc_id, number, title, regexp_replace(body, '\\n+$', '') AS body FROM n WHERE NOT regexp_matches(body, '(^|\\n)## ') AND csc_id NOT IN (SELECT csc_id FROM n WHERE regexp_matches(body, '(^|\\n)## '))")
-def ref_v09_section_bodies(spark: SparkSession, d: str) -> DataFrame:
-    """Sections read back from written documents, of documents whose texts have no headings of that level themselves."""
-    s = evidence._sections(spark, d)
-    nested = s.filter(F.coalesce(F.trim("body").rlike(r"(?:^|\n)## "), F.lit(False))).select("csc_id").distinct()
-    return rendering.bodies(rendering.documents(s.join(nested, "csc_id", "left_anti"), ["csc_id"]), ["csc_id"])
-
-
 @query("""WITH r AS (SELECT csc_id, language, normalized_key, count(DISTINCT source_path) AS modules, bool_or(lower(trim(resolution_status)) <> 'unresolved') AS inside FROM dependency_records WHERE normalized_key IS NOT NULL GROUP BY ALL)
   SELECT csc_id, language, normalized_key, CASE WHEN inside THEN 'project' WHEN modules > 1 THEN 'usage' ELSE 'declaration' END AS basis, CASE WHEN inside THEN normalized_key || ' is part of the project.' WHEN modules > 1 THEN normalized_key || ' is used by ' || modules || ' modules.' ELSE 'TBD' END AS sentence FROM r""")
 def ref_v13_narratives(spark: SparkSession, d: str) -> DataFrame:

@@ -133,13 +133,6 @@ def ref_j22_subsystem_imports(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("csc_id", "from_subsystem", "to_subsystem").agg(F.count("*").alias("imports"))
 
 
-@query("SELECT DISTINCT csc_id, path, list_distinct(coalesce(functions, []))[1:12] IS NOT NULL AS kept, least(12, len(list_distinct(coalesce(functions, [])))) AS files FROM scan_records")
-def ref_t07_capped_lists(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct names in order, at most twelve."""
-    capped = F.slice(F.array_distinct(F.coalesce("functions", F.array().cast("array<string>"))), 1, 12)
-    return load(spark, d, "scan_records").select("csc_id", "path", capped.isNotNull().alias("kept"), F.size(capped).alias("files")).distinct()
-
-
 _SECTIONS = "s AS (SELECT csc_id, section_id AS title, min(text) AS body, min(coalesce(line_start, 0)) AS place FROM knowledge_chunks WHERE source_type = 'sdd_section' AND section_id IS NOT NULL GROUP BY ALL), n AS (SELECT csc_id, row_number() OVER (PARTITION BY csc_id ORDER BY place, title) AS number, title, coalesce(nullif(trim(body), ''), 'TBD') AS body FROM s)"
 
 
@@ -153,27 +146,6 @@ def ref_w08_section_numbers(spark: SparkSession, d: str) -> DataFrame:
     return rendering.numbered(_sections(spark, d), ["csc_id"])
 
 
-@query(f"WITH {_SECTIONS} SELECT csc_id, '# ' || csc_id || chr(10) || chr(10) || string_agg('## ' || number || '. ' || title || chr(10) || chr(10) || body, chr(10) || chr(10) ORDER BY number) || chr(10) AS markdown, count(*) AS sections FROM n GROUP BY csc_id")
-def ref_v08_documents(spark: SparkSession, d: str) -> DataFrame:
-    """The document of each repository from its sections."""
-    return rendering.documents(_sections(spark, d), ["csc_id"])
-
-
-@query(f"WITH {_SECTIONS}, k AS (SELECT DISTINCT csc_id, section_id AS title FROM graph_nodes WHERE node_type = 'sdd_section') SELECT coalesce(n.csc_id, k.csc_id) AS csc_id, coalesce(n.title, k.title) AS title, CASE WHEN n.title IS NULL THEN 'included_missing' ELSE 'unexpected_section' END AS check_id FROM n FULL JOIN k ON k.csc_id = n.csc_id AND k.title = n.title WHERE n.title IS NULL OR k.title IS NULL")
-def ref_v01_section_checks(spark: SparkSession, d: str) -> DataFrame:
-    """Sections of documents that the graph doesn't know, and the other way about."""
-    n = rendering.numbered(_sections(spark, d), ["csc_id"]).select("csc_id", "title", F.lit(True).alias("n"))
-    k = load(spark, d, "graph_nodes").filter("node_type = 'sdd_section'").select("csc_id", F.col("section_id").alias("title")).distinct().withColumn("k", F.lit(True))
-    return n.join(k, ["csc_id", "title"], "full_outer").filter("n IS NULL OR k IS NULL").select("csc_id", "title", F.when(F.col("n").isNull(), "included_missing").otherwise("unexpected_section").alias("check_id"))
-
-
-@query(f"WITH {_SECTIONS}, b AS (SELECT csc_id, number, title, len(string_split_regex(trim(body), '\\n\\s*\\n')) AS paragraphs, regexp_matches(body, '(^|\\n)\\s*- ') AS bullets, body = 'TBD' AS empty FROM n) SELECT * FROM b")
-def ref_v03_section_shape(spark: SparkSession, d: str) -> DataFrame:
-    """Paragraphs, bullets and emptiness of each section (also V5)."""
-    n = rendering.numbered(_sections(spark, d), ["csc_id"])
-    return n.select("csc_id", "number", "title", F.size(F.split(F.trim("body"), r"\n\s*\n")).alias("paragraphs"), F.col("body").rlike(r"(^|\n)\s*- ").alias("bullets"), (F.col("body") == "TBD").alias("empty"))
-
-
 _REQUEST = "'{\"csc\":\"' || csc_id || '\",\"files\":' || files || '}'"
 
 
@@ -196,31 +168,6 @@ def ref_st01_windowed_counts(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "events")
 
 
-@query("""SELECT severity, check_id, count(*) AS findings FROM (SELECT CASE WHEN text IS NULL THEN 'error' ELSE 'warning' END AS severity, CASE WHEN text IS NULL THEN 'missing_text' WHEN trim(text) = '' THEN 'blank_text' ELSE 'no_lines' END AS check_id
-  FROM (SELECT DISTINCT csc_id, chunk_id, text, line_start FROM knowledge_chunks) WHERE text IS NULL OR trim(text) = '' OR line_start IS NULL) GROUP BY ALL""")
-def ref_v06_finding_order(spark: SparkSession, d: str) -> DataFrame:
-    """Findings about chunks by severity and check."""
-    c = load(spark, d, "knowledge_chunks").select("csc_id", "chunk_id", "text", "line_start").distinct()
-    blank = F.trim("text") == ""
-    f = c.filter(F.col("text").isNull() | blank | F.col("line_start").isNull()).select(F.when(F.col("text").isNull(), "error").otherwise("warning").alias("severity"), F.when(F.col("text").isNull(), "missing_text").when(blank, "blank_text").otherwise("no_lines").alias("check_id"))
-    return f.groupBy("severity", "check_id").agg(F.count("*").alias("findings"))
-
-
-@query("""WITH f AS (SELECT csc_id, section_id, CASE WHEN text IS NULL THEN 0 WHEN trim(text) = '' THEN 1 ELSE 2 END AS rank FROM knowledge_chunks WHERE section_id IS NOT NULL), m AS (SELECT csc_id, section_id, min(rank) AS rank FROM f GROUP BY ALL)
-  SELECT csc_id, section_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY csc_id ORDER BY rank, section_id) AS n FROM m) WHERE n <= 4""")
-def ref_w09_repair_sections(spark: SparkSession, d: str) -> DataFrame:
-    """At most four sections of each repository to be repaired first."""
-    c = load(spark, d, "knowledge_chunks").filter("section_id IS NOT NULL")
-    m = c.groupBy("csc_id", "section_id").agg(F.min(F.when(F.col("text").isNull(), 0).when(F.trim("text") == "", 1).otherwise(2)).alias("rank"))
-    return m.withColumn("n", F.row_number().over(Window.partitionBy("csc_id").orderBy("rank", "section_id"))).filter("n <= 4").drop("n")
-
-
-@query(f"SELECT csc_id, chunk_id, left(text, 80) AS excerpt, len({_TOK.format('text')}) AS tokens FROM knowledge_chunks WHERE source_type = 'review_artifact' AND text IS NOT NULL GROUP BY ALL")
-def ref_v12_review_chunks(spark: SparkSession, d: str) -> DataFrame:
-    c = load(spark, d, "knowledge_chunks").filter("source_type = 'review_artifact' AND text IS NOT NULL")
-    return c.select("csc_id", "chunk_id", F.substring("text", 1, 80).alias("excerpt"), F.size(tokens(F.col("text"))).alias("tokens")).distinct()
-
-
 @query(f"SELECT n.csc_id, n.section_id, count(DISTINCT e.target_id) FILTER (WHERE e.target_id LIKE 'file::%') AS files, count(DISTINCT c.chunk_id) AS chunks FROM (SELECT DISTINCT csc_id, node_id, section_id FROM graph_nodes WHERE node_type = 'sdd_section') n LEFT JOIN graph_edges e ON e.csc_id = n.csc_id AND e.source_id = n.node_id AND e.edge_type = 'documents' LEFT JOIN knowledge_chunks c ON c.csc_id = n.csc_id AND c.section_id = n.section_id GROUP BY ALL")
 def ref_v11_evidence_packs(spark: SparkSession, d: str) -> DataFrame:
     """How many files and chunks each section has as evidence; both sides are counted before they meet."""
