@@ -101,16 +101,6 @@ def ref_p27_rationale(spark: SparkSession, d: str) -> DataFrame:
     return x.select("csc_id", "commit_id", F.concat(told, F.lit(" in "), "files", F.lit(" files")).alias("rationale"))
 
 
-@query("""WITH r AS (SELECT csc_id, language, normalized_key, count(DISTINCT source_path) AS modules, bool_or(lower(trim(resolution_status)) <> 'unresolved') AS inside FROM dependency_records WHERE normalized_key IS NOT NULL GROUP BY ALL)
-  SELECT csc_id, language, normalized_key, CASE WHEN inside THEN 'project' WHEN modules > 1 THEN 'usage' ELSE 'declaration' END AS basis, CASE WHEN inside THEN normalized_key || ' is part of the project.' WHEN modules > 1 THEN normalized_key || ' is used by ' || modules || ' modules.' ELSE 'TBD' END AS sentence FROM r""")
-def ref_v13_narratives(spark: SparkSession, d: str) -> DataFrame:
-    """A sentence for each dependency and what it rests on."""
-    r = load(spark, d, "dependency_records").filter("normalized_key IS NOT NULL").groupBy("csc_id", "language", "normalized_key").agg(F.count_distinct("source_path").alias("modules"), F.bool_or(F.lower(F.trim("resolution_status")) != "unresolved").alias("inside"))
-    many = F.col("modules") > 1
-    return r.select("csc_id", "language", "normalized_key", F.when(F.col("inside"), "project").when(many, "usage").otherwise("declaration").alias("basis"),
-                    F.when(F.col("inside"), F.concat("normalized_key", F.lit(" is part of the project."))).when(many, F.concat("normalized_key", F.lit(" is used by "), "modules", F.lit(" modules."))).otherwise("TBD").alias("sentence"))
-
-
 _CORE = ("introduction", "architectural_overview", "subsystems_modules", "dependencies", "build_development_infrastructure")
 
 

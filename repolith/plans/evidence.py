@@ -91,12 +91,6 @@ def ref_a14_related(spark: SparkSession, d: str) -> DataFrame:
     return e.select("csc_id", F.col("target_id").alias("related")).distinct().join(e.select("csc_id", F.col("source_id").alias("related")).distinct(), ["csc_id", "related"], "left_anti")
 
 
-@query("SELECT DISTINCT csc_id, dependency_id, language IN ('python', 'go', 'rust', 'java') AS reliable, dependency_kind IN ('import', 'use') AS groupable FROM dependency_records WHERE language IS NOT NULL AND dependency_kind IS NOT NULL")
-def ref_f08_gates(spark: SparkSession, d: str) -> DataFrame:
-    r = load(spark, d, "dependency_records").filter("language IS NOT NULL AND dependency_kind IS NOT NULL")
-    return r.select("csc_id", "dependency_id", F.col("language").isin("python", "go", "rust", "java").alias("reliable"), F.col("dependency_kind").isin("import", "use").alias("groupable")).distinct()
-
-
 _SYM = "sym AS (SELECT DISTINCT csc_id, node_id, path, symbol_name AS name FROM graph_nodes WHERE node_type = 'symbol' AND symbol_name IS NOT NULL)"
 
 

@@ -164,11 +164,3 @@ def ref_a27_landscape(spark: SparkSession, d: str) -> DataFrame:
     return r.select("csc_id", facets.alias("f")).groupBy("f.facet", "f.value").agg(F.count("*").alias("records"), F.count_distinct("csc_id").alias("repositories"))
 
 
-@query("""WITH c AS (SELECT DISTINCT csc_id, path, unnest(list_transform(regexp_extract_all(raw, '[A-Za-z0-9_]+'), lambda x: lower(x))) AS token FROM (SELECT csc_id, path, unnest(imports) AS raw FROM scan_records)),
-  e AS (SELECT DISTINCT csc_id, normalized_key, unnest(list_transform(regexp_extract_all(normalized_key, '[A-Za-z0-9_]+'), lambda x: lower(x))) AS token FROM dependency_records WHERE lower(trim(resolution_status)) = 'unresolved')
-  SELECT e.csc_id, e.normalized_key, count(DISTINCT c.path) AS modules FROM e JOIN c USING (csc_id, token) GROUP BY ALL""")
-def ref_j17_dependency_usage(spark: SparkSession, d: str) -> DataFrame:
-    """Modules whose imports share a token with an external dependency of their repository."""
-    mods = _scan(spark, d).select("csc_id", "path", F.explode("imports").alias("raw")).select("csc_id", "path", F.explode(tokens(F.col("raw"))).alias("token")).distinct()
-    deps = load(spark, d, "dependency_records").filter(F.lower(F.trim("resolution_status")) == "unresolved").select("csc_id", "normalized_key", F.explode(tokens(F.col("normalized_key"))).alias("token")).distinct()
-    return deps.join(mods, ["csc_id", "token"]).groupBy("csc_id", "normalized_key").agg(F.count_distinct("path").alias("modules"))
