@@ -150,8 +150,3 @@ def ref_v07_introduction(spark: SparkSession, d: str) -> DataFrame:
     return m.select("csc_id", F.concat(F.lit("The repository has "), "files", F.lit(" files in "), "areas", F.lit(" areas.")).alias("introduction"))
 
 
-@query("SELECT t.tag FROM (VALUES ('python'), ('java'), ('cpp'), ('javascript'), ('typescript'), ('go'), ('rust'), ('csharp'), ('cobol')) AS t(tag) ANTI JOIN (SELECT DISTINCT language AS tag FROM scan_records) s USING (tag)")
-def ref_v24_focus_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Required tags that nothing covers."""
-    wanted = spark.createDataFrame([(x,) for x in ("python", "java", "cpp", "javascript", "typescript", "go", "rust", "csharp", "cobol")], "tag string")
-    return wanted.join(load(spark, d, "scan_records").select(F.col("language").alias("tag")).distinct(), "tag", "left_anti")

@@ -202,59 +202,13 @@ def ref_a18_phases(spark: SparkSession, d: str) -> DataFrame:
     return n.select("csc_id", "path", "name", hit.alias("phase")).groupBy("csc_id", "phase").agg(F.count_distinct("path").alias("modules"), F.count_distinct("name").alias("names"), F.min("name").alias("first_name"))
 
 
-_RATED = "rated AS (SELECT user_id AS case_id, event_type AS variant, avg(floor(value)::INT % 6) AS score, count(*) FILTER (WHERE value > 90) AS risks FROM events GROUP BY ALL)"
-
-
-def _rated(spark: SparkSession, d: str) -> DataFrame:
-    """Scores 0 to 5 of variants in cases, for which events stand."""
-    e = load(spark, d, "events").select(F.col("user_id").alias("case_id"), F.col("event_type").alias("variant"), "value")
-    return e.groupBy("case_id", "variant").agg(F.avg(F.floor("value") % 6).alias("score"), F.count_if(F.col("value") > 90).alias("risks"))
-
-
-@query(f"WITH {_RATED} SELECT variant, round(avg(score), 6) AS score, sum(risks)::BIGINT AS risks, count(*) AS cases FROM rated GROUP BY ALL")
-def ref_a24_variant_averages(spark: SparkSession, d: str) -> DataFrame:
-    return _rated(spark, d).groupBy("variant").agg(F.round(F.avg("score"), 6).alias("score"), F.sum("risks").alias("risks"), F.count("*").alias("cases"))
-
-
-_PAIRS = f"{_RATED}, pair AS (SELECT a.case_id, a.variant AS one, b.variant AS other, CASE WHEN round(a.score, 9) > round(b.score, 9) THEN a.variant WHEN round(a.score, 9) < round(b.score, 9) THEN b.variant WHEN a.risks < b.risks THEN a.variant WHEN a.risks > b.risks THEN b.variant ELSE least(a.variant, b.variant) END AS winner, round(b.score - a.score, 6) AS delta FROM rated a JOIN rated b ON a.case_id = b.case_id AND a.variant < b.variant)"
-
-
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    a, b = _rated(spark, d).alias("a"), _rated(spark, d).alias("b")
-    j = a.join(b, (F.col("a.case_id") == F.col("b.case_id")) & (F.col("a.variant") < F.col("b.variant")))
-    x, y = F.round("a.score", 9), F.round("b.score", 9)
-    winner = F.when(x > y, F.col("a.variant")).when(x < y, F.col("b.variant")).when(F.col("a.risks") < F.col("b.risks"), F.col("a.variant")).when(F.col("a.risks") > F.col("b.risks"), F.col("b.variant")).otherwise(F.least("a.variant", "b.variant"))
-    return j.select("a.case_id", F.col("a.variant").alias("one"), F.col("b.variant").alias("other"), winner.alias("winner"), F.round(F.col("b.score") - F.col("a.score"), 6).alias("delta"))
-
-
-@query(f"WITH {_PAIRS} SELECT * FROM pair")
-def ref_a25_pairwise(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of variants within a case: the better score, else fewer risks, else the smaller name. Cases have few variants."""
-    return _pairs(spark, d)
-
-
-_GATE = f"""WITH {_PAIRS}, v AS (SELECT variant, round(avg(score), 6) AS score, sum(risks) AS risks FROM rated GROUP BY ALL), w AS (SELECT other AS variant, count(*) FILTER (WHERE winner = other) AS wins, count(*) AS cases FROM pair WHERE one = 'click' GROUP BY ALL),
-  g AS (SELECT v.variant, round(v.score - b.score, 3) AS delta, w.wins, v.risks > b.risks AS riskier FROM v JOIN w USING (variant) CROSS JOIN (SELECT * FROM v WHERE variant = 'click') b)"""
-
-
-@query(_GATE + " SELECT variant, list_filter([CASE WHEN delta < 0.25 THEN 'score' END, CASE WHEN wins < 3 THEN 'wins' END, CASE WHEN riskier THEN 'risks' END], lambda x: x IS NOT NULL) AS reasons, delta >= 0.25 AND wins >= 3 AND NOT riskier AS passes FROM g")
-def ref_v23_gate(spark: SparkSession, d: str) -> DataFrame:
-    """Whether each variant may follow the first: by score, wins and risks. The one-row baseline joins a row per variant."""
-    v = ref_a24_variant_averages(spark, d)
-    base = v.filter("variant = 'click'").select(F.col("score").alias("b_score"), F.col("risks").alias("b_risks"), F.lit(1).alias("k"))
-    wins = _pairs(spark, d).filter("one = 'click'").groupBy(F.col("other").alias("variant")).agg(F.count_if(F.col("winner") == F.col("other")).alias("wins"))
-    g = v.join(wins, "variant").withColumn("k", F.lit(1)).join(base, "k").withColumn("delta", F.round(F.col("score") - F.col("b_score"), 3))
-    low, few, risky = F.col("delta") < 0.25, F.col("wins") < 3, F.col("risks") > F.col("b_risks")
-    return g.select("variant", F.array_compact(F.array(F.when(low, "score"), F.when(few, "wins"), F.when(risky, "risks"))).alias("reasons"), (~low & ~few & ~risky).alias("passes"))
-
-
-@query("""WITH r AS (SELECT csc_id, edge_id, target_id FROM graph_edges WHERE edge_type = 'documents' AND target_id IS NOT NULL GROUP BY ALL) SELECT r.csc_id, r.edge_id, 'unknown_reference' AS check_id, r.target_id AS reference FROM r
+@query("""WITH r AS (SELECT csc_id, edge_id, target_id FROM graph_edges WHERE edge_type = 'documents' AND target_id IS NOT NULL GROUP BY ALL) SELECT r.csc_id, r.edge_id, 'unknown_concept_reference' AS check_id, r.target_id AS reference FROM r
   ANTI JOIN (SELECT DISTINCT csc_id, node_id AS target_id FROM graph_nodes) n USING (csc_id, target_id)""")
 def ref_v02_unknown_references(spark: SparkSession, d: str) -> DataFrame:
     """References of sections to nodes that no table knows."""
     r = load(spark, d, "graph_edges").filter("edge_type = 'documents' AND target_id IS NOT NULL").select("csc_id", "edge_id", "target_id").distinct()
     n = load(spark, d, "graph_nodes").select("csc_id", F.col("node_id").alias("target_id")).distinct()
-    return r.join(n, ["csc_id", "target_id"], "left_anti").select("csc_id", "edge_id", F.lit("unknown_reference").alias("check_id"), F.col("target_id").alias("reference"))
+    return r.join(n, ["csc_id", "target_id"], "left_anti").select("csc_id", "edge_id", F.lit("unknown_concept_reference").alias("check_id"), F.col("target_id").alias("reference"))
 
 
 @query("""WITH u AS (SELECT DISTINCT csc_id, source_path AS path FROM corpus_units WHERE csc_id NOT LIKE 'csc-archive-%'), s AS (SELECT DISTINCT csc_id, path FROM scan_records)
