@@ -23,8 +23,8 @@ def keywords(text: Column, limit: int = 8) -> Column:
 
 
 def stripped(text: Column) -> Column:
-    """Text without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Text without white space, as `\\s` has it, at both ends."""
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def lines(text: Column) -> Column:

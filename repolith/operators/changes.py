@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repolith.functions.languages import language_of
@@ -58,28 +58,30 @@ def changed_names(line: Column) -> Column:
 
 
 def diff_lines(diffs: DataFrame) -> DataFrame:
-    """(diff_id, file_no, path, added, line) of the changed lines of diffs (diff_id, text).
+    """diffs (…, text) as (…, file_no, path, added, line): the changed lines, other columns kept.
 
     The path of a file is what its `+++` line names, else the second path of its
     `diff --git` line. Lines that begin like a header are none, as `---` and `+++`
-    always do. The file's number is a running count over the lines of one diff.
+    always do. A diff is cut at its `diff --git` lines inside its row, so no line is shuffled.
+    Arrays are exploded with their empty rows, as else the optimizer makes them twice, to drop those.
     """
-    at = diffs.select("diff_id", F.posexplode(lines(F.col("text"))).alias("pos", "l"))
-    w = Window.partitionBy("diff_id").orderBy("pos")
-    head, plus = F.col("l").startswith("diff --git "), F.col("l").startswith("+++ ")
-    git = F.regexp_replace(F.regexp_extract("l", r"^diff --git \S+ (\S+)", 1), "^b/", "")
-    named = F.regexp_replace(F.trim(F.substring("l", 5, 1 << 20)), "^b/", "")
-    numbered = at.withColumn("file_no", F.sum(head.cast("int")).over(w)).withColumn("git", F.when(head, git)).withColumn("named", F.when(plus & (F.trim(F.substring("l", 5, 1 << 20)) != "/dev/null"), named))
-    f = Window.partitionBy("diff_id", "file_no")
-    placed = numbered.withColumn("path", F.coalesce(F.max("named").over(f), F.max("git").over(f)))
-    added, removed = F.col("l").startswith("+") & ~F.col("l").startswith("+++"), F.col("l").startswith("-") & ~F.col("l").startswith("---")
-    return placed.filter((F.col("file_no") > 0) & (added | removed)).select("diff_id", "file_no", "path", added.alias("added"), F.substring("l", 2, 1 << 20).alias("line"))
+    keep = [c for c in diffs.columns if c != "text"]
+    rest = lambda x, n: F.trim(F.substring(x, n, 1 << 20))
+    at = diffs.select(*keep, lines(F.col("text")).alias("_ls")).withColumn("_at", F.filter(F.transform("_ls", lambda x, i: F.when(F.startswith(x, F.lit("diff --git ")), i + 1)), lambda i: i.isNotNull()))
+    cut = at.select("*", F.posexplode_outer("_at").alias("_k", "_b")).filter("_b IS NOT NULL")
+    files = cut.select(*keep, (F.col("_k") + 1).cast("long").alias("file_no"), F.slice("_ls", F.col("_b"), F.coalesce(F.try_element_at("_at", F.col("_k") + 2), F.size("_ls") + 1) - F.col("_b")).alias("_f"))
+    named = F.array_max(F.transform(F.filter("_f", lambda x: F.startswith(x, F.lit("+++ ")) & (rest(x, 5) != "/dev/null")), lambda x: F.regexp_replace(rest(x, 5), "^b/", "")))
+    git = F.regexp_replace(F.regexp_extract(F.element_at("_f", 1), r"^diff --git \S+ (\S+)", 1), "^b/", "")
+    each = files.select(*keep, "file_no", "_f", F.coalesce(named, git).alias("path")).select(*keep, "file_no", "path", F.explode_outer("_f").alias("_l"))
+    added, removed = F.col("_l").startswith("+") & ~F.col("_l").startswith("+++"), F.col("_l").startswith("-") & ~F.col("_l").startswith("---")
+    return each.filter(added | removed).select(*keep, "file_no", "path", added.alias("added"), F.substring("_l", 2, 1 << 20).alias("line"))
 
 
 def line_facts(changed: DataFrame) -> DataFrame:
     """changed (…, path, line) with language, signature, dependency and comment of each line."""
-    s, language = stripped(F.col("line")), language_of(F.col("path"))
-    return changed.withColumns({"language": language, "signature": looks_like(s, language, SIGNATURES), "dependency": looks_like(s, language, DEPENDENCIES), "comment": is_comment(s, language)})
+    known = changed.withColumns({"language": language_of(F.col("path")), "_s": stripped(F.col("line"))})
+    s, language = F.col("_s"), F.col("language")
+    return known.withColumns({"signature": looks_like(s, language, SIGNATURES), "dependency": looks_like(s, language, DEPENDENCIES), "comment": is_comment(s, language)}).drop("_s")
 
 
 def file_changes(changed: DataFrame, keys: list[str]) -> DataFrame:

@@ -188,7 +188,7 @@ def data_structures(scan: DataFrame, nodes: DataFrame, most: int = 6) -> DataFra
 
 def assumptions(scan: DataFrame, most: int = 5) -> DataFrame:
     """(csc_id, subsystem_id, text, n): lines of documentation that tell of an assumption, blanks made single; the first by text of each subsystem."""
-    said = scan.filter("path IS NOT NULL").select("csc_id", subsystem(F.col("path")).alias("subsystem_id"), F.explode("docstrings").alias("doc")).select("csc_id", "subsystem_id", F.explode(lines(F.col("doc"))).alias("line"))
+    said = scan.filter("path IS NOT NULL").select("csc_id", subsystem(F.col("path")).alias("subsystem_id"), F.explode("docstrings").alias("doc")).select("csc_id", "subsystem_id", F.explode_outer(lines(F.col("doc"))).alias("line")).filter("line IS NOT NULL")
     text = F.trim(F.regexp_replace("line", r"\s+", " "))
     found = said.select("csc_id", "subsystem_id", text.alias("text")).filter((F.col("text") != "") & F.lower("text").rlike(any_of(ASSUMPTION_TOKENS))).distinct()
     return capped(found, ["csc_id", "subsystem_id"], [F.lower("text"), F.col("text")], most)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolith.functions.text import bucket, quote, tokens
+from repolith.session import spread
 
 # Saturation and length normalisation of BM25.
 K1, B = 1.5, 0.75
@@ -47,14 +48,29 @@ def chunk_rows(chunks: DataFrame) -> DataFrame:
     return chunks.select(*cols).groupBy("csc_id", "chunk_id").agg(F.min(F.struct(*cols[2:])).alias("c")).select("csc_id", "chunk_id", "c.*")
 
 
+def indexed(chunks: DataFrame) -> DataFrame:
+    """(csc_id, chunk_id, source_type, source_path, line_start, dl, words) of chunks: their tokens in order, and how many.
+
+    Texts are tokenised once, before repeated rows are reduced to one, and go no further;
+    all that retrieval needs is read from these rows, which lie by chunk. Of a key given
+    twice the first by its columns stays, texts being told apart by their digests.
+    What is indexed already is given back.
+    """
+    if "words" in chunks.columns:
+        return chunks
+    texts = spread(chunks.select("csc_id", "chunk_id", "source_type", "source_path", "text", "section_id", "line_start", "line_end"), "csc_id", "chunk_id")
+    rows = texts.select("csc_id", "chunk_id", F.struct("source_type", "source_path", F.md5("text").alias("digest"), "section_id", "line_start", "line_end", tokens(F.col("text")).alias("words")).alias("c"))
+    return rows.groupBy("csc_id", "chunk_id").agg(F.min("c").alias("c")).select("csc_id", "chunk_id", "c.source_type", "c.source_path", "c.line_start", F.size("c.words").alias("dl"), "c.words")
+
+
 def term_frequencies(chunks: DataFrame) -> DataFrame:
     """(csc_id, chunk_id, term, tf); chunks without tokens have no rows."""
-    return chunks.select("csc_id", "chunk_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("csc_id", "chunk_id", "term").agg(F.count("*").alias("tf"))
+    return indexed(chunks).select("csc_id", "chunk_id", F.explode("words").alias("term")).groupBy("csc_id", "chunk_id", "term").agg(F.count("*").alias("tf"))
 
 
 def lengths(chunks: DataFrame) -> DataFrame:
     """(csc_id, chunk_id, dl): tokens of each chunk."""
-    return chunks.select("csc_id", "chunk_id", F.size(tokens(F.col("text"))).alias("dl"))
+    return indexed(chunks).select("csc_id", "chunk_id", "dl")
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
@@ -79,15 +95,21 @@ def bm25(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     (csc_id, term); frequencies of documents are counted in the same aggregation
     that the scores need, over the terms asked for only.
     """
-    asked = questions.select("csc_id", "question_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("csc_id", "question_id", "term").agg(F.count("*").alias("times"))
-    tf = term_frequencies(chunks).join(asked.select("csc_id", "term").distinct(), ["csc_id", "term"], "left_semi")
+    index = indexed(chunks)
+    asked = asked_terms(questions)
+    tf = index.select("csc_id", "chunk_id", "dl", F.explode("words").alias("term")).groupBy("csc_id", "chunk_id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl")).join(asked.select("csc_id", "term").distinct(), ["csc_id", "term"], "left_semi")
     df = tf.groupBy("csc_id", "term").agg(F.count("*").alias("df"))
-    per = tf.join(df, ["csc_id", "term"]).join(asked, ["csc_id", "term"]).join(corpus_stats(chunks), "csc_id").join(lengths(chunks), ["csc_id", "chunk_id"])
+    per = tf.join(df, ["csc_id", "term"]).join(asked, ["csc_id", "term"]).join(corpus_stats(index), "csc_id")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return per.groupBy("csc_id", "question_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score")).filter("score > 0")
 
 
+def asked_terms(questions: DataFrame) -> DataFrame:
+    """(csc_id, question_id, term, times)."""
+    return questions.select("csc_id", "question_id", F.explode_outer(tokens(F.col("question"))).alias("term")).filter("term IS NOT NULL").groupBy("csc_id", "question_id", "term").agg(F.count("*").alias("times"))
+
+
 def tie_key() -> list[Column]:
     """Order of chunks of equal score."""
     return [F.col("source_path"), F.coalesce("line_start", F.lit(0)), F.col("chunk_id")]
@@ -99,6 +121,7 @@ def top_k(chunks: DataFrame, questions: DataFrame, k: int = 6) -> DataFrame:
     Ranking partitions by question, never by the store, and keeps k rows a task
     before the shuffle.
     """
+    chunks = indexed(chunks)
     scores = bm25(chunks, questions)
     w = Window.partitionBy("csc_id", "question_id").orderBy(F.desc("score"), *tie_key())
     best = scores.join(chunks.select("csc_id", "chunk_id", "source_path", "line_start"), ["csc_id", "chunk_id"]).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -161,3 +184,26 @@ def rerank(lexical: DataFrame, graph: DataFrame, chunks: DataFrame, questions: D
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of old whose key new does not have, and the rows of new."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+
+
+def expanded(initial: DataFrame, seeds: DataFrame, links: DataFrame, summaries: DataFrame, k: int = 6) -> DataFrame:
+    """(csc_id, question_id, rank, chunk_id, origin): a question's chunks and, up to 2 * k in all, the summaries of the parents, siblings and children of their nodes.
+
+    initial: (csc_id, question_id, chunk_id, rank); seeds: (csc_id, question_id,
+    node_id); links: (csc_id, parent, child); summaries: (csc_id, node_id, chunk_id,
+    source_type, source_path). Summaries of directories come first, then paths, then
+    ids. Of a node's children only the first 3 * k in this order can matter, as at
+    most k of them are seeds, so a flat directory costs no question more than that.
+    """
+    keys, first = ["csc_id", "question_id"], F.when(F.col("source_type") == "directory_summary", 0).otherwise(1)
+    order = [first, F.col("source_path"), F.col("chunk_id"), F.col("node_id")]
+    told = links.join(summaries.select("csc_id", F.col("node_id").alias("child"), "chunk_id", "source_type", "source_path"), ["csc_id", "child"]).withColumnRenamed("child", "node_id")
+    few = told.withColumn("n", F.row_number().over(Window.partitionBy("csc_id", "parent").orderBy(*order))).filter(F.col("n") <= 3 * k).drop("n")
+    up = seeds.join(links.select("csc_id", "parent", F.col("child").alias("node_id")), ["csc_id", "node_id"]).select(*keys, "parent").distinct()
+    heads = up.select(*keys, "parent").unionByName(seeds.select(*keys, F.col("node_id").alias("parent"))).distinct()
+    pick = [*keys, "node_id", "chunk_id", "source_type", "source_path"]
+    near = heads.join(few, ["csc_id", "parent"]).select(*pick).unionByName(up.select(*keys, F.col("parent").alias("node_id")).join(summaries, ["csc_id", "node_id"]).select(*pick)).distinct()
+    fresh = near.join(seeds, [*keys, "node_id"], "left_anti").join(initial.select(*keys, "chunk_id"), [*keys, "chunk_id"], "left_anti")
+    size = initial.groupBy(*keys).agg(F.count("*").alias("own"))
+    ranked = fresh.join(size, keys).withColumn("rank", F.col("own") + F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= 2 * k)
+    return initial.select(*keys, F.col("rank").cast("long").alias("rank"), "chunk_id", F.lit("initial").alias("origin")).filter(F.col("rank") <= 2 * k).unionByName(ranked.select(*keys, "rank", "chunk_id", F.lit("hierarchy").alias("origin")))

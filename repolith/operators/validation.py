@@ -38,7 +38,7 @@ def blocks(rows: DataFrame, keep: list[str], ls: str, prefix: str) -> DataFrame:
     Lines and places are columns of their own, so that each is made once a row.
     """
     at = rows.select(*keep, F.col(ls).alias("_ls"), headings(ls, prefix).alias("_at"))
-    each = at.select(*keep, "_ls", "_at", F.posexplode("_at").alias("idx", "place"))
+    each = at.select(*keep, "_ls", "_at", F.posexplode_outer("_at").alias("idx", "place")).filter("place IS NOT NULL")
     until = F.coalesce(F.try_element_at("_at", F.col("idx") + 2), F.size("_ls") + 1)
     return each.select(*keep, "idx", F.trim(F.substring(F.element_at("_ls", F.col("place")), len(prefix) + 1, 1 << 20)).alias("title"), "place", F.slice("_ls", F.col("place") + 1, until - F.col("place") - 1).alias("body"))
 
@@ -104,14 +104,14 @@ def line_findings(documents: DataFrame, keys: list[str], core: tuple[str, ...] =
     """Phrases of release notes behind the first section's heading, leaked ids, doubtful marks, and lines that say nothing, an error in the core sections."""
     at = documents.select(*keys, lines(F.col("markdown")).alias("ls"))
     begin = F.coalesce(F.try_element_at(headings("ls", "## "), F.lit(1)), F.lit(1 << 30))
-    each = at.select(*keys, begin.alias("begin"), F.posexplode("ls").alias("n", "line")).withColumn("n", F.col("n") + 1)
+    each = at.select(*keys, begin.alias("begin"), "ls").select(*keys, "begin", F.posexplode_outer("ls").alias("n", "line")).withColumn("n", F.col("n") + 1)
     phrase = F.lit(None).cast("string")
     for p in reversed(PHRASES):
         phrase = F.when(F.lower("line").contains(p), p).otherwise(phrase)
     said = each.filter("n >= begin").withColumn("p", phrase).filter("p IS NOT NULL").select(*keys, *_found("release_note_phrase", "warning", None, F.col("p"), F.col("n")))
     leaked = each.filter(F.col("line").rlike(LEAKED_ID)).select(*keys, *_found("raw_internal_id_leak", "error", None, F.trim("line"), F.col("n")))
     doubtful = each.filter(F.col("line").rlike(CONTRADICTORY)).select(*keys, *_found("contradictory_tbd_phrase", "warning", None, F.trim("line"), F.col("n")))
-    body = sections(documents, keys).select(*keys, "title", "line", F.posexplode("body").alias("k", "text"))
+    body = sections(documents, keys).select(*keys, "title", "line", F.posexplode_outer("body").alias("k", "text"))
     empty = body.filter(F.trim("text").isin(*FILLERS) & (F.col("title") != "Introduction"))
     is_core = F.col("title").isin(*core) if core else F.lit(False)
     weak = [empty.filter(c).select(*keys, *_found(check, severity, F.col("title"), F.trim("text"), F.col("line") + F.col("k") + 1)) for c, check, severity in ((is_core, "weak_core_section", "error"), (~is_core, "weak_optional_section", "warning"))]

@@ -9,7 +9,7 @@ from repolith.functions.text import lines, slug, stripped
 from repolith.operators import changes as C
 from repolith.operators.history import VARIANTS
 from repolith.plans.repository import _LANGUAGE, _LINES
-from repolith.session import load
+from repolith.session import load, spread
 
 QUERIES, SQL = {}, {}
 
@@ -29,11 +29,12 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _diffs(spark: SparkSession, d: str) -> DataFrame:
-    """A diff of each file in which lines with `return` are removed and all others added."""
-    t = _texts(spark, d)
+    """A diff of each scan of a file in which lines with `return` are removed and all others added. Scans of one text have one digest."""
+    t = load(spark, d, "scan_records").select("csc_id", "path", "text", F.md5("text").alias("digest"), F.monotonically_increasing_id().alias("scan")).filter("text IS NOT NULL AND path IS NOT NULL")
+    t = spread(t, "scan")
     marked = F.array_join(F.transform(lines(F.col("text")), lambda x: F.concat(F.when(x.contains("return"), "-").otherwise("+"), x)), "\n")
     head = F.concat(F.lit("diff --git a/"), "path", F.lit(" b/"), "path", F.lit("\n--- a/"), "path", F.lit("\n+++ b/"), "path", F.lit("\n@@ -1 +1 @@\n"))
-    return t.select("csc_id", "path", F.concat("csc_id", F.lit(" "), "path").alias("diff_id"), F.concat(head, marked).alias("text"))
+    return t.select("csc_id", "digest", "scan", F.concat(head, marked).alias("text"))
 
 
 def _lit(p: str) -> str:
@@ -55,10 +56,9 @@ _SECTION = "CASE change_kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C
 
 
 def _file_changes(spark: SparkSession, d: str) -> DataFrame:
-    named = _diffs(spark, d)
-    changed = C.diff_lines(named.select(F.xxhash64("diff_id", "text").alias("diff_id"), "text"))
-    keyed = named.select("csc_id", F.xxhash64("diff_id", "text").alias("diff_id"))
-    return C.file_changes(changed, ["diff_id", "path"]).join(keyed, "diff_id").drop("diff_id")
+    """Changes of each file; equal scans are counted apart and then reduced, so that only counts are shuffled."""
+    g = C.file_changes(C.diff_lines(_diffs(spark, d)), ["csc_id", "path", "digest", "scan"])
+    return g.drop("scan").distinct().drop("digest")
 
 
 @query(_CHANGED + f" SELECT *, {_SECTION} AS section FROM k")
@@ -77,22 +77,20 @@ _NAMES = " UNION ALL ".join([f"SELECT csc_id, path, regexp_extract(s, '\\b{w}\\s
 
 @query(_CHANGED.replace("NOT (contains(line, 'return') AND starts_with(line, '--')) AND NOT (NOT contains(line, 'return') AND starts_with(line, '++'))", "true") + f" SELECT DISTINCT csc_id, path, name FROM ({_NAMES}) WHERE name <> ''")
 def ref_p07_changed_names(spark: SparkSession, d: str) -> DataFrame:
-    each = _texts(spark, d).select("csc_id", "path", F.explode(lines(F.col("text"))).alias("line"))
+    each = _texts(spark, d).select("csc_id", "path", F.explode_outer(lines(F.col("text"))).alias("line")).filter("line IS NOT NULL")
     return each.select("csc_id", "path", F.explode(C.changed_names(stripped(F.col("line")))).alias("name")).distinct()
 
 
 @query(_CHANGED + " SELECT csc_id, path, s AS line, signature, dependency FROM f WHERE signature OR dependency GROUP BY ALL")
 def ref_p08_signature_lines(spark: SparkSession, d: str) -> DataFrame:
-    changed = C.diff_lines(_diffs(spark, d).select("diff_id", "text"))
-    f = C.line_facts(changed).filter("signature OR dependency")
-    return f.select(F.split_part("diff_id", F.lit(" "), F.lit(1)).alias("csc_id"), "path", stripped(F.col("line")).alias("line"), "signature", "dependency").distinct()
+    f = C.line_facts(C.diff_lines(_diffs(spark, d))).filter("signature OR dependency")
+    return f.select("csc_id", "path", stripped(F.col("line")).alias("line"), "signature", "dependency").distinct()
 
 
 @query(_CHANGED + " SELECT csc_id, path, count(*) FILTER (WHERE comment) AS comments, count(*) AS total, bool_and(comment) AS comment_only FROM f GROUP BY csc_id, path, text")
 def ref_p09_comment_lines(spark: SparkSession, d: str) -> DataFrame:
-    named = _diffs(spark, d).select(F.xxhash64("diff_id", "text").alias("diff_id"), "csc_id", "text")
-    f = C.line_facts(C.diff_lines(named.select("diff_id", "text"))).groupBy("diff_id", "path").agg(F.count_if("comment").alias("comments"), F.count("*").alias("total"), F.bool_and("comment").alias("comment_only"))
-    return f.join(named.select("diff_id", "csc_id"), "diff_id").drop("diff_id")
+    f = C.line_facts(C.diff_lines(_diffs(spark, d))).groupBy("csc_id", "path", "digest", "scan").agg(F.count_if("comment").alias("comments"), F.count("*").alias("total"), F.bool_and("comment").alias("comment_only"))
+    return f.drop("scan").distinct().drop("digest")
 
 
 @query("SELECT DISTINCT csc_id, node_id, regexp_replace(regexp_replace(lower(label), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM graph_nodes WHERE label IS NOT NULL")
@@ -126,7 +124,7 @@ _HEADS = f"""WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(l
 @query(_HEADS + " SELECT doc_id, section::BIGINT AS section, max(CASE WHEN head THEN trim(regexp_replace(line, '^#+ ', '')) END) AS title, max(CASE WHEN head THEN length(regexp_extract(line, '^#+')) END) AS level, min(n) AS heading_line, count(*) - 1 AS body_lines FROM s WHERE section > 0 GROUP BY ALL")
 def ref_p18_sections(spark: SparkSession, d: str) -> DataFrame:
     """Sections of Markdown texts with title, level and lines; the running count stays within one text."""
-    at = load(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.posexplode(lines(F.col("text"))).alias("n", "line"))
+    at = load(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.posexplode_outer(lines(F.col("text"))).alias("n", "line")).filter("line IS NOT NULL")
     head = F.col("line").rlike("^#{1,6} ")
     s = at.withColumn("head", head).withColumn("section", F.sum(F.col("head").cast("int")).over(Window.partitionBy("doc_id").orderBy("n"))).filter("section > 0")
     return s.groupBy("doc_id", "section").agg(F.max(F.when(F.col("head"), F.trim(F.regexp_replace("line", "^#+ ", "")))).alias("title"), F.max(F.when(F.col("head"), F.length(F.regexp_extract("line", "^#+", 0)))).alias("level"),
@@ -175,7 +173,7 @@ _LEAK = r"\b(?:subsystem|module|interface|context_node)::[A-Za-z0-9_.:/-]+\b"
   UNION ALL SELECT doc_id, n, 'raw_internal_id_leak', 'error', trim(line) FROM s WHERE regexp_matches(line, '{_LEAK}')""")
 def ref_v04_line_rules(spark: SparkSession, d: str) -> DataFrame:
     """Findings of line rules in texts: phrases of release notes behind the first heading, doubtful markers, leaked ids."""
-    at = load(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.posexplode(lines(F.col("text"))).alias("n", "line"))
+    at = load(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.posexplode_outer(lines(F.col("text"))).alias("n", "line")).filter("line IS NOT NULL")
     s = at.withColumn("section", F.sum(F.col("line").rlike("^#{1,6} ").cast("int")).over(Window.partitionBy("doc_id").orderBy("n")))
     phrase = F.lit(None).cast("string")
     for p in reversed(PHRASES):

@@ -353,14 +353,3 @@ def ref_u08_new_areas(spark: SparkSession, d: str) -> DataFrame:
     return at.filter("end_ord = m").select("csc_id", "area").distinct().join(at.filter("start_ord = 1").select("csc_id", "area").distinct(), ["csc_id", "area"], "left_anti")
 
 
-@query(f"""WITH {_NODES}, seed AS (SELECT DISTINCT csc_id, 'file::' || target_path AS node_id FROM dependency_records WHERE target_path IS NOT NULL),
-  up AS (SELECT s.csc_id, s.node_id AS seed, l.source_id AS parent FROM seed s JOIN link l ON l.csc_id = s.csc_id AND l.target_id = s.node_id)
-  SELECT csc_id, seed, node_id, how FROM (SELECT csc_id, seed, parent AS node_id, 'parent' AS how FROM up UNION ALL SELECT u.csc_id, u.seed, l.target_id, 'sibling' FROM up u JOIN link l ON l.csc_id = u.csc_id AND l.source_id = u.parent AND l.target_id <> u.seed) ANTI JOIN seed USING (csc_id, node_id)""")
-def ref_u03_hierarchy_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """Parents and siblings of imported files that are not imported themselves."""
-    _, links = P.structure(_scan(spark, d))
-    seed = load(spark, d, "dependency_records").filter("target_path IS NOT NULL").select("csc_id", F.concat(F.lit("file::"), "target_path").alias("node_id")).distinct()
-    up = seed.join(links.select("csc_id", F.col("target_id").alias("node_id"), F.col("source_id").alias("parent")), ["csc_id", "node_id"]).select("csc_id", F.col("node_id").alias("seed"), "parent")
-    siblings = up.join(links.select("csc_id", F.col("source_id").alias("parent"), "target_id"), ["csc_id", "parent"]).filter("target_id <> seed").select("csc_id", "seed", F.col("target_id").alias("node_id"), F.lit("sibling").alias("how"))
-    every = up.select("csc_id", "seed", F.col("parent").alias("node_id"), F.lit("parent").alias("how")).unionByName(siblings)
-    return every.join(seed, ["csc_id", "node_id"], "left_anti").select("csc_id", "seed", "node_id", "how")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from repolith.functions.text import bucket, keywords, tokens
 from repolith.operators import retrieval as R
-from repolith.session import load
+from repolith.session import cut, load
 
 QUERIES, SQL = {}, {}
 Questions = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").filter("doc_id % 20 = 0 AND csc_id IS NOT NULL AND text IS NOT NULL").groupBy("csc_id", F.col("doc_id").cast("string").alias("question_id")).agg(F.min("text").alias("question"))
 
 
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    return R.indexed(load(spark, d, "knowledge_chunks"))
+
+
 _TOK = "list_transform(regexp_extract_all(coalesce({0}, ''), '[A-Za-z0-9_]+'), lambda x: lower(x))"
 _BASE = f"""
 chunk AS (SELECT csc_id, chunk_id, c.source_type AS source_type, c.source_path AS source_path, c.text AS text, c.section_id AS section_id, c.line_start AS line_start, c.line_end AS line_end
@@ -89,51 +93,52 @@ def ref_p06_citations(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_WITH + "SELECT csc_id, term, (('0x' || right(md5(term), 2))::INTEGER % 64)::INTEGER AS bucket FROM df")
 def ref_p21_buckets(spark: SparkSession, d: str) -> DataFrame:
-    return R.document_frequencies(_chunks(spark, d)).select("csc_id", "term", bucket(F.col("term")).alias("bucket"))
+    return R.document_frequencies(_index(spark, d)).select("csc_id", "term", bucket(F.col("term")).alias("bucket"))
 
 
 @query(_WITH + "SELECT ('0x' || right(md5(term), 2))::INTEGER % 64 AS bucket, count(*) AS postings, count(DISTINCT term) AS terms FROM tf GROUP BY 1")
 def ref_s12_bucket_counts(spark: SparkSession, d: str) -> DataFrame:
-    return R.postings(_chunks(spark, d)).groupBy("bucket").agg(F.count("*").alias("postings"), F.count_distinct("term").alias("terms"))
+    return R.postings(_index(spark, d)).groupBy("bucket").agg(F.count("*").alias("postings"), F.count_distinct("term").alias("terms"))
 
 
 @query(_WITH + "SELECT * FROM tf")
 def ref_a01_term_frequencies(spark: SparkSession, d: str) -> DataFrame:
-    return R.term_frequencies(_chunks(spark, d))
+    return R.term_frequencies(_index(spark, d))
 
 
 @query(_WITH + "SELECT csc_id, n, round(avgdl, 9) AS avgdl, (SELECT count(*) FROM df WHERE df.csc_id = stats.csc_id) AS terms FROM stats")
 def ref_a02_corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    c = _chunks(spark, d)
+    c = _index(spark, d)
     terms = R.document_frequencies(c).groupBy("csc_id").agg(F.count("*").alias("terms"))
     return R.corpus_stats(c).join(terms, "csc_id", "left").select("csc_id", "n", F.round("avgdl", 9).alias("avgdl"), F.coalesce("terms", F.lit(0)).alias("terms"))
 
 
 @query(_WITH + "SELECT * FROM scores")
 def ref_a03_bm25(spark: SparkSession, d: str, questions: Questions = _questions) -> DataFrame:
-    return R.bm25(_chunks(spark, d), questions(spark, d))
+    return R.bm25(_index(spark, d), questions(spark, d))
 
 
 @query(_WITH + "SELECT a.csc_id, a.question_id, a.term, t.chunk_id, t.tf FROM asked a JOIN tf t USING (csc_id, term)")
 def ref_j01_posting_lookup(spark: SparkSession, d: str, questions: Questions = _questions) -> DataFrame:
     asked = questions(spark, d).select("csc_id", "question_id", F.explode(tokens(F.col("question"))).alias("term"))
-    return asked.join(R.term_frequencies(_chunks(spark, d)), ["csc_id", "term"]).select("csc_id", "question_id", "term", "chunk_id", "tf")
+    return asked.join(R.term_frequencies(_index(spark, d)), ["csc_id", "term"]).select("csc_id", "question_id", "term", "chunk_id", "tf")
 
 
 @query(_WITH + "SELECT csc_id, question_id, chunk_id, dl FROM scores JOIN len USING (csc_id, chunk_id)")
 def ref_j02_doc_lengths(spark: SparkSession, d: str, questions: Questions = _questions) -> DataFrame:
-    c = _chunks(spark, d)
-    return R.bm25(c, questions(spark, d)).select("csc_id", "question_id", "chunk_id").join(R.lengths(c), ["csc_id", "chunk_id"])
+    """Lengths of the chunks that share a token with a question; the terms asked for are looked up, nothing is scored."""
+    posted = _index(spark, d).select("csc_id", "chunk_id", "dl", F.explode(F.array_distinct("words")).alias("term"))
+    return R.asked_terms(questions(spark, d)).join(posted, ["csc_id", "term"]).select("csc_id", "question_id", "chunk_id", "dl").distinct()
 
 
 @query(_WITH + "SELECT * FROM top")
 def ref_t01_top_k(spark: SparkSession, d: str, questions: Questions = _questions) -> DataFrame:
-    return R.top_k(_chunks(spark, d), questions(spark, d))
+    return R.top_k(_index(spark, d), questions(spark, d))
 
 
 @query(_WITH + "SELECT csc_id, question_id, chunk_id, rank FROM best WHERE rank <= 3")
 def ref_w01_rank(spark: SparkSession, d: str, questions: Questions = _questions) -> DataFrame:
-    return R.top_k(_chunks(spark, d), questions(spark, d), 3).filter("score > 0").select("csc_id", "question_id", "chunk_id", "rank")
+    return R.top_k(_index(spark, d), questions(spark, d), 3).filter("score > 0").select("csc_id", "question_id", "chunk_id", "rank")
 
 
 @query(_WITH + f"SELECT csc_id, question_id, {_INTENT} AS intent FROM q UNION ALL SELECT suite, item_id::VARCHAR, {_INTENT} FROM (SELECT DISTINCT suite, item_id, prompt AS question FROM eval_items)")
@@ -183,8 +188,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY csc_id, question_id ORDER B
 
 
 def _fusion(spark: SparkSession, d: str, asked: Questions) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    chunks, questions = _chunks(spark, d), asked(spark, d)
-    top = R.top_k(chunks, questions, 12).filter("score > 0")
+    chunks, questions = _index(spark, d), asked(spark, d)
+    top = cut(R.top_k(chunks, questions, 12).filter("score > 0"))
     anchors = top.filter("rank = 1").join(chunks.select("csc_id", "chunk_id", "source_path"), ["csc_id", "chunk_id"]).select("csc_id", "question_id", "source_path")
     imports = load(spark, d, "dependency_records").filter("target_path IS NOT NULL").select("csc_id", "source_path", "target_path").distinct()
     graph = anchors.join(imports, ["csc_id", "source_path"]).select("csc_id", "question_id", F.col("target_path").alias("source_path")).distinct().join(
@@ -243,3 +248,25 @@ def _ask_documents(search: Callable[..., DataFrame]) -> None:
 
 for _search in (ref_a03_bm25, ref_j01_posting_lookup, ref_j02_doc_lengths, ref_t01_top_k, ref_w01_rank, ref_r01_rerank, ref_u02_prior_source, ref_u04_graph_only):
     _ask_documents(_search)
+
+
+_EXPANDED = _WITH + """, links AS (SELECT DISTINCT csc_id, source_id AS parent, target_id AS child FROM graph_edges WHERE edge_type IN ('contains', 'parent_of') AND source_id IS NOT NULL AND target_id IS NOT NULL),
+  summary AS (SELECT DISTINCT csc_id, metadata['node_id'] AS node_id, chunk_id, source_type, source_path FROM knowledge_chunks WHERE source_type IN ('file_summary', 'directory_summary') AND metadata['node_id'] IS NOT NULL),
+  init AS (SELECT csc_id, question_id, chunk_id, rank FROM top), seed AS (SELECT DISTINCT i.csc_id, i.question_id, CASE WHEN c.source_type = 'code' THEN 'file::' || c.source_path ELSE s.node_id END AS node_id FROM init i JOIN chunk c USING (csc_id, chunk_id) LEFT JOIN summary s USING (csc_id, chunk_id) WHERE c.source_type = 'code' OR s.node_id IS NOT NULL),
+  up AS (SELECT DISTINCT s.csc_id, s.question_id, l.parent FROM seed s JOIN links l ON l.csc_id = s.csc_id AND l.child = s.node_id), heads AS (SELECT * FROM up UNION SELECT csc_id, question_id, node_id FROM seed),
+  near AS (SELECT h.csc_id, h.question_id, l.child AS node_id FROM heads h JOIN links l USING (csc_id, parent) UNION SELECT csc_id, question_id, parent FROM up),
+  fresh AS (SELECT n.csc_id, n.question_id, n.node_id, s.chunk_id, s.source_type, s.source_path FROM near n JOIN summary s USING (csc_id, node_id) WHERE NOT EXISTS (SELECT 1 FROM seed e WHERE e.csc_id = n.csc_id AND e.question_id = n.question_id AND e.node_id = n.node_id) AND NOT EXISTS (SELECT 1 FROM init i WHERE i.csc_id = n.csc_id AND i.question_id = n.question_id AND i.chunk_id = s.chunk_id)),
+  own AS (SELECT csc_id, question_id, count(*) AS own FROM init GROUP BY ALL), ranked_ AS (SELECT f.*, own + row_number() OVER (PARTITION BY f.csc_id, f.question_id ORDER BY CASE source_type WHEN 'directory_summary' THEN 0 ELSE 1 END, source_path, chunk_id, node_id) AS rank FROM fresh f JOIN own USING (csc_id, question_id))
+  SELECT csc_id, question_id, rank, chunk_id, 'initial' AS origin FROM init UNION ALL SELECT csc_id, question_id, rank, chunk_id, 'hierarchy' FROM ranked_ WHERE rank <= 12"""
+
+
+@query(_EXPANDED)
+def ref_u03_hierarchy_expansion(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks found for each question, and the summaries around them in the hierarchy, twelve in all."""
+    index, raw = _index(spark, d), load(spark, d, "knowledge_chunks")
+    initial = R.top_k(index, _questions(spark, d)).select("csc_id", "question_id", "chunk_id", "rank")
+    summaries = raw.filter("source_type IN ('file_summary', 'directory_summary') AND metadata['node_id'] IS NOT NULL").select("csc_id", F.col("metadata")["node_id"].alias("node_id"), "chunk_id", "source_type", "source_path").distinct()
+    found = initial.join(index.select("csc_id", "chunk_id", "source_type", "source_path"), ["csc_id", "chunk_id"]).join(summaries.select("csc_id", "chunk_id", "node_id"), ["csc_id", "chunk_id"], "left")
+    seeds = found.select("csc_id", "question_id", F.when(F.col("source_type") == "code", F.concat(F.lit("file::"), "source_path")).otherwise(F.col("node_id")).alias("node_id")).filter("node_id IS NOT NULL").distinct()
+    links = load(spark, d, "graph_edges").filter("edge_type IN ('contains', 'parent_of') AND source_id IS NOT NULL AND target_id IS NOT NULL").select("csc_id", F.col("source_id").alias("parent"), F.col("target_id").alias("child")).distinct()
+    return R.expanded(initial, seeds, links, summaries)

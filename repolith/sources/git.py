@@ -12,6 +12,7 @@ from __future__ import annotations
 import subprocess
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -116,17 +117,23 @@ class _DiffReader(DataSourceReader):
 
     def partitions(self) -> list[Part]:
         o = self.o
+        if o.get("base"):
+            return [Part([resolve(o["repo"], o.get("target", "HEAD"))])]
         span = f"{o['previous']}..{o.get('target', 'HEAD')}" if o.get("previous") else o.get("target", "HEAD")
         return [Part([x]) for x in git(o["repo"], "rev-list", "--reverse", span).split()] or [Part([])]
 
     def read(self, partition: Part) -> Iterator[tuple]:
         for sha in partition.items:
+            if self.o.get("base"):
+                base = resolve(self.o["repo"], self.o["base"])
+                yield sha, base, git(self.o["repo"], "diff", "--unified=0", base, sha)
+                continue
             parents = git(self.o["repo"], "rev-list", "--parents", "-n", "1", sha).split()[1:]
             yield sha, parents[0] if parents else None, git(self.o["repo"], "diff", "--unified=0", parents[0] if parents else EMPTY_TREE, sha)
 
 
 class GitDiff(_Source):
-    """Diff of each commit to its first parent, or to nothing: diff_id (sha), base, text. Options: repo, target, previous."""
+    """Diff of each commit to its first parent, or to nothing: diff_id (sha), base, text. Options: repo, target, previous; with base, the one diff from base to target."""
 
     READER = _DiffReader
 
@@ -149,18 +156,30 @@ def tags_by_commit(log: DataFrame, tags: DataFrame) -> DataFrame:
     return log.select("sha").join(tags, "sha").groupBy("sha").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
 
 
-def ancestors(log: DataFrame, rounds: int = 64) -> DataFrame:
-    """(sha, ancestor) of all commits of a log by doubling: in each round the ways found so far are joined with themselves, until none is new."""
-    from repolith.session import cut
-
-    known = cut(log.select("sha", F.explode("parents").alias("ancestor")).distinct())
-    n = known.count()
-    for _ in range(rounds):
-        a, b = known.alias("a"), known.alias("b")
-        longer = a.join(b, F.col("a.ancestor") == F.col("b.sha")).select("a.sha", "b.ancestor")
-        known = cut(known.unionByName(longer).distinct())
-        m = known.count()
-        if m == n:
-            break
-        n = m
-    return known
+def ancestors(log: DataFrame, asked: DataFrame) -> DataFrame:
+    """(sha, ancestor) of the asked commits (sha) of a repository's log, which lists parents before their children by seq.
+
+    One walk from the newest commit down: each commit hands the set of asked commits
+    above it to its parents. A log is one task's stream, as git writes it; in memory
+    are only commits that a child has named and that are not met yet. What comes out is as long as the
+    asked commits' histories, never a closure of all pairs.
+    """
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        above: dict[str, int] = {}
+        names: list[str] = []
+        for b in batches:
+            out = []
+            for sha, parents, wanted in zip(b["sha"], b["parents"], b["wanted"], strict=True):
+                told = above.pop(sha, 0)
+                out += [(names[k], sha) for k in range(told.bit_length()) if told >> k & 1]
+                if wanted:
+                    told |= 1 << len(names)
+                    names.append(sha)
+                if told:
+                    for p in parents:
+                        above[p] = above.get(p, 0) | told
+            yield pd.DataFrame(out, columns=["sha", "ancestor"])
+
+    told = log.select("seq", "sha", "parents").join(asked.select("sha").distinct().withColumn("wanted", F.lit(True)), "sha", "left").fillna(False, ["wanted"])
+    return told.coalesce(1).sortWithinPartitions(F.desc("seq")).select("sha", "parents", "wanted").mapInPandas(walk, "sha string, ancestor string")

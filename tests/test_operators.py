@@ -182,10 +182,15 @@ def test_git_sources(spark, tmp_path):
     shas = [r["sha"] for r in log.orderBy("seq").collect()]
     assert spark.read.format("git_log").option("repo", str(tmp_path)).option("previous", shas[0]).load().count() == 2
     assert rows(spark.read.format("git_tree").option("repo", str(tmp_path)).option("files", "2").load(), "path", "text") == [("a.py", "# 0\n"), ("b.md", "# 1\n"), ("c.rs", "# 2\n")]
+    first = log.orderBy("seq").first()["sha"]
+    pair = spark.read.format("git_diff").option("repo", str(tmp_path)).option("base", first).load()
+    assert pair.count() == 1 and pair.first()["base"] == first
     diffs = spark.read.format("git_diff").option("repo", str(tmp_path)).load()
     assert rows(changes.file_changes(changes.diff_lines(diffs), ["path"]), "path", "added") == [("a.py", 1), ("b.md", 1), ("c.rs", 1)]
     assert git.is_strict_ancestor(str(tmp_path), shas[0], "HEAD") and not git.is_strict_ancestor(str(tmp_path), "HEAD", "HEAD")
-    assert git.ancestors(log).count() == 3
+    assert git.ancestors(log, log).count() == 3
+    last = log.orderBy(F.desc("seq")).limit(1)
+    assert git.ancestors(log, last).count() == 2 and git.ancestors(log, last.limit(0)).count() == 0
     assert rows(git.tags_by_commit(log, spark.createDataFrame([("v1", shas[2])], "tag string, sha string")), "sha", "tags") == [(shas[2], ["v1"])]
     with pytest.raises(git.GitError):
         git.resolve(str(tmp_path), "nowhere")
