@@ -111,23 +111,6 @@ def ref_w10_previous_benchmark(spark: SparkSession, d: str) -> DataFrame:
     return b.groupBy("workspace_id").agg(F.coalesce(told, F.max_by("checkpoint_id", F.when((F.col("back") > 1) & (F.col("back") <= 4), F.col("back")))).alias("previous"))
 
 
-@query("""WITH h AS (SELECT csc_id, source_id AS anchor, target_id AS node_id, min(edge_id) AS edge_id FROM graph_edges WHERE edge_type = 'references' AND target_id IS NOT NULL GROUP BY ALL)
-  SELECT csc_id, anchor, node_id, n FROM (SELECT *, row_number() OVER (PARTITION BY csc_id, anchor ORDER BY edge_id, node_id) AS n FROM h) WHERE n <= 3""")
-def ref_t03_top_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Three candidates of each node by the order of their edges."""
-    h = load(spark, d, "graph_edges").filter("edge_type = 'references' AND target_id IS NOT NULL").groupBy("csc_id", F.col("source_id").alias("anchor"), F.col("target_id").alias("node_id")).agg(F.min("edge_id").alias("edge_id"))
-    w = Window.partitionBy("csc_id", "anchor").orderBy("edge_id", "node_id")
-    return h.select("csc_id", "anchor", "node_id", F.row_number().over(w).alias("n")).filter("n <= 3")
-
-
-@query("SELECT csc_id, chunk_id, 'chunk' AS source FROM (SELECT DISTINCT csc_id, chunk_id FROM knowledge_chunks) UNION ALL SELECT csc_id, chunk_id, 'node' FROM (SELECT DISTINCT csc_id, chunk_id FROM graph_nodes WHERE chunk_id IS NOT NULL)")
-def ref_u01_sources(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates of two sources, one below the other."""
-    a = load(spark, d, "knowledge_chunks").select("csc_id", "chunk_id").distinct().withColumn("source", F.lit("chunk"))
-    b = load(spark, d, "graph_nodes").filter("chunk_id IS NOT NULL").select("csc_id", "chunk_id").distinct().withColumn("source", F.lit("node"))
-    return a.unionByName(b)
-
-
 _BIAS = "CASE i.intent || '/' || s.source_type " + " ".join(f"WHEN '{i}/{s}' THEN {v}" for (i, s), v in retrieval.TYPE_BIAS.items()) + " ELSE 0.01 END"
 
 

@@ -112,14 +112,6 @@ def ref_v17_outline(spark: SparkSession, d: str) -> DataFrame:
     return core.unionByName(told.join(core, ["csc_id", "section_id"], "left_anti").withColumn("kind", F.lit("optional")))
 
 
-@query("""WITH e AS (SELECT DISTINCT csc_id, source_id AS section, edge_type, target_id FROM graph_edges WHERE source_id LIKE 'sdd_section::%' AND target_id IS NOT NULL)
-  SELECT csc_id, section, edge_type, target_id, n FROM (SELECT *, row_number() OVER (PARTITION BY csc_id, section, edge_type ORDER BY target_id) AS n FROM e) WHERE n <= 7""")
-def ref_v20_evidence_caps(spark: SparkSession, d: str) -> DataFrame:
-    """At most seven pieces of evidence of each family for a section."""
-    e = load(spark, d, "graph_edges").filter("source_id LIKE 'sdd_section::%' AND target_id IS NOT NULL").select("csc_id", F.col("source_id").alias("section"), "edge_type", "target_id").distinct()
-    return e.withColumn("n", F.row_number().over(Window.partitionBy("csc_id", "section", "edge_type").orderBy("target_id"))).filter("n <= 7")
-
-
 @query(f"""WITH q AS (SELECT DISTINCT 'csc' || substr(workspace_id, 3) AS csc_id, checkpoint_id AS question_id, unnest({_TOK.format('target_commit_subject')}) AS term FROM history_checkpoints), k AS (SELECT DISTINCT csc_id, chunk_id, unnest({_TOK.format('text')}) AS term FROM knowledge_chunks WHERE source_type = 'code'),
   h AS (SELECT q.csc_id, q.question_id, k.chunk_id, count(*) AS terms FROM q JOIN k USING (csc_id, term) GROUP BY ALL), a AS (SELECT DISTINCT csc_id, question_id FROM q)
   SELECT a.csc_id, a.question_id, count(h.chunk_id) AS screened, CASE WHEN coalesce(max(h.terms), 0) < 2 THEN 'insufficient evidence' ELSE 'answerable' END AS verdict FROM a LEFT JOIN h USING (csc_id, question_id) GROUP BY ALL""")

@@ -68,54 +68,9 @@ def ref_x01_summaries(spark: SparkSession, d: str) -> DataFrame:
     return analyzers.summaries(load(spark, d, "scan_records"))
 
 
-@query("""WITH r AS (SELECT csc_id, source_id, edge_type, target_id FROM graph_edges WHERE target_id IS NOT NULL GROUP BY ALL) SELECT csc_id, source_id, edge_type, count(*) AS links, min(target_id) AS first_target FROM r GROUP BY ALL""")
-def ref_a11_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct evidence of each node by kind."""
-    e = load(spark, d, "graph_edges").filter("target_id IS NOT NULL").select("csc_id", "source_id", "edge_type", "target_id").distinct()
-    return e.groupBy("csc_id", "source_id", "edge_type").agg(F.count("*").alias("links"), F.min("target_id").alias("first_target"))
-
-
-@query("""WITH c AS (SELECT csc_id, target_path AS path, 0.5 AS score, 'import' AS reason FROM dependency_records WHERE target_path IS NOT NULL UNION ALL SELECT csc_id, path, CASE WHEN language IS NULL THEN 0.5 ELSE 1.0 END, 'node' FROM graph_nodes WHERE node_type = 'file')
-  SELECT csc_id, path, max(score)::DOUBLE AS score, min(reason) FILTER (WHERE score = m) AS reason, count(DISTINCT reason) AS reasons FROM (SELECT *, max(score) OVER (PARTITION BY csc_id, path) AS m FROM c) GROUP BY ALL""")
-def ref_a13_best_candidate(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates of several sources merged: the best score, of equal ones the first reason."""
-    a = load(spark, d, "dependency_records").filter("target_path IS NOT NULL").select("csc_id", F.col("target_path").alias("path"), F.lit(0.5).alias("score"), F.lit("import").alias("reason"))
-    b = load(spark, d, "graph_nodes").filter("node_type = 'file'").select("csc_id", "path", F.when(F.col("language").isNull(), 0.5).otherwise(1.0).alias("score"), F.lit("node").alias("reason"))
-    return a.unionByName(b).groupBy("csc_id", "path").agg(F.min(F.struct((-F.col("score")).alias("s"), "reason")).alias("b"), F.count_distinct("reason").alias("reasons")).select("csc_id", "path", (-F.col("b.s")).alias("score"), "b.reason", "reasons")
-
-
-@query("""WITH e AS (SELECT DISTINCT csc_id, source_id AS s, target_id AS t FROM graph_edges WHERE edge_type = 'imports' AND target_id IS NOT NULL) SELECT csc_id, t AS related FROM e EXCEPT SELECT csc_id, s FROM e""")
-def ref_a14_related(spark: SparkSession, d: str) -> DataFrame:
-    """Files that others import and that import nothing: what is related without being an anchor."""
-    e = load(spark, d, "graph_edges").filter("edge_type = 'imports' AND target_id IS NOT NULL").select("csc_id", "source_id", "target_id").distinct()
-    return e.select("csc_id", F.col("target_id").alias("related")).distinct().join(e.select("csc_id", F.col("source_id").alias("related")).distinct(), ["csc_id", "related"], "left_anti")
-
-
 _SYM = "sym AS (SELECT DISTINCT csc_id, node_id, path, symbol_name AS name FROM graph_nodes WHERE node_type = 'symbol' AND symbol_name IS NOT NULL)"
 
 
-@query(f"""WITH {_SYM}, n AS (SELECT DISTINCT csc_id, path, unnest(functions) AS name FROM scan_records), own AS (SELECT n.csc_id, n.path, n.name, min(s.node_id) AS node_id FROM n JOIN sym s ON s.csc_id = n.csc_id AND s.path = n.path AND s.name = n.name GROUP BY ALL),
-  away AS (SELECT n.csc_id, n.path, n.name, min(s.node_id) AS node_id FROM n ANTI JOIN own USING (csc_id, path, name) JOIN sym s ON s.csc_id = n.csc_id AND lower(s.name) = lower(n.name) GROUP BY ALL)
-  SELECT *, 'local' AS found FROM own UNION ALL SELECT *, 'global' FROM away""")
-def ref_j09_evidence_targets(spark: SparkSession, d: str) -> DataFrame:
-    """Names resolved to a symbol of their own file, else to the first of that name in the repository."""
-    s = load(spark, d, "graph_nodes").filter("node_type = 'symbol' AND symbol_name IS NOT NULL").select("csc_id", "node_id", "path", F.col("symbol_name").alias("name")).distinct()
-    n = load(spark, d, "scan_records").select("csc_id", "path", F.explode("functions").alias("name")).distinct()
-    own = n.join(s, ["csc_id", "path", "name"]).groupBy("csc_id", "path", "name").agg(F.min("node_id").alias("node_id"))
-    by_name = s.groupBy("csc_id", F.lower("name").alias("low")).agg(F.min("node_id").alias("node_id"))
-    away = n.join(own, ["csc_id", "path", "name"], "left_anti").withColumn("low", F.lower("name")).join(by_name, ["csc_id", "low"]).select("csc_id", "path", "name", "node_id")
-    return own.withColumn("found", F.lit("local")).unionByName(away.withColumn("found", F.lit("global")))
-
-
-@query("""WITH s AS (SELECT DISTINCT csc_id, path, node_id, qualified_name, symbol_name, symbol_kind FROM graph_nodes WHERE node_type = 'symbol' AND qualified_name IS NOT NULL)
-  SELECT m.csc_id, m.node_id AS member, min(o.node_id) AS owner FROM s m JOIN s o ON o.csc_id = m.csc_id AND o.path = m.path AND o.qualified_name = regexp_replace(m.qualified_name, '\\.[^.]*$', '') WHERE contains(m.qualified_name, '.') AND o.node_id <> m.node_id GROUP BY ALL""")
-def ref_j10_owners(spark: SparkSession, d: str) -> DataFrame:
-    """Members of a file's symbols by their qualified names."""
-    s = load(spark, d, "graph_nodes").filter("node_type = 'symbol' AND qualified_name IS NOT NULL").select("csc_id", "path", "node_id", "qualified_name").distinct()
-    m = s.filter(F.col("qualified_name").contains(".")).select("csc_id", "path", F.col("node_id").alias("member"), F.regexp_replace("qualified_name", r"\.[^.]*$", "").alias("qualified_name"))
-    return m.join(s, ["csc_id", "path", "qualified_name"]).filter("member <> node_id").groupBy("csc_id", "member").agg(F.min("node_id").alias("owner"))
-
-
 @query(f"WITH m AS (SELECT DISTINCT csc_id, path, {_SUB} AS subsystem_id, {_LANGUAGE} AS language FROM scan_records WHERE path IS NOT NULL), i AS (SELECT DISTINCT csc_id, source_path, target_path FROM dependency_records WHERE target_path IS NOT NULL) SELECT a.csc_id, a.subsystem_id AS from_subsystem, b.subsystem_id AS to_subsystem, count(*) AS imports FROM i JOIN m a ON a.csc_id = i.csc_id AND a.path = i.source_path JOIN m b ON b.csc_id = i.csc_id AND b.path = i.target_path GROUP BY ALL")
 def ref_j22_subsystem_imports(spark: SparkSession, d: str) -> DataFrame:
     """Imports between subsystems through the membership of files."""
@@ -162,10 +117,3 @@ def ref_st01_windowed_counts(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "events")
 
 
-@query(f"SELECT n.csc_id, n.section_id, count(DISTINCT e.target_id) FILTER (WHERE e.target_id LIKE 'file::%') AS files, count(DISTINCT c.chunk_id) AS chunks FROM (SELECT DISTINCT csc_id, node_id, section_id FROM graph_nodes WHERE node_type = 'sdd_section') n LEFT JOIN graph_edges e ON e.csc_id = n.csc_id AND e.source_id = n.node_id AND e.edge_type = 'documents' LEFT JOIN knowledge_chunks c ON c.csc_id = n.csc_id AND c.section_id = n.section_id GROUP BY ALL")
-def ref_v11_evidence_packs(spark: SparkSession, d: str) -> DataFrame:
-    """How many files and chunks each section has as evidence; both sides are counted before they meet."""
-    n = load(spark, d, "graph_nodes").filter("node_type = 'sdd_section'").select("csc_id", "node_id", "section_id").distinct()
-    e = load(spark, d, "graph_edges").filter("edge_type = 'documents' AND target_id LIKE 'file::%'").groupBy("csc_id", F.col("source_id").alias("node_id")).agg(F.count_distinct("target_id").alias("files"))
-    c = load(spark, d, "knowledge_chunks").filter("section_id IS NOT NULL").groupBy("csc_id", "section_id").agg(F.count_distinct("chunk_id").alias("chunks"))
-    return n.join(e, ["csc_id", "node_id"], "left").join(c, ["csc_id", "section_id"], "left").groupBy("csc_id", "section_id").agg(F.max(F.coalesce("files", F.lit(0))).alias("files"), F.max(F.coalesce("chunks", F.lit(0))).alias("chunks"))

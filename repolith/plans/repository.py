@@ -98,13 +98,6 @@ def ref_p23_search_terms(spark: SparkSession, d: str) -> DataFrame:
     return _scan(spark, d).select("csc_id", "path", F.transform(every, F.lower).alias("terms")).distinct()
 
 
-@query(f"WITH {_FILES}, r AS (SELECT csc_id, unnest({_UP.format('path')}) AS directory, language FROM file) SELECT csc_id, directory, 'Files: ' || string_agg(language || ' ' || n, ', ' ORDER BY language) AS text FROM (SELECT csc_id, directory, language, count(*) AS n FROM r GROUP BY ALL) GROUP BY ALL")
-def ref_p24_rollup_text(spark: SparkSession, d: str) -> DataFrame:
-    """One sentence per directory; a directory gathers one string for each of nine languages."""
-    r = P.rollup(_scan(spark, d)).groupBy("csc_id", "directory").agg(F.array_sort(F.collect_list(F.concat_ws(" ", "language", "files"))).alias("l"))
-    return r.select("csc_id", "directory", F.concat(F.lit("Files: "), F.array_join("l", ", ")).alias("text"))
-
-
 @query(f"WITH {_FILES} SELECT csc_id, CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '.' END AS area, count(*) AS files FROM file GROUP BY ALL")
 def ref_p25_areas(spark: SparkSession, d: str) -> DataFrame:
     return P.files(_scan(spark, d)).groupBy("csc_id", F.when(F.col("path").contains("/"), F.split_part("path", F.lit("/"), F.lit(1))).otherwise(".").alias("area")).agg(F.count("*").alias("files"))
@@ -171,15 +164,6 @@ def ref_a16_degrees(spark: SparkSession, d: str) -> DataFrame:
     return P.degrees(load(spark, d, "graph_edges"))
 
 
-@query("SELECT DISTINCT csc_id, 'file::' || path AS fragment_id, sha256(path || chr(10) || coalesce(language, '') || chr(10) || array_to_string(list_concat(coalesce(functions, []), coalesce(classes, []), coalesce(imports, [])), chr(10)) || chr(10) || sha256(coalesce(text, ''))) AS fingerprint FROM scan_records WHERE path IS NOT NULL")
-def ref_a31_fragment_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    """One digest over what each file's fragment of the graph is built from."""
-    empty = F.array().cast("array<string>")
-    named = F.array_join(F.concat(*(F.coalesce(c, empty) for c in ("functions", "classes", "imports"))), "\n")
-    whole = F.concat_ws("\n", "path", F.coalesce("language", F.lit("")), named, F.sha2(F.coalesce("text", F.lit("")), 256))
-    return _scan(spark, d).filter("path IS NOT NULL").select("csc_id", F.concat(F.lit("file::"), "path").alias("fragment_id"), F.sha2(whole, 256).alias("fingerprint")).distinct()
-
-
 _NODES = f"""{_FILES}, dirs AS (SELECT DISTINCT csc_id, unnest({_UP.format('path')}) AS path FROM file),
   node AS (SELECT csc_id, 'dir::' || path AS node_id, 'directory' AS node_type, path FROM dirs UNION ALL SELECT csc_id, 'file::' || path, 'file', path FROM file),
   link AS (SELECT csc_id, CASE node_type WHEN 'file' THEN 'contains' ELSE 'parent_of' END AS edge_type, 'dir::' || CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END AS source_id, node_id AS target_id FROM node WHERE path <> '.')"""
@@ -195,19 +179,6 @@ def ref_g01_structure_edges(spark: SparkSession, d: str) -> DataFrame:
     return P.structure(_scan(spark, d))[1]
 
 
-@query("""WITH s AS (SELECT csc_id, path, unnest(functions) AS name, 'function' AS kind FROM scan_records UNION SELECT csc_id, path, unnest(classes), 'class' FROM scan_records)
-  SELECT csc_id, 'file::' || path AS source_id, 'sym::' || path || '::' || kind || '::' || name AS target_id, 'defines' AS edge_type FROM s WHERE name IS NOT NULL AND path IS NOT NULL""")
-def ref_g02_defines(spark: SparkSession, d: str) -> DataFrame:
-    s = P.symbols(_scan(spark, d)).filter("kind <> 'module'")
-    return s.select("csc_id", F.concat(F.lit("file::"), "path").alias("source_id"), F.col("node_id").alias("target_id"), F.lit("defines").alias("edge_type"))
-
-
-@query("SELECT DISTINCT csc_id, 'sdd_section::' || section_id AS node_id, min(chunk_id) AS chunk_id, count(DISTINCT chunk_id) AS chunks FROM knowledge_chunks WHERE section_id IS NOT NULL GROUP BY csc_id, section_id")
-def ref_g03_section_nodes(spark: SparkSession, d: str) -> DataFrame:
-    c = load(spark, d, "knowledge_chunks").filter("section_id IS NOT NULL")
-    return c.groupBy("csc_id", F.concat(F.lit("sdd_section::"), "section_id").alias("node_id")).agg(F.min("chunk_id").alias("chunk_id"), F.count_distinct("chunk_id").alias("chunks"))
-
-
 @query("SELECT csc_id, node_id, symbol_kind, symbol_name, path, line_start FROM (SELECT *, row_number() OVER (PARTITION BY csc_id, node_id ORDER BY recorded_at, line_start NULLS FIRST, line_end NULLS FIRST) AS n FROM (SELECT DISTINCT * FROM graph_nodes WHERE node_type = 'symbol')) WHERE n = 1")
 def ref_g04_symbol_inventory(spark: SparkSession, d: str) -> DataFrame:
     s = load(spark, d, "graph_nodes").filter("node_type = 'symbol'").distinct()
@@ -292,14 +263,6 @@ def ref_g13_groupings(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("csc_id", P.subsystem(F.col("path")).alias("by_path"), F.col("language").alias("by_meaning")).agg(F.count("*").alias("files"))
 
 
-@query(f"WITH {_EDGE} SELECT DISTINCT c.csc_id, c.chunk_id, e.target_id AS symbol FROM knowledge_chunks c JOIN edge e ON e.csc_id = c.csc_id AND e.source_id = 'chunk::' || c.chunk_id WHERE e.target_id LIKE 'sym::%'")
-def ref_j19_anchor_symbols(spark: SparkSession, d: str) -> DataFrame:
-    """Symbols one step from each chunk."""
-    chunks = load(spark, d, "knowledge_chunks").select("csc_id", "chunk_id", F.concat(F.lit("chunk::"), "chunk_id").alias("source_id")).distinct()
-    e = P.distinct_edges(load(spark, d, "graph_edges")).filter(F.col("target_id").startswith("sym::"))
-    return chunks.join(e, ["csc_id", "source_id"]).select("csc_id", "chunk_id", F.col("target_id").alias("symbol")).distinct()
-
-
 @query("""WITH c AS (SELECT csc_id, node_id, label, count(*) OVER (PARTITION BY csc_id) AS n FROM (SELECT DISTINCT csc_id, node_id, label FROM graph_nodes WHERE node_type = 'commit')),
   e AS (SELECT DISTINCT csc_id, target_id, source_id FROM graph_edges WHERE edge_type = 'changed_in')
   SELECT c.csc_id, c.node_id, c.n = 1 AS only_commit, count(e.source_id) AS files FROM c LEFT JOIN e ON e.csc_id = c.csc_id AND e.target_id = c.node_id GROUP BY ALL""")
