@@ -331,3 +331,18 @@ def draft_summaries(scan: DataFrame, nodes: DataFrame, edges: DataFrame, depende
     deps = dependencies.filter("normalized_key IS NOT NULL").groupBy("csc_id", "language", "normalized_key").agg(F.count_distinct("source_path").alias("n")).select(
         "csc_id", F.lit("dependency").alias("family"), F.concat(F.coalesce("language", F.lit("unknown")), F.lit("::"), "normalized_key").alias("id"), F.concat("n", F.lit(" modules")).alias("summary"))
     return of.unionByName(caps).unionByName(deps)
+
+
+def partition_checks(scan: DataFrame, edges: DataFrame) -> DataFrame:
+    """(csc_id, unknown, uncovered, shared, valid): sections taken for clusters of files: files that no scan knows, files of no cluster, and files of several; valid if there are none."""
+    known = scan.filter("path IS NOT NULL").select("csc_id", F.concat(F.lit("file::"), "path").alias("id")).distinct().withColumn("k", F.lit(True))
+    per = edges.filter("edge_type = 'documents' AND target_id LIKE 'file::%'").select("csc_id", F.col("target_id").alias("id"), "source_id").distinct().groupBy("csc_id", "id").agg(F.count("*").alias("clusters"))
+    j = known.join(per, ["csc_id", "id"], "full_outer")
+    unknown, uncovered, shared = F.col("k").isNull(), F.col("clusters").isNull(), F.coalesce(F.col("clusters") > 1, F.lit(False))
+    return j.groupBy("csc_id").agg(F.count_if(unknown).alias("unknown"), F.count_if(uncovered).alias("uncovered"), F.count_if(shared).alias("shared"), (F.count_if(unknown | uncovered | shared) == 0).alias("valid"))
+
+
+def known_links(scan: DataFrame, edges: DataFrame, dependencies: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(csc_id, kind, reference): the closure of evidence links that judgments may cite."""
+    of = lambda df, kind, reference: df.select("csc_id", kind.alias("kind"), reference.alias("reference")).filter("reference IS NOT NULL")
+    return of(edges, F.col("edge_type"), F.col("target_id")).unionByName(of(scan, F.lit("file"), F.col("path"))).unionByName(of(dependencies, F.lit("dependency"), F.col("normalized_key"))).unionByName(of(chunks, F.lit("section"), F.col("section_id"))).distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from repolith.functions.globs import matches
 from repolith.operators import corpus, manifests, repository, retrieval
-from repolith.plans.repository import _SUB
+from repolith.plans.repository import _LINES
 from repolith.session import load
 
 QUERIES, SQL = {}, {}
@@ -49,7 +49,10 @@ def ref_s26_reusable(spark: SparkSession, d: str) -> DataFrame:
     return corpus.reusable(load(spark, d, "corpus_units"), load(spark, d, "scan_records"))
 
 
-@query()
+@query(f"""WITH RECURSIVE t AS (SELECT row_number() OVER () AS k, csc_id, path, ls FROM (SELECT csc_id, path, {_LINES.format('text')} AS ls FROM (SELECT DISTINCT csc_id, path, text FROM scan_records)) WHERE len(ls) > 0),
+  l AS (SELECT k, unnest(list_transform(ls, lambda x: len(regexp_extract_all(x, '[A-Za-z0-9_]+'))))::BIGINT AS x, generate_subscripts(ls, 1) AS i FROM t),
+  w AS (SELECT k, i, 1::BIGINT AS first, x AS total FROM l WHERE i = 1 UNION ALL SELECT l.k, l.i, CASE WHEN w.total + l.x > 400 THEN l.i ELSE w.first END, CASE WHEN w.total + l.x > 400 THEN l.x ELSE w.total + l.x END FROM w JOIN l ON l.k = w.k AND l.i = w.i + 1)
+  SELECT csc_id, path, line_start, line_end, token_count FROM (SELECT k, first AS line_start, max(i) AS line_end, arg_max(total, i) AS token_count FROM w GROUP BY k, first) JOIN t USING (k)""")
 def ref_w06_line_units(spark: SparkSession, d: str) -> DataFrame:
     """Texts cut at lines into units of at most 400 tokens, a longer line being a unit."""
     return corpus.line_units(load(spark, d, "scan_records"), 400)
@@ -127,9 +130,3 @@ def ref_r04_vector_source(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "knowledge_chunks").select("csc_id", "chunk_id", F.lit(0.0).alias("score")).filter(F.lit(False))
 
 
-@query("SELECT csc_id, 'The repository has ' || files || ' files in ' || areas || ' areas.' AS introduction FROM (SELECT csc_id, count(DISTINCT path) AS files, count(DISTINCT split_part(path, '/', 1)) AS areas FROM scan_records GROUP BY ALL)")
-def ref_v07_introduction(spark: SparkSession, d: str) -> DataFrame:
-    m = load(spark, d, "scan_records").groupBy("csc_id").agg(F.count_distinct("path").alias("files"), F.count_distinct(F.split_part("path", F.lit("/"), F.lit(1))).alias("areas"))
-    return m.select("csc_id", F.concat(F.lit("The repository has "), "files", F.lit(" files in "), "areas", F.lit(" areas.")).alias("introduction"))
-
-

@@ -85,33 +85,9 @@ def ref_j15_first_symbols(spark: SparkSession, d: str) -> DataFrame:
     return repository.first_rows(s, ["csc_id", "path", "name"], [F.coalesce("qualified_name", F.lit("")), F.col("symbol_kind"), F.coalesce("line_start", F.lit(-1)), F.col("node_id")]).select("csc_id", "path", "name", "node_id")
 
 
-@query(_DELTAS + " SELECT csc_id, commit_id AS one, other, count(*) AS shared FROM (SELECT csc_id, commit_id, lead(commit_id) OVER (PARTITION BY csc_id, path ORDER BY t_at, commit_id) AS other FROM f) WHERE other IS NOT NULL GROUP BY ALL")
-def ref_j16_linked_commits(spark: SparkSession, d: str) -> DataFrame:
-    """Commits linked to the next one of each file that they changed, with the number of such files."""
-    f = history.commit_files(load(spark, d, "graph_edges"))
-    following = F.lead("commit_id").over(Window.partitionBy("csc_id", "path").orderBy("at", "commit_id"))
-    return f.select("csc_id", F.col("commit_id").alias("one"), following.alias("other")).filter("other IS NOT NULL").groupBy("csc_id", "one", "other").agg(F.count("*").alias("shared"))
-
-
-@query(_DELTAS + " SELECT csc_id, commit_id, CASE WHEN len(signals) = 0 THEN 'no strong signals' ELSE array_to_string(signals, ', ') END || ' in ' || files || ' files' AS rationale FROM delta")
-def ref_p27_rationale(spark: SparkSession, d: str) -> DataFrame:
-    """Why a commit may matter, in words."""
-    x = history.commit_deltas(load(spark, d, "graph_edges"), load(spark, d, "dependency_records"))
-    told = F.when(F.size("signals") == 0, "no strong signals").otherwise(F.array_join("signals", ", "))
-    return x.select("csc_id", "commit_id", F.concat(told, F.lit(" in "), "files", F.lit(" files")).alias("rationale"))
-
-
 _CORE = ("introduction", "architectural_overview", "subsystems_modules", "dependencies", "build_development_infrastructure")
 
 
-@query("WITH k AS (SELECT DISTINCT csc_id FROM scan_records), d AS (SELECT DISTINCT csc_id, section_id FROM knowledge_chunks WHERE section_id IS NOT NULL AND source_type = 'sdd_section'), c AS (SELECT csc_id, unnest([" + ", ".join(f"'{x}'" for x in _CORE) + "]) AS section_id FROM k) SELECT csc_id, section_id, 'core' AS kind FROM c UNION ALL SELECT csc_id, section_id, 'optional' FROM d ANTI JOIN c USING (csc_id, section_id)")
-def ref_v17_outline(spark: SparkSession, d: str) -> DataFrame:
-    """Outlines: what was decided, with the core sections always in."""
-    core = load(spark, d, "scan_records").select("csc_id").distinct().select("csc_id", F.explode(F.array(*map(F.lit, _CORE))).alias("section_id"), F.lit("core").alias("kind"))
-    told = load(spark, d, "knowledge_chunks").filter("section_id IS NOT NULL AND source_type = 'sdd_section'").select("csc_id", "section_id").distinct()
-    return core.unionByName(told.join(core, ["csc_id", "section_id"], "left_anti").withColumn("kind", F.lit("optional")))
-
-
 @query(f"""WITH q AS (SELECT DISTINCT 'csc' || substr(workspace_id, 3) AS csc_id, checkpoint_id AS question_id, unnest({_TOK.format('target_commit_subject')}) AS term FROM history_checkpoints), k AS (SELECT DISTINCT csc_id, chunk_id, unnest({_TOK.format('text')}) AS term FROM knowledge_chunks WHERE source_type = 'code'),
   h AS (SELECT q.csc_id, q.question_id, k.chunk_id, count(*) AS terms FROM q JOIN k USING (csc_id, term) GROUP BY ALL), a AS (SELECT DISTINCT csc_id, question_id FROM q)
   SELECT a.csc_id, a.question_id, count(h.chunk_id) AS screened, CASE WHEN coalesce(max(h.terms), 0) < 2 THEN 'insufficient evidence' ELSE 'answerable' END AS verdict FROM a LEFT JOIN h USING (csc_id, question_id) GROUP BY ALL""")

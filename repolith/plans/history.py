@@ -176,7 +176,9 @@ def ref_j06_clipped(spark: SparkSession, d: str) -> DataFrame:
     return H.clipped(ex, seg, ["csc_id", "source_path"]).select("csc_id", "source_path", F.col("excerpt.node_id").alias("excerpt"), "start", "end", "segment").distinct()
 
 
-@query()
+@query("""WITH RECURSIVE u AS (SELECT csc_id, source_path, line_start, max(token_count) AS token_count FROM corpus_units GROUP BY csc_id, source_path, line_start), o AS (SELECT *, coalesce(token_count, 0) AS s, row_number() OVER (PARTITION BY csc_id ORDER BY source_path NULLS FIRST, line_start NULLS FIRST) AS i FROM u),
+  w AS (SELECT csc_id, i, s::BIGINT AS load, 0::BIGINT AS bin FROM o WHERE i = 1 UNION ALL SELECT o.csc_id, o.i, CASE WHEN w.load > 0 AND (w.load + o.s > 8192 OR w.load >= 8192) THEN o.s ELSE w.load + o.s END, w.bin + (w.load > 0 AND (w.load + o.s > 8192 OR w.load >= 8192))::INT FROM w JOIN o ON o.csc_id = w.csc_id AND o.i = w.i + 1)
+  SELECT csc_id, source_path, line_start, token_count, bin FROM o JOIN w USING (csc_id, i)""")
 def ref_w05_greedy_bins(spark: SparkSession, d: str) -> DataFrame:
     """Units in order of their file in bins of 8,192 tokens, the next bin where one does not fit."""
     u = load(spark, d, "corpus_units").groupBy("csc_id", "source_path", "line_start").agg(F.max("token_count").alias("token_count"))
@@ -221,14 +223,6 @@ def ref_u07_set_equality(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("csc_id").agg(F.count_if(F.col("u") & F.col("s")).alias("in_both"), F.count_if(F.col("s").isNull()).alias("only_units"), F.count_if(F.col("u").isNull()).alias("only_files"))
 
 
-@query("""WITH c AS (SELECT csc_id, node_id, count(*) AS n, count(DISTINCT path) AS paths FROM (SELECT DISTINCT csc_id, node_id, path, recorded_at FROM graph_nodes WHERE node_type = 'file') GROUP BY ALL)
-  SELECT csc_id, count(*) AS ids, count(*) FILTER (WHERE n > 1) AS repeated, count(*) FILTER (WHERE paths > 1) AS ambiguous FROM c GROUP BY ALL""")
-def ref_f10_partition_checks(spark: SparkSession, d: str) -> DataFrame:
-    """Whether ids of file nodes name one path each."""
-    c = load(spark, d, "graph_nodes").filter("node_type = 'file'").select("csc_id", "node_id", "path", "recorded_at").distinct().groupBy("csc_id", "node_id").agg(F.count("*").alias("n"), F.count_distinct("path").alias("paths"))
-    return c.groupBy("csc_id").agg(F.count("*").alias("ids"), F.count_if(F.col("n") > 1).alias("repeated"), F.count_if(F.col("paths") > 1).alias("ambiguous"))
-
-
 _RAW = ("4", "5/5", " 3 ", "7", "true", "n/a", "", "-1", "2 of 5", "10")
 
 

@@ -256,13 +256,6 @@ def ref_g12_rebuild_set(spark: SparkSession, d: str) -> DataFrame:
     return P.rebuild_set(at.filter("start_ord <= m - 1 AND end_ord >= m - 1").select("csc_id", "path", "digest"), at.filter("end_ord = m").select("csc_id", "path", "digest"))
 
 
-@query(f"WITH {_FILES}, s AS (SELECT csc_id, path, {_SUB} AS by_path, language AS by_meaning FROM file) SELECT csc_id, by_path, by_meaning, count(*) AS files FROM s GROUP BY ALL")
-def ref_g13_groupings(spark: SparkSession, d: str) -> DataFrame:
-    """Grouping by path against a grouping by meaning, for which the language stands."""
-    f = P.files(_scan(spark, d))
-    return f.groupBy("csc_id", P.subsystem(F.col("path")).alias("by_path"), F.col("language").alias("by_meaning")).agg(F.count("*").alias("files"))
-
-
 @query("""WITH c AS (SELECT csc_id, node_id, label, count(*) OVER (PARTITION BY csc_id) AS n FROM (SELECT DISTINCT csc_id, node_id, label FROM graph_nodes WHERE node_type = 'commit')),
   e AS (SELECT DISTINCT csc_id, target_id, source_id FROM graph_edges WHERE edge_type = 'changed_in')
   SELECT c.csc_id, c.node_id, c.n = 1 AS only_commit, count(e.source_id) AS files FROM c LEFT JOIN e ON e.csc_id = c.csc_id AND e.target_id = c.node_id GROUP BY ALL""")
