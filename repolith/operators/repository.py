@@ -147,3 +147,25 @@ def expand(anchors: DataFrame, edges: DataFrame, depth: int = 2, limit: int = 48
         seen = seen.unionByName(frontier)
     w = Window.partitionBy(*keys).orderBy("distance", "via", "edge_id", "node_id")
     return seen.filter("distance > 0").withColumn("n", F.row_number().over(w)).filter(F.col("n") <= limit).drop("n")
+
+
+def source_roots(scan: DataFrame, roots: list[str]) -> DataFrame:
+    """(csc_id, root, status): every configured root in every repository, `analysed` where a file lies below it, else `missing`. A root outside the repository is an error."""
+    for root in roots:
+        if root.startswith(("/", "~")) or ".." in root.replace("\\", "/").split("/"):
+            raise ValueError(f"source root outside the repository: {root}")
+    wanted = [r.replace("\\", "/").strip("/").removeprefix("./") or "." for r in roots]
+    below = F.array_compact(F.array(*(F.when(F.lit(r == ".") | F.startswith("path", F.lit(r + "/")), F.lit(r)) for r in wanted)))
+    have = scan.filter("path IS NOT NULL").select("csc_id", F.explode(below).alias("root")).distinct().withColumn("h", F.lit("analysed"))
+    every = scan.select("csc_id").distinct().select("csc_id", F.explode(F.array(*map(F.lit, wanted))).alias("root")).distinct()
+    return every.join(have, ["csc_id", "root"], "left").select("csc_id", "root", F.coalesce("h", F.lit("missing")).alias("status"))
+
+
+def scan_stream(scan: DataFrame, max_files: int) -> DataFrame:
+    """(csc_id, path, n, symbols): the first `max_files` files of each repository in order of path with the number of symbols found in their text; a file that can't be read has none."""
+    from repolith.operators import analyzers
+
+    w = Window.partitionBy("csc_id").orderBy("path")
+    first = files(scan).select("csc_id", "path", F.row_number().over(w).alias("n")).filter(F.col("n") <= max_files)
+    found = analyzers.symbols(scan.join(first.select("csc_id", "path"), ["csc_id", "path"], "left_semi")).groupBy("csc_id", "path").agg(F.count("*").alias("symbols"))
+    return first.join(found, ["csc_id", "path"], "left").select("csc_id", "path", "n", F.coalesce("symbols", F.lit(0)).alias("symbols"))

@@ -42,6 +42,10 @@ TYPE_BIAS = {
 LEXICAL_WEIGHT, ANCHOR_WEIGHT, GRAPH_WEIGHT = 0.65, 0.20, 0.15
 
 
+#: Columns of an index.
+INDEXED = ["csc_id", "chunk_id", "source_type", "source_path", "line_start", "dl", "words"]
+
+
 def chunk_rows(chunks: DataFrame) -> DataFrame:
     """Distinct chunks without metadata; of a key given twice the first by its columns."""
     cols = ["csc_id", "chunk_id", "source_type", "source_path", "text", "section_id", "line_start", "line_end"]
@@ -56,7 +60,7 @@ def indexed(chunks: DataFrame) -> DataFrame:
     twice the first by its columns stays, texts being told apart by their digests.
     What is indexed already is given back.
     """
-    if "words" in chunks.columns:
+    if chunks.columns == INDEXED:
         return chunks
     texts = spread(chunks.select("csc_id", "chunk_id", "source_type", "source_path", "text", "section_id", "line_start", "line_end"), "csc_id", "chunk_id")
     rows = texts.select("csc_id", "chunk_id", F.struct("source_type", "source_path", F.md5("text").alias("digest"), "section_id", "line_start", "line_end", tokens(F.col("text")).alias("words")).alias("c"))

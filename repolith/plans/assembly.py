@@ -37,10 +37,7 @@ _ROOTS = ("src", "lib", "app", "absent")
 @query("WITH r AS (SELECT unnest(['src', 'lib', 'app', 'absent']) AS root), c AS (SELECT DISTINCT csc_id FROM scan_records), f AS (SELECT DISTINCT csc_id, split_part(path, '/', 1) AS root FROM scan_records WHERE contains(path, '/')) SELECT c.csc_id, r.root, CASE WHEN f.root IS NULL THEN 'missing' ELSE 'analysed' END AS status FROM c CROSS JOIN r LEFT JOIN f ON f.csc_id = c.csc_id AND f.root = r.root")
 def ref_s22_source_roots(spark: SparkSession, d: str) -> DataFrame:
     """Configured roots of each repository, analysed or missing; roots are a constant list."""
-    s = load(spark, d, "scan_records")
-    wanted = s.select("csc_id").distinct().select("csc_id", F.explode(F.array(*map(F.lit, _ROOTS))).alias("root"))
-    have = s.filter(F.col("path").contains("/")).select("csc_id", F.split_part("path", F.lit("/"), F.lit(1)).alias("root")).distinct().withColumn("h", F.lit(True))
-    return wanted.join(have, ["csc_id", "root"], "left").select("csc_id", "root", F.when(F.col("h"), "analysed").otherwise("missing").alias("status"))
+    return repository.source_roots(load(spark, d, "scan_records"), list(_ROOTS))
 
 
 @query("WITH t AS (SELECT csc_id, source_path, max(file_fingerprint) AS told FROM corpus_units GROUP BY ALL), n AS (SELECT csc_id, path AS source_path, max(sha256(text)) AS now FROM scan_records GROUP BY ALL) SELECT csc_id, source_path, coalesce(told = now, false) AS reuse FROM t LEFT JOIN n USING (csc_id, source_path)")

@@ -183,3 +183,12 @@ def ancestors(log: DataFrame, asked: DataFrame) -> DataFrame:
 
     told = log.select("seq", "sha", "parents").join(asked.select("sha").distinct().withColumn("wanted", F.lit(True)), "sha", "left").fillna(False, ["wanted"])
     return told.coalesce(1).sortWithinPartitions(F.desc("seq")).select("sha", "parents", "wanted").mapInPandas(walk, "sha string, ancestor string")
+
+
+def previous_benchmark(log: DataFrame, tags: DataFrame) -> DataFrame:
+    """(sha, rule) of the commit to compare a first-parent log's last one with: the newest before it that has a tag, else the newest merge, else the twentieth before it or the first. An empty row set where there is none before."""
+    last = log.agg(F.max("seq").alias("last"))
+    before = log.join(last, F.col("seq") < F.col("last")).join(tags.select("sha").distinct().withColumn("tagged", F.lit(True)), "sha", "left")
+    back = F.col("last") - F.col("seq")
+    return before.agg(F.max_by("sha", F.when(F.col("tagged"), F.col("seq"))).alias("t"), F.max_by("sha", F.when(F.size("parents") > 1, F.col("seq"))).alias("m"), F.max_by("sha", F.when(back <= 20, back)).alias("b")).select(
+        F.coalesce("t", "m", "b").alias("sha"), F.when(F.col("t").isNotNull(), "tag").when(F.col("m").isNotNull(), "merge").otherwise("distance").alias("rule")).filter("sha IS NOT NULL")
