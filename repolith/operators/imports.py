@@ -17,21 +17,36 @@ TARGETS = {"javascript": (".js", ".mjs", ".cjs", ".ts", ".tsx"), "typescript": (
 _GOT = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
 
 
+# The forms of imports in each language; the first group is the module. Python names after `import ` are split at commas.
+FORMS = {
+    "python": r"^from\s+([A-Za-z0-9_\.]+)\s+import\s+",
+    "js_from": r"import\s+.+?\s+from\s+['\"]([^'\"]+)['\"]",
+    "js_bare": r"import\s+['\"]([^'\"]+)['\"]",
+    "js_export": r"export\s+.+?\s+from\s+['\"]([^'\"]+)['\"]",
+    "js_require": r"require\(\s*['\"]([^'\"]+)['\"]\s*\)",
+    "java": r"^import\s+(?:static\s+)?([A-Za-z0-9_.*]+)\s*;",
+    "go": r"['\"]([^'\"]+)['\"]",
+    "rust": r"^(?:pub\s+)?use\s+(.+);",
+    "csharp": r"^(?:global\s+)?using\s+([A-Za-z0-9_.]+)\s*;",
+    "cpp": r"^#\s*include\s*[<\"]([^>\"]+)[>\"]",
+}
+
+
 def module_keys(raw: Column, language: Column) -> Column:
     """The module keys of one import statement as structs (kind, key); none where the statement has another form."""
     s = stripped(raw)
     first = lambda p: F.nullif(F.regexp_extract(s, p, 1), F.lit(""))
     some = lambda *xs: F.filter(F.array(*xs), lambda x: x["key"].isNotNull())
     names = F.transform(F.split(F.substring(s, 8, 1 << 20), ","), lambda x: stripped(F.split(stripped(x), " as ")[0]))
-    python = F.when(s.startswith("import "), F.transform(F.filter(names, lambda x: x != ""), lambda x: _GOT("import", x))).otherwise(some(_GOT("import", first(r"^from\s+([A-Za-z0-9_\.]+)\s+import\s+"))))
-    js = some(_GOT("import", first(r"import\s+.+?\s+from\s+['\"]([^'\"]+)['\"]")), _GOT("import", first(r"import\s+['\"]([^'\"]+)['\"]")), _GOT("import", first(r"export\s+.+?\s+from\s+['\"]([^'\"]+)['\"]")), _GOT("require", first(r"require\(\s*['\"]([^'\"]+)['\"]\s*\)")))
-    use = stripped(F.split(stripped(F.split(first(r"^(?:pub\s+)?use\s+(.+);"), " as ")[0]), r"\{")[0])
+    python = F.when(s.startswith("import "), F.transform(F.filter(names, lambda x: x != ""), lambda x: _GOT("import", x))).otherwise(some(_GOT("import", first(FORMS["python"]))))
+    js = some(_GOT("import", first(FORMS["js_from"])), _GOT("import", first(FORMS["js_bare"])), _GOT("import", first(FORMS["js_export"])), _GOT("require", first(FORMS["js_require"])))
+    use = stripped(F.split(stripped(F.split(first(FORMS["rust"]), " as ")[0]), r"\{")[0])
     return (F.when(language == "python", python).when(language.isin("javascript", "typescript"), js)
-            .when(language == "java", some(_GOT("import", first(r"^import\s+(?:static\s+)?([A-Za-z0-9_.*]+)\s*;"))))
-            .when(language == "go", some(_GOT("import", first(r"['\"]([^'\"]+)['\"]"))))
+            .when(language == "java", some(_GOT("import", first(FORMS["java"]))))
+            .when(language == "go", some(_GOT("import", first(FORMS["go"]))))
             .when(language == "rust", some(_GOT("use", F.nullif(F.regexp_replace(use, ":+$", ""), F.lit("")))))
-            .when(language == "csharp", some(_GOT("using", first(r"^(?:global\s+)?using\s+([A-Za-z0-9_.]+)\s*;"))))
-            .when(language == "cpp", some(_GOT("include", first(r"^#\s*include\s*[<\"]([^>\"]+)[>\"]")))))
+            .when(language == "csharp", some(_GOT("using", first(FORMS["csharp"]))))
+            .when(language == "cpp", some(_GOT("include", first(FORMS["cpp"])))))
 
 
 def import_keys(scan: DataFrame) -> DataFrame:

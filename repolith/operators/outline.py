@@ -49,6 +49,11 @@ STRUCTURE_TOKENS = ("state", "config", "request", "response", "context", "model"
 ASSUMPTION_TOKENS = ("must", "require", "assume", "unsupported", "fallback", "strict", "deterministic", "conservative", "only", "expects")
 #: Words of phases of work, in order.
 PHASES = ("parse", "load", "scan", "resolve", "validate", "plan", "build", "index", "merge", "execute", "run", "rank", "render", "save")
+# Sentences that are told without a model, in pieces around what they tell of.
+PURPOSE = ("This capsule captures the current algorithm behavior around `", "`.")
+FLOW, NO_FLOW = "Current flow stages are reflected by the capsule phases: ", "Current flow evidence remains limited in this checkpoint capsule."
+WINDOW = ("This interval window concentrates ", " signals across ", " commit(s).")
+SUBSYSTEM = ("This subsystem groups active modules under `", "` and currently spans ", " files and ", " symbols.")
 #: Sections that every document has.
 CORE = ("introduction", "architectural_overview", "subsystems_modules", "dependencies", "build_development_infrastructure")
 
@@ -285,9 +290,9 @@ def capsule_texts(capsules_: DataFrame, scan: DataFrame) -> DataFrame:
     named = scan.filter("path IS NOT NULL").select("csc_id", subsystem(F.col("path")).alias("subsystem_id"), F.explode("functions").alias("name"))
     hit = F.explode(F.filter(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(PHASES))), lambda x: F.contains(F.lower("name"), x["p"])))
     phases = named.select("csc_id", "subsystem_id", hit.alias("h")).distinct().groupBy("csc_id", "subsystem_id").agg(F.array_sort(F.collect_list("h")).alias("ph"))  # as many as there are phases
-    flow = F.when(F.col("ph").isNull(), "Current flow evidence remains limited in this checkpoint capsule.").otherwise(
-        F.concat(F.lit("Current flow stages are reflected by the capsule phases: "), F.array_join(F.transform("ph", lambda x: F.concat(F.lit("`"), x["p"], F.lit("`"))), ", "), F.lit(".")))
-    return capsules_.join(phases, ["csc_id", "subsystem_id"], "left").select("csc_id", "capsule_id", F.concat(F.lit("This capsule captures the current algorithm behavior around `"), "scope", F.lit("`.")).alias("purpose"), flow.alias("flow"), "variants")
+    flow = F.when(F.col("ph").isNull(), NO_FLOW).otherwise(
+        F.concat(F.lit(FLOW), F.array_join(F.transform("ph", lambda x: F.concat(F.lit("`"), x["p"], F.lit("`"))), ", "), F.lit(".")))
+    return capsules_.join(phases, ["csc_id", "subsystem_id"], "left").select("csc_id", "capsule_id", F.concat(F.lit(PURPOSE[0]), "scope", F.lit(PURPOSE[1])).alias("purpose"), flow.alias("flow"), "variants")
 
 
 def window_texts(edges: DataFrame, dependencies: DataFrame) -> DataFrame:
@@ -295,7 +300,7 @@ def window_texts(edges: DataFrame, dependencies: DataFrame) -> DataFrame:
     strong = history.strong_commits(history.commit_deltas(edges, dependencies))
     runs = strong.groupBy("csc_id", "island").agg(F.min("i").alias("first"), F.count("*").alias("commits"), F.max("strength").alias("top"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("signals")))).alias("signals"))  # sets of few signals
     number = F.row_number().over(Window.partitionBy("csc_id").orderBy("first"))
-    summary = F.concat(F.lit("This interval window concentrates "), F.when(F.size("signals") > 0, F.array_join("signals", ", ")).otherwise("logic"), F.lit(" signals across "), "commits", F.lit(" commit(s)."))
+    summary = F.concat(F.lit(WINDOW[0]), F.when(F.size("signals") > 0, F.array_join("signals", ", ")).otherwise("logic"), F.lit(WINDOW[1]), "commits", F.lit(WINDOW[2]))
     return runs.select("csc_id", F.concat(F.lit("change-window::"), F.lpad(number.cast("string"), 2, "0")).alias("window_id"), "commits", summary.alias("summary"), history.significance(F.col("top")).alias("significance"))
 
 
@@ -304,7 +309,7 @@ def subsystem_texts(scan: DataFrame, nodes: DataFrame) -> DataFrame:
     m = scan.filter("path IS NOT NULL").select("csc_id", "path").distinct().groupBy("csc_id", subsystem(F.col("path")).alias("subsystem_id")).agg(F.count("*").alias("files"))
     s = nodes.filter("node_type = 'symbol' AND path IS NOT NULL").groupBy("csc_id", subsystem(F.col("path")).alias("subsystem_id")).agg(F.count_distinct(F.coalesce("qualified_name", "symbol_name")).alias("symbols"))
     name = F.regexp_replace("subsystem_id", "^subsystem::", "")
-    summary = F.concat(F.lit("This subsystem groups active modules under `"), name, F.lit("` and currently spans "), "files", F.lit(" files and "), F.coalesce("symbols", F.lit(0)), F.lit(" symbols."))
+    summary = F.concat(F.lit(SUBSYSTEM[0]), name, F.lit(SUBSYSTEM[1]), "files", F.lit(SUBSYSTEM[2]), F.coalesce("symbols", F.lit(0)), F.lit(SUBSYSTEM[3]))
     return m.join(s, ["csc_id", "subsystem_id"], "left").select("csc_id", "subsystem_id", name.alias("display_name"), summary.alias("summary"))
 
 

@@ -22,6 +22,9 @@ KNOWN_WORDS = {
     "react": "This package is commonly used to build reactive component-based web interfaces.", "request": "This package is commonly used to issue HTTP requests to remote services.",
     "http": "This package is commonly used to communicate with HTTP services.", "schema": "This package is commonly used to validate or define structured data.", "test": "This package is commonly used in automated test workflows.",
 }
+# Sentences on a package and on its use, behind the package's name or in pieces.
+PYTHON_PACKAGE, OTHER_PACKAGE, DIRECT = " is a Python package used in this ecosystem.", (" is a ", " package used in this ecosystem."), " is a direct dependency declared for this project."
+USED = ("Observed usage signals include `", "`; linked modules: ", "; linked subsystems: ")
 NO_USE = "Project-specific usage is not strongly evidenced by the current manifests and import signals."
 
 
@@ -85,8 +88,8 @@ def narratives(used: DataFrame) -> DataFrame:
     g = gates(used)
     name = F.col("name")
     general = F.lit(None).cast("string")
-    own = F.when(F.col("ecosystem") == "python", F.concat("package", F.lit(" is a Python package used in this ecosystem."))).when(
-        F.col("ecosystem").isin("javascript", "typescript"), F.concat("package", F.lit(" is a "), "ecosystem", F.lit(" package used in this ecosystem."))).otherwise(F.concat("package", F.lit(" is a direct dependency declared for this project.")))
+    own = F.when(F.col("ecosystem") == "python", F.concat("package", F.lit(PYTHON_PACKAGE))).when(
+        F.col("ecosystem").isin("javascript", "typescript"), F.concat("package", F.lit(OTHER_PACKAGE[0]), "ecosystem", F.lit(OTHER_PACKAGE[1]))).otherwise(F.concat("package", F.lit(DIRECT)))
     for word, text in reversed(KNOWN_WORDS.items()):
         general = F.when(name.contains(word), text).otherwise(general)
     for known, text in KNOWN.items():
@@ -95,6 +98,6 @@ def narratives(used: DataFrame) -> DataFrame:
     grouped = (target == "build_development_infrastructure") & ~F.col("strong") & F.col("groupable")
     title = F.element_at(F.create_map(*(F.lit(x) for kv in GROUP_TITLES.items() for x in kv)), F.col("role"))
     prefix = F.when(F.col("ecosystem").isNotNull() & ~F.col("ecosystem").isin("unknown", ""), F.concat(F.lit("Project "), F.initcap("ecosystem"), F.lit(" "))).otherwise("Project ")
-    use = F.when(F.col("strong"), F.concat(F.lit("Observed usage signals include `"), "first_module", F.lit(" imports "), "package", F.lit("`; linked modules: "), "modules", F.lit("; linked subsystems: "), "subsystems", F.lit("."))).otherwise(NO_USE)
+    use = F.when(F.col("strong"), F.concat(F.lit(USED[0]), "first_module", F.lit(" imports "), "package", F.lit(USED[1]), "modules", F.lit(USED[2]), "subsystems", F.lit("."))).otherwise(NO_USE)
     return g.select("csc_id", "ecosystem", "package", target.alias("section_target"), F.when(grouped, "grouped_tooling").otherwise("standard").alias("render_style"), F.when(grouped, F.concat(prefix, title)).alias("group_title"),
                     F.coalesce(general, own).alias("general"), use.alias("usage"), F.when(F.col("strong"), "project_evidence").otherwise("tbd").alias("basis"))
