@@ -9,14 +9,20 @@ from __future__ import annotations
 
 from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from repolith.functions.text import bucket, quote, tokens
 from repolith.session import spread
 
 # Saturation and length normalisation of BM25.
 K1, B = 1.5, 0.75
+#: Chunks, and questions, of a repository that are scored against each other in one piece.
+CELL = 4096
 #: Words that tell what a question is after, in order of precedence.
 INTENT_WORDS = {
     "change_impact": ["change", "changed", "changes", "commit", "commits", "diff", "difference", "differences", "update", "updates", "updated", "modify", "modified", "modifies", "impact", "impacted"],
@@ -119,22 +125,86 @@ def tie_key() -> list[Column]:
     return [F.col("source_path"), F.coalesce("line_start", F.lit(0)), F.col("chunk_id")]
 
 
-def top_k(chunks: DataFrame, questions: DataFrame, k: int = 6) -> DataFrame:
+def cells(rows: DataFrame, grid: DataFrame, own: str, other: str, key: str) -> DataFrame:
+    """rows with the numbers of their cells in the repository's grid: the own one by the hash of a key, and a copy for each of the other axis."""
+    many = lambda c: F.coalesce(F.col(c), F.lit(1))
+    return rows.join(F.broadcast(grid), "csc_id", "left").select(*rows.columns, F.pmod(F.hash(key), many(f"{own}s")).alias(own), F.explode(F.sequence(F.lit(0), many(f"{other}s") - 1)).alias(other))
+
+
+def scored_cell(chunks: pa.Table, asked: pa.Table, k: int) -> pa.Table:
+    """Of one cell's chunks the k best of each of its questions, as found; the first k by the tie key at score 0 where none scores, and for questions without id.
+
+    chunks: rows of a cell with their tokens joined by blanks; asked: (question_id, term, times,
+    df, total), the term '' telling the repository's chunks and tokens. Scores go by the
+    formula of bm25; repeated places of a (chunk, term) are counted by sorting.
+    """
+    out = ["csc_id", "question_id", "chunk_id", "source_path", "line_start", "score"]
+    kinds = pa.schema([*(chunks.schema.field(c) if c in chunks.column_names else asked.schema.field(c) for c in out[:-1]), pa.field("score", pa.float64())])
+    if not len(chunks) or not len(asked):
+        return kinds.empty_table()
+    chunks = chunks.combine_chunks()
+    chunks = chunks.take(pc.sort_indices(chunks, sort_keys=[(c, "ascending") for c in ("source_path", "line_start", "chunk_id")], null_placement="at_start")).combine_chunks()
+    column = lambda name: asked[name].to_numpy()
+    terms, df = asked["term"].combine_chunks(), column("df").astype(float)
+    own = pc.equal(terms, "").to_numpy(zero_copy_only=False)
+    n, tokens_in_all = df[own][0], column("total")[own][0]
+    known = pc.unique(terms)
+    lists = pc.split_pattern(chunks["words"], " ").combine_chunks()
+    place, at = pc.index_in(lists.flatten(), value_set=known), np.repeat(np.arange(len(chunks)), lists.value_lengths().to_numpy())
+    hit = place.is_valid().to_numpy(zero_copy_only=False)
+    pairs, tf = np.unique(at[hit] * len(known) + place.drop_null().to_numpy(), return_counts=True)
+    chunk, term = np.divmod(pairs, len(known))
+    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * chunks["dl"].to_numpy()[chunk] / (tokens_in_all / n)))
+    idf = np.where(own, 0.0, column("times") * np.log(1 + (n - df + 0.5) / (df + 0.5)))
+    ids = asked["question_id"].combine_chunks().dictionary_encode(null_encoding="encode")
+    of, code = ids.indices.to_numpy(), pc.index_in(terms, value_set=known).to_numpy()
+    order = np.argsort(of, kind="stable")
+    named = chunks["chunk_id"].is_valid().to_numpy()
+    which, rows, scores = [], [], []
+    for mine in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+        weight = np.zeros(len(known))
+        weight[code[mine]] = idf[mine]
+        score = np.floor(np.bincount(chunk, weight[term] * part, len(chunks)) * 1e9 + 0.5) / 1e9
+        found = np.flatnonzero((score > 0) & named)
+        best = found[np.argsort(-score[found], kind="stable")[:k]]
+        for places, told in ((best, score[best]), (np.arange(min(k, len(chunks))) if not len(best) or not asked["question_id"][int(mine[0])].is_valid else best[:0], None)):
+            which.append(np.full(len(places), mine[0]))
+            rows.append(places)
+            scores.append(np.zeros(len(places)) if told is None else told)
+    picked, whose = chunks.take(pa.array(np.concatenate(rows))), asked.take(pa.array(np.concatenate(which)))
+    return pa.table([*(picked[c] if c in chunks.column_names else whose[c] for c in out[:-1]), pa.array(np.concatenate(scores))], schema=kinds)
+
+
+def top_k(chunks: DataFrame, questions: DataFrame, k: int = 6, most: int = CELL) -> DataFrame:
     """(csc_id, question_id, rank, chunk_id, score): the k best chunks; a question that matches none gets its store's first k by the tie key at score 0.
 
-    Ranking partitions by question, never by the store, and keeps k rows a task
-    before the shuffle.
+    A chunk's tokens are never dealt out: chunks lie whole in cells of one repository, at
+    most about `most` chunks by `most` questions, and the questions' terms come there with
+    their frequencies of documents. A cell gives k rows a question, which alone are ranked.
+    chunks: rows as indexed gives them, or raw ones, of which a key given twice has the
+    first by its columns.
     """
-    chunks = indexed(chunks)
-    scores = bm25(chunks, questions)
-    w = Window.partitionBy("csc_id", "question_id").orderBy(F.desc("score"), *tie_key())
-    best = scores.join(chunks.select("csc_id", "chunk_id", "source_path", "line_start"), ["csc_id", "chunk_id"]).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    first = Window.partitionBy("csc_id").orderBy(*tie_key())
-    fallback = chunks.select("csc_id", "chunk_id", "source_path", "line_start").withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
-    missed = questions.select("csc_id", "question_id").distinct().join(best.select("csc_id", "question_id").distinct(), ["csc_id", "question_id"], "left_anti")
-    filled = missed.join(fallback, "csc_id").withColumn("score", F.lit(0.0))
-    out = ["csc_id", "question_id", "rank", "chunk_id", "score"]
-    return best.select(*out).unionByName(filled.select(*out))
+    chunks, questions = chunks.filter("csc_id IS NOT NULL"), questions.filter("csc_id IS NOT NULL")
+    members = chunks.select("csc_id", F.lit(1).alias("c"), F.lit(0).alias("q")).unionByName(questions.select("csc_id", F.lit(0).alias("c"), F.lit(1).alias("q")))
+    grid = members.groupBy("csc_id").agg(*(F.greatest(F.lit(1), F.ceil(F.sum(c) / most).cast("int")).alias(name) for c, name in (("c", "blocks"), ("q", "parts")))).filter("blocks > 1 OR parts > 1")
+    key = ["csc_id", "block", "part"]
+    if chunks.columns == INDEXED:
+        rows = cells(chunks, grid, "block", "part", "chunk_id").select(*key, "chunk_id", "source_path", "line_start", "dl", "words")
+    else:
+        cols = ["source_type", "source_path", "text", "section_id", "line_start", "line_end"]
+        placed = cells(chunks.select("csc_id", "chunk_id", *cols), grid, "block", "part", "chunk_id").repartition(*key)
+        one = placed.groupBy(*key, "chunk_id").agg(F.min(F.struct(*cols)).alias("c"))
+        rows = one.select(*key, "chunk_id", "c.source_path", "c.line_start", tokens(F.col("c.text")).alias("words")).withColumn("dl", F.size("words"))
+    posted = rows.select("csc_id", "dl", F.explode(F.when(F.col("part") == 0, F.array_append(F.array_distinct("words"), ""))).alias("term"))
+    known = posted.groupBy("csc_id", "term").agg(F.count("*").alias("df"), F.sum("dl").alias("total"))
+    asked = questions.select("csc_id", "question_id", F.explode(F.array_append(tokens(F.col("question")), "")).alias("term")).groupBy("csc_id", "question_id", "term").agg(F.count("*").alias("times"))
+    left = rows.select(*key, "chunk_id", "source_path", F.coalesce("line_start", F.lit(0)).cast("long").alias("line_start"), "dl", F.array_join("words", " ").alias("words"))
+    right = cells(asked.join(known, ["csc_id", "term"]), grid, "part", "block", "question_id")
+    kinds = T.StructType([left.schema["csc_id"], right.schema["question_id"], *(left.schema[c] for c in ("chunk_id", "source_path", "line_start")), T.StructField("score", T.DoubleType())])
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda x, y: scored_cell(x, y, k), kinds)
+    ranks = Window.partitionBy("csc_id", "question_id", F.col("score") > 0).orderBy(F.desc("score"), *tie_key())
+    ranked = found.withColumn("rank", F.row_number().over(ranks)).filter(F.col("rank") <= k).withColumn("best", F.max("score").over(Window.partitionBy("csc_id", "question_id")))
+    return ranked.filter("score > 0 OR best = 0 OR question_id IS NULL").select("csc_id", "question_id", "rank", "chunk_id", "score")
 
 
 def citations(chunks: DataFrame, most: int = 200) -> DataFrame:

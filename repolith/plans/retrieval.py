@@ -133,7 +133,7 @@ def ref_j02_doc_lengths(spark: SparkSession, d: str, questions: Questions = _que
 
 @query(_WITH + "SELECT * FROM top")
 def ref_t01_top_k(spark: SparkSession, d: str, questions: Questions = _questions) -> DataFrame:
-    return R.top_k(_index(spark, d), questions(spark, d))
+    return R.top_k(load(spark, d, "knowledge_chunks"), questions(spark, d))
 
 
 @query(_WITH + "SELECT csc_id, question_id, chunk_id, rank FROM best WHERE rank <= 3")

@@ -46,6 +46,43 @@ def test_ranking_and_fallback(spark):
     assert retrieval.top_k(c.limit(0), q, 3).count() == 0
 
 
+def test_ranking_in_cells_is_that_of_the_sql(spark):
+    import duckdb
+
+    from repolith.plans.retrieval import SQL
+
+    told = "csc_id string, chunk_id string, source_type string, source_path string, text string, section_id string, line_start int, line_end int"
+    words = ["route", "plan", "store", "key", "engine", "x_1", "Ünï", "42"]
+    rows_ = [(f"csc{i % 2}", f"c{i:02}", "code", f"p{i % 5}.py", " ".join(words[j % 8] for j in range(i % 7, i)), None, i % 3, i) for i in range(40)]
+    rows_ += [("csc0", "c10", "code", "p0.py", f"route {w}", None, 1, 10) for w in ("plan", "key", "store", "engine")]  # of equal columns but for the text, the first text stays
+    rows_ += [rows_[8], ("csc0", None, "code", "a.py", "route route plan", None, 0, 1), (None, "n", "code", "a.py", "route", None, 0, 1), ("csc2", "e", "code", "b.py", None, None, None, 1), ("csc2", "f", "code", "a.py", "", None, 4, 1)]
+    asked = [(f"ws{i % 3}", f"q{i}", t) for i, t in enumerate(["Route plan ROUTE", "key 42", "route", "nothing", "engine x_1 store", "", "plan", "x_1", "none"])] + [("ws0", None, "store key"), ("ws9", "q", "route"), ("ws1", "null", None)]
+    c, q = spark.createDataFrame(rows_, told), spark.createDataFrame([("csc" + w[2:], i, t) for w, i, t in asked if t is not None], "csc_id string, question_id string, question string")
+    duck = duckdb.connect()
+    duck.register("knowledge_chunks", c.toArrow())
+    duck.register("history_checkpoints", spark.createDataFrame(asked, "workspace_id string, checkpoint_id string, target_commit_subject string").toArrow())
+    best = sorted(duck.sql(SQL["ref_t01_top_k"]).select("csc_id, question_id, rank, chunk_id, score").fetchall(), key=str)
+    assert len({r[:2] for r in best}) == 10 and any(r[4] == 0 for r in best) and any(r[4] > 0 for r in best)
+    for most in (1, 3, 4096):
+        assert [(*r[:4], pytest.approx(r[4], abs=1e-8)) for r in rows(retrieval.top_k(c, q, 6, most), "csc_id", "question_id", "rank", "chunk_id", "score")] == best, most
+
+
+def test_ranking_never_shuffles_the_terms_of_chunks(spark):
+    words = " ".join(f"w{i}" for i in range(80))
+    c = spark.createDataFrame([("r", f"c{i}", "code", "a.py", words, None, i, None, 1, 0.5) for i in range(500)], CHUNKS)
+    q = spark.createDataFrame([("r", str(i), words) for i in range(10)], "csc_id string, question_id string, question string")
+    context = spark.sparkContext
+
+    def written() -> int:
+        context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = written()
+    assert retrieval.top_k(c, q, 3).count() == 30
+    assert written() - before < 500 * 80 / 2  # a row for each chunk and term would be 40,000
+
+
 def test_rerank_score(spark):
     c = chunks(spark, ("a", "a.py", "x", 1), ("b", "b.py", "x", 1))
     q = spark.createDataFrame([("r", "1", "how does it work")], "csc_id string, question_id string, question string")
